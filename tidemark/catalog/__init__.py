@@ -1 +1,6 @@
+"""Registered queries and their SQL."""
 
+from tidemark.catalog import experiments, ledger, market, streams  # noqa: F401
+from tidemark.catalog.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

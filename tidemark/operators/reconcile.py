@@ -67,7 +67,7 @@ def new_fills(fills: DataFrame, known: DataFrame) -> DataFrame:
     return fills.join(known, ["order_id", "filled_at", "trade_id"], "left_anti")
 
 
-def average_price(snapshots: DataFrame) -> Column:
+def average_price() -> Column:
     """Volume-weighted price over a snapshot's trades; the order price without trades or volume."""
     zero = F.lit(0).cast(WIDE)
     total = lambda f: F.aggregate(
@@ -77,20 +77,23 @@ def average_price(snapshots: DataFrame) -> Column:
     return F.coalesce(F.when(volume > 0, div_half_up(total("funds"), volume)), dec(F.col("price")).cast(WIDE))
 
 
-def reconcile(snapshots: DataFrame, rows_per_task: int | None = None) -> DataFrame:
+def reconcile(
+    snapshots: DataFrame, rows_per_task: int | None = None, fills: DataFrame | None = None
+) -> DataFrame:
     """Order columns after each snapshot and the position move it causes.
 
     A snapshot moves the position only when the executed volume grew; the price is that of the fills the
     snapshot brought first, else the order's average.  ``snapshots`` has ``order_id``, ``seq`` (arrival order),
-    ``symbol``, ``order_side`` and the exchange fields.
+    ``symbol``, ``order_side`` and the exchange fields.  ``fills`` limits new fills to the given ones.
     """
     rows, series = lay_out(snapshots, ["order_id"], ["seq"], rows_per_task)
     rows = rows.withColumn("executed", dec(F.col("executed_volume")))
     rows = series.shift(rows, _prev=F.col("executed"))
-    fresh = first_fills(explode_trades(snapshots)).groupBy("order_id", "seq").agg(
+    fills = first_fills(explode_trades(snapshots)) if fills is None else fills
+    fresh = fills.groupBy("order_id", "seq").agg(
         F.sum("fill_qty").cast(NARROW).alias("_q"), F.sum("funds").cast(NARROW).alias("_f")
     )
-    rows = rows.withColumn("avg_executed_price", average_price(snapshots)).join(fresh, ["order_id", "seq"], "left")
+    rows = rows.withColumn("avg_executed_price", average_price()).join(fresh, ["order_id", "seq"], "left")
     delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(NARROW))
     price = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
     return rows.select(
