@@ -13,7 +13,7 @@ from tidemark.streaming.batches import Stores, alert_drift, dedup_signals, recon
 
 def event_stream(spark, sf):
     schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
 @query("stream_signal_dedup", DEDUP_SQL)

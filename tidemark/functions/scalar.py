@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 WIDE = "decimal(38,12)"
 NARROW = "decimal(24,12)"
+SUM = "decimal(34,12)"  # sums and differences of WIDE values would lose their last digit
 
 
 def normalize_market(market: Column) -> Column:
@@ -23,7 +24,7 @@ def asset_of(market: Column) -> Column:
 
 def parse_utc(text: Column) -> Column:
     """ISO text to timestamp; text without an offset is UTC (session zone must be UTC); null if unparsable."""
-    clean = F.trim(text)
+    clean = F.regexp_replace(F.trim(text), "z$", "Z")
     return F.when(F.length(clean) >= 10, clean.try_cast("timestamp"))
 
 

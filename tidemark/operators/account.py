@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import NARROW, WIDE, asset_of, dec, normalize_market
+from tidemark.functions.scalar import NARROW, SUM, WIDE, asset_of, dec, normalize_market
 from tidemark.operators.orders import ACTIVE_STATUSES
 from tidemark.operators.scan import lay_out
 
@@ -44,8 +44,8 @@ def sync_positions(markets: DataFrame, accounts: DataFrame, mode: str = "LIVE")
 
 def drift_columns(total: Column, managed: Column) -> dict[str, Column]:
     """External, sellable and drifting quantity of a position."""
-    zero = F.lit(0).cast(WIDE)
-    total, managed = F.coalesce(total, zero), F.coalesce(managed, zero)
+    zero = F.lit(0).cast(SUM)
+    total, managed = (F.coalesce(x.cast(SUM), zero) for x in (total, managed))
     drift = F.abs(total - managed)
     return {
         "external_qty": F.greatest(total - managed, zero).cast(WIDE),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import finite
 from tidemark.operators.positions import TRADE_EPS
 from tidemark.operators.scan import Series
 
@@ -21,27 +20,25 @@ def compound(
     from where it compounds on.  With P the running product since the last such bar, the floored curve is
     P * max(start, floor * running max of 1/P).  Logarithms of P take over where P leaves the range of a double.
     """
-    floor = F.lit(MIN_EQUITY)
     start = F.lit(start) if isinstance(start, float) else start
-    good = finite(growth)
-    bad = (F.col(idx) > 0) & ~F.coalesce(good > 0, F.lit(False))
-    step = F.when((F.col(idx) > 0) & ~bad, good).otherwise(F.lit(1.0))
-    df = df.withColumns({"_g": step, "_bad": bad})
-    df = series.running(df, _p=("product", F.col("_g")), _l=("sum", F.log("_g")))
-    reset = F.when(F.col("_bad"), F.struct(F.col(idx).alias("at"), F.col("_p").alias("p"), F.col("_l").alias("l")))
-    df = series.running(df, _r=("last", reset))
-    part = F.coalesce(F.col("_r.at"), F.lit(-1).cast("bigint"))
-    df = series.running(
-        df, _lo=("max", F.struct(part.alias("s"), (1.0 / F.col("_p")).alias("v"), (-F.col("_l")).alias("l")))
+    fine = "_x > 0 AND _x < double('Infinity')"  # false for NaN, which sorts above infinity
+    df = df.withColumns({"_x": growth, "_start": start.cast("double")}).selectExpr(
+        "*",
+        f"{idx} > 0 AND NOT coalesce({fine}, false) AS _bad",
+        f"CASE WHEN {idx} > 0 AND {fine} THEN _x ELSE 1.0D END AS _g",
     )
-    base = F.when(F.col("_r").isNull(), start).otherwise(floor)
-    p0, l0 = F.coalesce("_r.p", F.lit(1.0)), F.coalesce("_r.l", F.lit(0.0))
-    plain = F.col("_p") / p0 * F.greatest(base, floor * p0 * F.col("_lo.v"))
-    logs = F.exp(F.col("_l") - l0 + F.greatest(F.log(F.greatest(base, floor)), F.log(floor) + l0 + F.col("_lo.l")))
-    in_range = F.col("_p").between(1e-200, 1e200) & (F.col("_lo.v") < 1e200) & p0.between(1e-200, 1e200)
-    value = F.when(in_range, plain).otherwise(logs)
-    value = F.when((F.col(idx) == 0), start).otherwise(F.greatest(floor, value))
-    return df.withColumn(name, value).drop("_g", "_bad", "_p", "_l", "_r", "_lo")
+    df = series.running(df, _p=("product", F.col("_g")), _l=("sum", F.expr("ln(_g)")))
+    reset = f"CASE WHEN _bad THEN named_struct('at', {idx}, 'p', _p, 'l', _l) END"
+    df = series.running(df, _r=("last", F.expr(reset)))
+    best = "named_struct('s', coalesce(_r.at, -1L), 'l', -_l, 'v', try_divide(1.0D, _p))"
+    df = series.running(df, _lo=("max", F.expr(best)))
+    floor = f"{MIN_EQUITY!r}D"
+    p0, l0, base = "coalesce(_r.p, 1.0D)", "coalesce(_r.l, 0.0D)", f"if(_r IS NULL, _start, {floor})"
+    plain = f"try_divide(_p, {p0}) * greatest({base}, {floor} * {p0} * _lo.v)"
+    logs = f"exp(_l - {l0} + greatest(ln(greatest({base}, {floor})), ln({floor}) + {l0} + _lo.l))"
+    in_range = f"_p BETWEEN 1e-200D AND 1e200D AND {p0} BETWEEN 1e-200D AND 1e200D AND _lo.v < 1e200D"
+    value = f"CASE WHEN {idx} = 0 THEN _start ELSE greatest({floor}, CASE WHEN {in_range} THEN {plain} ELSE {logs} END) END"
+    return df.withColumn(name, F.expr(value)).drop("_x", "_start", "_g", "_bad", "_p", "_l", "_r", "_lo")
 
 
 def growth_of(exposure: Column, ret: Column, trade: Column, cost: Column | float) -> Column:

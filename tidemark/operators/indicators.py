@@ -36,8 +36,7 @@ def ema(
     """Exponential average for each length: one row per bar and length."""
     long = df.withColumn(axis, F.explode(F.array(*[F.lit(v) for v in lengths])))
     series = series.with_keys(axis)
-    n = F.col(axis)
-    return affine(long, series, {name: F.col(x)}, 2.0 / (n + 1.0), n, F.col("bar_idx")), series
+    return affine(long, series, {name: x}, f"(2.0D / ({axis} + 1.0D))", axis, "bar_idx"), series
 
 
 def true_range() -> Column:
@@ -50,14 +49,14 @@ def true_range() -> Column:
 
 def atr(df: DataFrame, series: Series, period: int, name: str = "atr") -> DataFrame:
     """Wilder average of the true range."""
-    return affine(df, series, {name: true_range()}, F.lit(1.0 / period), F.lit(period), F.col("bar_idx"))
+    df = df.withColumn("_tr", true_range())
+    return affine(df, series, {name: "_tr"}, f"(1.0D / {period})", str(period), "bar_idx").drop("_tr")
 
 
 def rsi(df: DataFrame, series: Series, period: int = RSI_PERIOD, name: str = "rsi") -> DataFrame:
     """Wilder RSI, first defined at bar ``period``; undefined while the average loss is zero."""
-    diff = F.col("close") - F.col("prev_close")
-    moves = {"_gain": F.greatest(diff, F.lit(0.0)), "_loss": F.greatest(-diff, F.lit(0.0))}
-    df = affine(df, series, moves, F.lit(1.0 / period), F.lit(period), F.col("bar_idx") - 1)
+    moves = {"_gain": "greatest(close - prev_close, 0.0D)", "_loss": "greatest(prev_close - close, 0.0D)"}
+    df = affine(df, series, moves, f"(1.0D / {period})", str(period), "(bar_idx - 1)")
     value = 100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))
     return df.withColumn(name, F.when(F.col("_loss") != 0, value)).drop("_gain", "_loss")
 

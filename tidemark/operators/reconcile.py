@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import NARROW, WIDE, dec, div_half_up, mul12
+from tidemark.functions.scalar import NARROW, SUM, WIDE, dec, div_half_up, mul12
 from tidemark.operators.scan import lay_out
 
 EPOCH = "1970-01-01 00:00:00"
@@ -69,9 +69,8 @@ def new_fills(fills: DataFrame, known: DataFrame) -> DataFrame:
 
 def average_price() -> Column:
     """Volume-weighted price over a snapshot's trades; the order price without trades or volume."""
-    zero = F.lit(0).cast(WIDE)
     total = lambda f: F.aggregate(
-        F.col("trades"), zero, lambda acc, t: (acc + dec(t[f])).cast(WIDE)
+        F.col("trades"), F.lit(0).cast(SUM), lambda acc, t: (acc + dec(t[f])).cast(SUM)
     )
     volume = total("volume")
     return F.coalesce(F.when(volume > 0, div_half_up(total("funds"), volume)), dec(F.col("price")).cast(WIDE))

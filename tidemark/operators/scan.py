@@ -163,49 +163,36 @@ def number(df: DataFrame, series: Series, idx: str = "bar_idx", n: str | None =
     return series.whole(out, **{n: ("sum", F.lit(1).cast("bigint"))}) if n else out
 
 
-def affine(
-    df: DataFrame,
-    series: Series,
-    values: dict[str, Column],
-    alpha: Column,
-    seed: Column,
-    pos: Column,
-) -> DataFrame:
+def affine(df: DataFrame, series: Series, values: dict[str, str], alpha: str, seed: str, pos: str) -> DataFrame:
     """Smoothing recurrences ``y = alpha*x + (1-alpha)*y_prev`` seeded with the mean of the first ``seed`` rows.
 
-    ``pos`` numbers the rows from 0; ``y`` is undefined before row ``seed - 1``.  Rows after the seed are cut
-    into runs short enough for ``(1-alpha)**-k`` to stay finite.  Inside a run the recurrence is a scaled
-    running sum; a run starts from the end of the run before it.  What lies further back has weight
-    ``exp(-600)``, below anything a double can show.
+    All arguments are SQL expressions; ``pos`` numbers the rows from 0, and ``y`` is undefined before row
+    ``seed - 1``.  Rows after the seed are cut into runs short enough for ``(1-alpha)**-k`` to stay finite.
+    Inside a run the recurrence is a scaled running sum; a run starts from the end of the run before it.  What
+    lies further back has weight ``exp(-600)``, below anything a double can show.
     """
-    q = 1 - alpha
-    span = F.when(q > 0, F.floor(F.lit(600.0) / -F.log(F.when(q > 0, q)))).otherwise(F.lit(1))
-    rest = pos - seed
-    df = df.withColumns(
-        {
-            "_run": F.when(rest < 0, F.lit(-1)).otherwise(F.floor(rest / span)).cast("bigint"),
-            "_off": F.when(rest >= 0, rest % span).cast("double"),
-            "_q": q.cast("double"),
-            "_last_off": (span - 1).cast("double"),
-        }
+    df = df.selectExpr("*", f"{pos} - {seed} AS _rest", f"1.0D - {alpha} AS _q").selectExpr(
+        "*", "if(_q > 0, floor(-600.0D / ln(if(_q > 0, _q, NULL))), 1L) AS _span"
     )
-    over = Window.partitionBy(*series.keys, "_run").orderBy(*series.order).rowsBetween(Window.unboundedPreceding, 0)
-    seeding = F.col("_run") == -1
-    weight = F.when(seeding, F.lit(1.0)).otherwise(F.pow("_q", -F.col("_off")))
-    parts = {}
-    for name, x in values.items():
-        scaled = F.sum(x * weight).over(over)
-        parts[f"_in_{name}"] = F.when(seeding, F.when(pos == seed - 1, scaled / seed)).otherwise(
-            alpha * F.pow("_q", F.col("_off")) * scaled
-        )
-    df = df.withColumns(parts)
-    ends = seeding | (F.col("_off") == F.col("_last_off"))
-    df = series.running(df, **{f"_end_{n}": ("last", F.when(ends, F.col(f"_in_{n}"))) for n in values})
+    df = df.selectExpr(
+        "*",
+        "if(_rest < 0, -1L, CAST(floor(_rest / _span) AS BIGINT)) AS _run",
+        "if(_rest < 0, NULL, CAST(_rest % _span AS DOUBLE)) AS _off",
+    )
+    over = f"OVER (PARTITION BY {_names((*series.keys, '_run'))} ORDER BY {_names(series.order)} ROWS UNBOUNDED PRECEDING)"
+    df = df.selectExpr(
+        "*", *[f"sum(({x}) * if(_run = -1, 1.0D, power(_q, -_off))) {over} AS _sum_{n}" for n, x in values.items()]
+    )
+    seeded = f"if({pos} = {seed} - 1, _sum_{{0}} / {seed}, NULL)"
+    inside = f"({alpha}) * power(_q, _off) * _sum_{{0}}"
+    df = df.selectExpr("*", *[f"if(_run = -1, {seeded.format(n)}, {inside.format(n)}) AS _in_{n}" for n in values])
+    ends = "CASE WHEN _run = -1 OR _off = _span - 1 THEN _in_{0} END"
+    df = series.running(df, **{f"_end_{n}": ("last", F.expr(ends.format(n))) for n in values})
     df = series.shift(df, **{f"_prev_{n}": F.col(f"_end_{n}") for n in values})
-    out = {}
-    for name in values:
-        out[name] = F.when(seeding, F.col(f"_in_{name}")).otherwise(
-            F.col(f"_in_{name}") + F.pow("_q", F.col("_off") + 1) * F.col(f"_prev_{name}")
-        )
-    helpers = ["_run", "_off", "_q", "_last_off"] + [f"_{p}_{n}" for n in values for p in ("in", "end", "prev")]
-    return df.withColumns(out).drop(*helpers)
+    full = "if(_run = -1, _in_{0}, _in_{0} + power(_q, _off + 1) * _prev_{0}) AS {0}"
+    helpers = ["_rest", "_q", "_span", "_run", "_off"] + [f"_{p}_{n}" for n in values for p in ("sum", "in", "end", "prev")]
+    return df.selectExpr("*", *[full.format(n) for n in values]).drop(*helpers)
+
+
+def _names(columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)

@@ -84,15 +84,15 @@ class Grid:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row per combination: ``param_id``, the axis values, and each value's position ``<axis>_i``."""
-        stride = self.size()
-        cols = [F.col("id").alias("param_id")]
+        stride, cols = self.size(), ["id AS param_id"]
         for axis in self.axes:
             vals = self.values[axis.name]
             stride //= len(vals)
-            pos = (F.floor(F.col("id") / stride) % len(vals)).cast("int")
-            cols.append(F.element_at(F.array(*[F.lit(v).cast(axis.kind) for v in vals]), pos + 1).alias(axis.name))
-            cols.append(pos.alias(f"{axis.name}_i"))
-        return spark.range(self.size()).select(*cols)
+            pos = f"CAST(id DIV {stride} % {len(vals)} AS INT)"
+            items = ", ".join(f"CAST('{v!r}' AS {axis.kind})" if v is not None else "NULL" for v in vals)
+            cols.append(f"element_at(CAST(array({items}) AS array<{axis.kind}>), {pos} + 1) AS {axis.name}")
+            cols.append(f"{pos} AS {axis.name}_i")
+        return spark.range(self.size()).selectExpr(*cols)
 
     def small_frame(self, spark: SparkSession) -> DataFrame:
         """The grid, broadcast when its known row count is within the bound."""
