@@ -64,3 +64,24 @@ def test_rows_and_grid_match_stepwise(spark, version, rows_per_task):
         moved += want["trades"]
     assert moved > 0
     assert rows.where(F.col("drawdown") > 0).count() == 0
+
+
+@pytest.mark.parametrize("version", ["v2", "v5"])
+def test_grid_with_costs_that_hit_the_floor(spark, version):
+    strategy = REGISTRY.get(version)
+    grid = strategy.grid(fee_per_side=0.97, slippage=0.02, **{k: v[-1:] for k, v in GRIDS[version].items()})
+    bars, series = with_returns(*panel(frame(spark)))
+    names = [a.name for a in strategy.axes]
+    for r in evaluate_grid(strategy, bars, series, grid).collect():
+        want = stepwise.summary(version, BARS[r["market"]], {n: grid.values[n][0] for n in names}, grid.cost)
+        assert r["final_equity"] == pytest.approx(want["equity"][-1], rel=1e-9)
+        assert r["mdd"] == pytest.approx(want["mdd"], abs=1e-12)
+        assert r["trades"] == want["trades"]
+
+
+def test_one_market_may_hold_most_rows_in_the_live_scan(spark):
+    """The newest-rows scan cuts each partition before the shuffle."""
+    from tidemark.sources.candles import latest
+
+    plan = latest(frame(spark), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

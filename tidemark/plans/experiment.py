@@ -9,6 +9,7 @@ from tidemark.operators import equity as eq
 from tidemark.operators.indicators import index_bars
 from tidemark.operators.positions import open_return
 from tidemark.operators.scan import Series, lay_out
+from tidemark.plans.episodes import episode_scores
 from tidemark.plans.grid import Grid
 from tidemark.plans.strategies import Run, Strategy, backtest
 from tidemark.session import materialize
@@ -80,17 +81,39 @@ def with_returns(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     return series.whole(df, first_ts=("min", F.col("ts")), last_ts=("max", F.col("ts"))), series
 
 
-def evaluate_grid(strategy: Strategy, bars: DataFrame, series: Series, grid: Grid) -> DataFrame:
-    """One row per series and combination: final equity, drawdown, trades, growth, calmar."""
-    rows, wide = backtest(strategy, Run(bars, series, grid, full=False))
-    out = rows.groupBy(*wide.keys).agg(
+SCORE = ["param_id", "final_equity", "mdd", "trades", "first_ts", "last_ts"]
+
+
+def bar_scores(strategy: Strategy, run: Run) -> DataFrame:
+    """Scores from the bars of each combination."""
+    rows, wide = backtest(strategy, run)
+    return rows.groupBy(*wide.keys).agg(
         F.max_by("equity", "bar_idx").alias("final_equity"),
         F.min("drawdown").alias("mdd"),
         eq.trade_count(strategy.rounded_trades).alias("trades"),
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
     )
-    return eq.with_metrics(out)
+
+
+def evaluate_grid(strategy: Strategy, bars: DataFrame, series: Series, grid: Grid) -> DataFrame:
+    """One row per series and combination: final equity, drawdown, trades, growth, calmar.
+
+    Strategies that hold all or nothing are scored from trade episodes, without sorting bars per combination.
+    Combinations whose curve touches the floor, and series that span tasks, are scored from bars.
+    """
+    keys = list(series.keys)
+    run = Run(bars, series, grid, full=False)
+    if strategy.prepare is None or series.chunk is not None:
+        return eq.with_metrics(bar_scores(strategy, run))
+    scores = materialize(episode_scores(strategy.prepare, run))
+    floored = scores.where("at_floor")
+    if not floored.isEmpty():
+        chosen = floored.select(*keys, "param_id").join(grid.small_frame(bars.sparkSession), "param_id")
+        exact = bar_scores(strategy, Run(bars, series, grid, chosen, full=False))
+        cols = [*keys, *SCORE]
+        scores = scores.where("NOT at_floor").select(*cols).unionByName(exact.select(*cols))
+    return eq.with_metrics(scores.drop("at_floor"))
 
 
 def rank_value(x: Column) -> Column:

@@ -21,6 +21,7 @@ from tidemark.operators.scan import Series
 from tidemark.plans.grid import Axis, Grid, float_axis, int_axis
 
 Evaluator = Callable[["Run"], tuple[DataFrame, Series]]
+Derive = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -110,6 +111,17 @@ def _pick(df: DataFrame, cell: Column) -> DataFrame:
 
 
 ON_TREND = ["regime_ema_len", "regime_band_i"]
+Prepare = Callable[["Run"], tuple[DataFrame, Derive]]
+
+
+def long_flat(prepare: Prepare) -> Evaluator:
+    """Evaluator of a strategy that holds all or nothing, from its rows of step one and its row values."""
+
+    def evaluate(run: Run) -> tuple[DataFrame, Series]:
+        df, derive = prepare(run)
+        return _long_flat(run, *run.combine(df, ON_TREND, derive, ["entry", "_exit"]))
+
+    return evaluate
 
 
 def _stop_and_exit(df: DataFrame, mult: Column) -> DataFrame:
@@ -192,7 +204,7 @@ def moving_average_rule(run: Run) -> tuple[DataFrame, Series]:
     return df.withColumn("pos_open", F.coalesce("_open", F.lit(0.0))).drop("_close", "_open", "_step"), wide
 
 
-def regime_trail(run: Run) -> tuple[DataFrame, Series]:
+def regime_trail(run: Run) -> tuple[DataFrame, Derive]:
     """v2: regime turns with one trailing-stop multiplier."""
     df = _volatility(run, run.grid.distinct("atr_period"), [])
     df, s = _trend(run, df, [], False)
@@ -201,10 +213,10 @@ def regime_trail(run: Run) -> tuple[DataFrame, Series]:
     def derive(rows: DataFrame) -> DataFrame:
         return _stop_and_exit(_pick(rows, _place(run, "atr_period")), F.col("atr_trail_multiplier"))
 
-    return _long_flat(run, *run.combine(df, ON_TREND, derive, ["entry", "_exit"]))
+    return df, derive
 
 
-def weekly_trend(run: Run) -> tuple[DataFrame, Series]:
+def weekly_trend(run: Run) -> tuple[DataFrame, Derive]:
     """v4: v2 with entries only in weeks whose close is not below the weekly average."""
     lagged = bool((run.options or {}).get("lagged_week"))
     bars = ind.weekly_filter(run.bars, run.series, run.grid.distinct("weekly_ema_len"), lagged)
@@ -225,10 +237,10 @@ def weekly_trend(run: Run) -> tuple[DataFrame, Series]:
         ).drop("weekly", "entry_weekly")
         return _stop_and_exit(_pick(rows, _place(run, "atr_period")), F.col("atr_trail_multiplier"))
 
-    return _long_flat(run, *run.combine(df, ON_TREND, derive, ["entry", "_exit"]))
+    return df, derive
 
 
-def adaptive_trail(run: Run) -> tuple[DataFrame, Series]:
+def adaptive_trail(run: Run) -> tuple[DataFrame, Derive]:
     """v5: the stop multiplier depends on the volatility rank."""
     lookbacks = run.grid.distinct("vol_regime_lookback")
     df = _volatility(run, run.grid.distinct("atr_period"), lookbacks)
@@ -243,7 +255,7 @@ def adaptive_trail(run: Run) -> tuple[DataFrame, Series]:
         mult = F.when(F.col("volatility_is_high"), F.col("atr_mult_high_vol")).otherwise(F.col("atr_mult_low_vol"))
         return _stop_and_exit(rows, mult)
 
-    return _long_flat(run, *run.combine(df, ON_TREND, derive, ["entry", "_exit"]))
+    return df, derive
 
 
 def volatility_target(run: Run) -> tuple[DataFrame, Series]:
@@ -303,6 +315,7 @@ class Strategy:
     evaluate: Evaluator
     warmup: Callable[[dict], int]
     checks: tuple[tuple[Callable[[dict], bool], str], ...] = ()
+    prepare: Prepare | None = None
     rounded_trades: bool = False
     floor_hold_start: bool = True
 
@@ -378,8 +391,9 @@ REGISTRY.register(
     Strategy(
         "v2",
         (_LEN, _PERIOD, _TRAIL, _BAND),
-        regime_trail,
+        long_flat(regime_trail),
         lambda p: max(p["regime_ema_len"], p["atr_period"]),
+        prepare=regime_trail,
     )
 )
 REGISTRY.register(
@@ -408,8 +422,9 @@ REGISTRY.register(
     Strategy(
         "v4",
         (_LEN, _PERIOD, _TRAIL, _BAND, Axis("weekly_ema_len", "int")),
-        weekly_trend,
+        long_flat(weekly_trend),
         lambda p: max(p["regime_ema_len"], p["atr_period"], 7 * p["weekly_ema_len"]),
+        prepare=weekly_trend,
     )
 )
 REGISTRY.register(
@@ -424,8 +439,9 @@ REGISTRY.register(
             Axis("vol_regime_threshold", "double", lambda v: 0 < v <= 1, "in (0, 1]"),
             _BAND,
         ),
-        adaptive_trail,
+        long_flat(adaptive_trail),
         lambda p: max(p["regime_ema_len"], p["atr_period"], p["vol_regime_lookback"]),
+        prepare=adaptive_trail,
         checks=(
             (
                 lambda v: max(v["atr_mult_low_vol"]) <= min(v["atr_mult_high_vol"]),
@@ -440,6 +456,8 @@ def backtest(strategy: Strategy, run: Run) -> tuple[DataFrame, Series]:
     """Bar rows with position, turnover and curves for each (series, combination)."""
     df, series = strategy.evaluate(run)
     df = pos.turnover(df, series)
+    if not run.full:  # other bars leave the curve flat
+        df = df.where((F.col("pos_open") != 0) | (F.col("trade") != 0) | _first_bar())
     df = eq.equity_curve(df, series, run.grid.cost)
     if run.full:
         df = eq.hold_curve(df, series, run.grid.cost, strategy.floor_hold_start)
