@@ -89,11 +89,7 @@ def normalized_candles(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY market, ts ORDER BY event_id DESC) = 1""",
 )
 def deduplicated_candles(spark, sf):
-    raw = _raw(spark, sf)
-    keyed = from_raw(raw.withColumn("market", F.concat_ws("|", "market", F.col("event_id").cast("string"))))
-    parts = F.split("market", r"\|")
-    rows = keyed.withColumns({"market": parts[0], "event_id": parts[1].cast("bigint")})
-    rows = rows.withColumn("load_seq", F.col("event_id"))
+    rows = from_raw(_raw(spark, sf)).withColumn("load_seq", F.col("event_id"))
     return dedup_candles(rows).select("market", stamp().alias("ts"), *ohlc(), "event_id")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-ROWS_PER_TASK = 4_000_000
+ROWS_PER_TASK = 1_000_000
 CHUNK = "_chunk"
 
 

@@ -74,8 +74,8 @@ def read_candles_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def from_raw(raw: DataFrame) -> DataFrame:
-    """Map raw exchange field names and normalise."""
-    named = raw.select("market", *[F.col(a).alias(b) for a, b in RAW_FIELDS.items()])
+    """Map raw exchange field names and normalise; other columns stay."""
+    named = raw.withColumnsRenamed(RAW_FIELDS)
     return normalize_candles(named.withColumn("ts", parse_utc(F.col("ts").cast("string"))))
 
 

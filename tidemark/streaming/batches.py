@@ -143,9 +143,7 @@ def refresh_signals(
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch = materialize(batch.withColumn("_row", F.expr("uuid()")))
-        marked = batch.withColumn("market", F.concat_ws("\u0001", "market", "_row"))
-        split = F.split("market", "\u0001")
-        good = from_raw(marked).withColumns({"market": split[0], "_row": split[1]})
+        good = from_raw(batch)
         append_batch(batch.join(good.select("_row"), "_row", "left_anti").drop("_row"), stores.path("quarantine"), number)
         fresh = good.drop("_row").withColumn("load_seq", F.lit(number))
         old = stores.version(spark, "state", number)
