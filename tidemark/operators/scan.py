@@ -76,9 +76,11 @@ class Series:
 
     def running(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
         """Add inclusive running aggregates ``name=(kind, expression)``; nulls do not take part."""
-        local = df.withColumns({n: KINDS[k][0](x).over(self.upto()) for n, (k, x) in specs.items()})
+        inside = {n: KINDS[k][0](x).over(self.upto()) for n, (k, x) in specs.items()}
         if self.chunk is None:
-            return local
+            return df.withColumns(inside)
+        # Helper names: a result may have the name of a column that the totals still read.
+        local = df.withColumns({f"_n_{n}": c for n, c in inside.items()})
         totals = {}
         for n, (kind, x) in specs.items():
             agg, order_free, _ = KINDS[kind]
@@ -93,24 +95,25 @@ class Series:
             return {f"_c_{n}": KINDS[k][0](F.col(f"_t_{n}")).over(before) for n, (k, _) in specs.items()}
 
         joined = self._carry(local, totals, scan)
-        out = joined.withColumns({n: KINDS[k][2](F.col(f"_c_{n}"), F.col(n)) for n, (k, _) in specs.items()})
-        return materialize(out.drop(*[f"_c_{n}" for n in specs]))
+        out = joined.withColumns({n: KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_n_{n}")) for n, (k, _) in specs.items()})
+        return materialize(out.drop(*[f"_{p}_{n}" for p in "cn" for n in specs]))
 
     def shift(self, df: DataFrame, forward: bool = False, **specs: Column) -> DataFrame:
         """Add the value the previous row (or with ``forward`` the next row) has for each expression."""
         step = F.lead if forward else F.lag
-        local = df.withColumns({n: step(x, 1).over(self.ordered()) for n, x in specs.items()})
+        inside = {n: step(x, 1).over(self.ordered()) for n, x in specs.items()}
         if self.chunk is None:
-            return local
+            return df.withColumns(inside)
+        local = df.withColumns({f"_n_{n}": c for n, c in inside.items()})
         pick = F.min_by if forward else F.max_by
         totals = {f"_t_{n}": pick(F.struct(x.alias("v")), self._position()) for n, x in specs.items()}
         edge = "_edge"
         local = local.withColumn(edge, step(F.lit(1), 1).over(self.ordered()).isNull())
         joined = self._carry(local, totals, lambda over: {f"_c_{n}": step(F.col(f"_t_{n}"), 1).over(over) for n in specs})
         out = joined.withColumns(
-            {n: F.when(F.col(edge), F.col(f"_c_{n}")["v"]).otherwise(F.col(n)) for n in specs}
+            {n: F.when(F.col(edge), F.col(f"_c_{n}")["v"]).otherwise(F.col(f"_n_{n}")) for n in specs}
         )
-        return materialize(out.drop(edge, *[f"_c_{n}" for n in specs]))
+        return materialize(out.drop(edge, *[f"_{p}_{n}" for p in "cn" for n in specs]))
 
     def whole(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
         """Add aggregates of the whole series, ``name=(kind, expression)`` with kind sum, min or max."""
