@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pytest
 
 from pyspark.sql import functions as F
@@ -88,4 +86,3 @@ def test_segments(spark):
     assert walk[10] == {} and walk[1300] == {
         "train_1": (0, 325), "test_1": (325, 650), "train_2": (0, 650), "test_2": (650, 975), "train_3": (0, 975), "test_3": (975, 1300),
     }
-    assert dt.date.today()

@@ -637,14 +637,14 @@ def new_fills(spark, sf):
     )
 
 
-@query("order_vwap", f"WITH {SNAPSHOTS} SELECT order_id, event_id, round(avg_price, 6) + 0.0 AS avg_price FROM snap")
+@query("order_vwap", f"WITH {SNAPSHOTS} SELECT order_id, event_id, round(avg_price, 9) + 0.0 AS avg_price FROM snap")
 def order_vwap(spark, sf):
     s = order_snapshots(spark, sf)
-    return s.select("order_id", F.col("seq.event_id").alias("event_id"), r(rec.average_price()).alias("avg_price"))
+    return s.select("order_id", F.col("seq.event_id").alias("event_id"), r(rec.average_price(), 9).alias("avg_price"))
 
 
-MOVED_SQL = """order_id, event_id, symbol, side, executed::DOUBLE AS executed_volume, round(avg_price, 6) + 0.0 AS avg_executed_price, status,
-    delta_qty::DOUBLE AS delta_qty, round(delta_price, 6) + 0.0 AS delta_price"""
+MOVED_SQL = """order_id, event_id, symbol, side, executed::DOUBLE AS executed_volume, round(avg_price, 9) + 0.0 AS avg_executed_price, status,
+    delta_qty::DOUBLE AS delta_qty, round(delta_price, 9) + 0.0 AS delta_price"""
 
 
 @query("reconciled_orders", f"WITH {SNAPSHOTS} SELECT {MOVED_SQL} FROM moved")
@@ -655,8 +655,8 @@ def reconciled_orders(spark, sf):
 def moved_columns(rows):
     return rows.select(
         "order_id", "event_id", "symbol", "side", F.col("executed_volume").cast("double").alias("executed_volume"),
-        r("avg_executed_price").alias("avg_executed_price"), "status",
-        F.col("delta_qty").cast("double").alias("delta_qty"), r("delta_price").alias("delta_price"),
+        r("avg_executed_price", 9).alias("avg_executed_price"), "status",
+        F.col("delta_qty").cast("double").alias("delta_qty"), r("delta_price", 9).alias("delta_price"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import escape_label, finite_or_zero
 from tidemark.operators import indicators as ind
-from tidemark.operators.orders import live_price, signal_requests, unrealized_return_pct
+from tidemark.operators.orders import live_price, unrealized_return_pct
 from tidemark.operators.scan import Series
 from tidemark.sources.candles import history_size, latest, warmup_rows
 
@@ -197,7 +197,3 @@ def candle_signal_rows(signals: DataFrame, metrics: DataFrame, tickers: DataFram
         diagnostic_schema(cells).alias("diagnostics_schema"),
     )
 
-
-def requests_of(signals: DataFrame, mode: str, notional: float | str) -> DataFrame:
-    """Order requests of a cycle's signals."""
-    return signal_requests(signals, mode, notional)
