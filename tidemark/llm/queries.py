@@ -1,6 +1,6 @@
 """All registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import licenses, quality, secrets, shards  # noqa: F401
+from tidemark.llm import licenses, near_duplicates, quality, secrets, shards  # noqa: F401
 from tidemark.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
