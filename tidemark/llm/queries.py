@@ -1,6 +1,6 @@
 """All registered queries of this subpackage and their SQL."""
 
-from tidemark.llm import licenses, main_text, near_duplicates, quality, secrets, shards, top_k  # noqa: F401
+from tidemark.llm import decontaminate, licenses, main_text, near_duplicates, packing, quality, secrets, shards, top_k  # noqa: F401
 from tidemark.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -147,9 +147,9 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
 
 SQL = f"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 parts AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v),
 scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score
