@@ -7,7 +7,7 @@ blocks of consecutive numbers have, for each word, the largest impact inside. Ev
 windows of a slice at once; in the blocks left, WAND moves the posting lists from pivot to pivot.
 
 Retrieved items are verified against the whole document: of the word n-grams (five words, or all words of a shorter
-part) of the question and of the answer, the shares ``OVERLAP`` must each stand in it.
+part) of the question and of the answer, the shares ``OVERLAP`` must each stand in it. Case does not count.
 
 The index is broadcast in parts of bounded size (``INDEX_ITEMS`` items, ``INDEX_BYTES`` of text); a larger benchmark takes more parts, each
 against all documents. Null and empty items and texts match nothing. Repeated items each match; repeated rows give
@@ -193,7 +193,7 @@ def search(docs: DataFrame, index: Index, doc_id: str, text: str, threshold: flo
                 names = [x.split()[0] for x in FOUND.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, FOUND)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(text).alias("text")).mapInArrow(run, FOUND)
 
 
 def contaminated(
@@ -209,7 +209,7 @@ def contaminated(
 ) -> DataFrame:
     """Rows of ``FOUND``: each test item that stands in a document, with its BM25 share and verified overlaps."""
     items = benchmark.select(
-        F.col(item_id).cast("long").alias("item"), F.col(question).alias("question"), (F.col(answer) if answer else F.lit(None)).cast("string").alias("answer")
+        F.col(item_id).cast("long").alias("item"), F.lower(question).alias("question"), F.lower(F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")
     )
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer"))), F.lit(0)).alias("b")).first()
     parts = max(1, -(-size.n // INDEX_ITEMS), -(-size.b // INDEX_BYTES))

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a MinHash forest with exact verification.
 
-1. Each text becomes its set of word shingles (five words; a shorter text is one shingle) and ``TREES`` signatures of
+1. Each text becomes its set of word shingles (five words in lower case; a shorter text is one shingle) and ``TREES`` signatures of
    ``DEPTH`` minima. Texts with equal sets fall into one class at once, whatever their number; only one
    representative of each class goes on.
 2. Each tree is the sorted list of its signatures: equal prefixes stand together, and the length of the prefix that a
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 }
             )
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.lower(text).alias("text"))
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
 
 
@@ -272,7 +272,7 @@ def _with_shingles(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, r
             kept = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(arrays, pa.binary())], names=[*batch.schema.names[:-1], "shingles"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.lower(text).alias("text"))
     joined = texts.join(small(wanted, rows), "id").select(*wanted.columns, "text")
     schema = ", ".join(f"{n} {t}" for n, t in wanted.dtypes) + ", shingles binary"
     return joined.mapInArrow(run, schema)
