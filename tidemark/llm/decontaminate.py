@@ -227,6 +227,45 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(small(gone, gone.count()), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
-@query("op2_decontamination")
+SQL = f"""
+WITH item AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
+doc AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+word AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM item),
+tf AS (SELECT item_id, i // {SEGMENT} AS part, x, count(*) AS tf FROM word GROUP BY ALL),
+size AS (SELECT item_id, part, sum(tf) AS n FROM tf GROUP BY ALL),
+total AS (SELECT count(*) AS segments, avg(n) AS mean FROM size),
+df AS (SELECT x, count(*) AS df FROM tf GROUP BY x),
+impact AS (
+  SELECT item_id, part, x,
+    ln(1 + (segments - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / greatest(mean, 1))) AS v
+  FROM tf JOIN size USING (item_id, part) JOIN df USING (x), total),
+share AS (SELECT *, v / sum(v) OVER (PARTITION BY item_id, part) AS s FROM impact),
+place AS (SELECT doc_id, unnest(w) AS x, (generate_subscripts(w, 1) - 1) // {SEGMENT} AS step FROM doc),
+passage AS (SELECT DISTINCT doc_id, step + d AS p, x FROM place, (SELECT unnest([0, 1]) AS d)),
+score AS (SELECT doc_id, p, item_id, part, sum(s) AS s FROM passage JOIN share USING (x) GROUP BY ALL),
+hit AS (SELECT doc_id, item_id, max(s) AS score FROM score WHERE s >= {THRESHOLD} GROUP BY ALL),
+cut AS (SELECT item_id, w, len(w) - CAST(ceil(len(w) * {ANSWER_SHARE}) AS BIGINT) AS q FROM item WHERE len(w) > 0),
+half AS (
+  SELECT item_id, 'q' AS half, w[1:q] AS w FROM cut WHERE q > 0 UNION ALL
+  SELECT item_id, 'a', w[q + 1:] FROM cut),
+gram AS (
+  SELECT DISTINCT item_id, half, least({GRAM}, len(w)) AS n,
+    unnest(list_transform(range(1, len(w) - least({GRAM}, len(w)) + 2), lambda i: array_to_string(w[i:i + least({GRAM}, len(w)) - 1], ' '))) AS g
+  FROM half),
+seen AS (
+  SELECT doc_id, item_id, half, avg(CASE WHEN contains(' ' || array_to_string(w, ' ') || ' ', ' ' || g || ' ') THEN 1.0 ELSE 0.0 END) AS o
+  FROM hit JOIN gram USING (item_id) JOIN doc USING (doc_id) GROUP BY ALL),
+overlap AS (
+  SELECT doc_id, item_id, coalesce(max(CASE WHEN half = 'q' THEN o END), 1.0) AS question_overlap,
+    coalesce(max(CASE WHEN half = 'a' THEN o END), 1.0) AS answer_overlap
+  FROM seen GROUP BY ALL)
+SELECT doc_id, item_id, round(score, 9) AS score, CAST(question_overlap AS DOUBLE) AS question_overlap,
+  CAST(answer_overlap AS DOUBLE) AS answer_overlap
+FROM overlap JOIN hit USING (doc_id, item_id) WHERE question_overlap >= {OVERLAP} AND answer_overlap >= {OVERLAP}"""
+
+
+@query("op2_decontamination", SQL)
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
