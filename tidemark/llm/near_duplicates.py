@@ -38,9 +38,9 @@ DEPTH = 6
 PREFIXES = (6, 5, 4)
 RECALL = 0.9995
 #: Members of a block of a component, and shingles of a block.
-BLOCK_ROWS = 1024
-BLOCK_SHINGLES = 2_000_000
-MATRIX_CELLS = 16_000_000
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1_000_000
+MATRIX_CELLS = 2_000_000
 
 _SEEDS = np.random.default_rng(20240501).integers(1, 2**63, (TREES * DEPTH, 2), dtype=np.uint64) | np.uint64(1)
 
@@ -333,6 +333,24 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return docs.join(small(gone, gone.count()), F.col(doc_id).cast("long") == F.col("__gone"), "left_anti")
 
 
-@query("op5_near_duplicates")
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN NULL WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g
+  FROM w),
+cls AS (SELECT g, min(doc_id) AS rep, count(*) AS copies FROM s WHERE g IS NOT NULL GROUP BY g),
+u AS (SELECT rep, len(g) AS n, unnest(g) AS x FROM cls),
+common AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.rep <> b.rep GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 10 * c >= 8 * (na + nb - c)),
+reach AS (SELECT rep AS id, rep AS root FROM cls UNION SELECT l.a, r.root FROM reach r JOIN links l ON l.b = r.id),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+degree AS (SELECT l.a AS rep, sum(c.copies) AS partners FROM links l JOIN cls c ON c.rep = l.b GROUP BY 1)
+SELECT s.doc_id, coalesce(roots.root, s.doc_id) AS class_id, coalesce(cls.rep, s.doc_id) AS rep_id,
+  CAST(coalesce(cls.copies, 1) AS BIGINT) AS n_copies, CAST(coalesce(partners, 0) + coalesce(cls.copies - 1, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN cls ON cls.g = s.g LEFT JOIN roots ON roots.id = cls.rep LEFT JOIN degree ON degree.rep = cls.rep"""
+
+
+@query("op5_near_duplicates", SQL)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_links(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
