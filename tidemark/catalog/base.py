@@ -145,6 +145,22 @@ ledger AS (
 LEDGER_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
 
 
+def text12(x: Column | str) -> Column:
+    """Ledger decimal as text with twelve places."""
+    return (F.col(x) if isinstance(x, str) else x).cast("decimal(38,12)").cast("string")
+
+
+def units_text(units: str) -> str:
+    """SQL text with twelve places of a non-negative whole number of 1e-12."""
+    u = f"CAST({units} AS HUGEINT)"
+    return f"(CAST({u} // 1000000000000 AS VARCHAR) || '.' || lpad(CAST({u} % 1000000000000 AS VARCHAR), 12, '0'))"
+
+
+def half_up(a: str, b: str) -> str:
+    """SQL for a / b of whole numbers, rounded half up."""
+    return f"((2 * ({a}) + ({b})) // (2 * ({b})))"
+
+
 def cents(x: str = "value") -> Column:
     return F.col(x).cast("decimal(18,2)").cast("string")
 
@@ -243,7 +259,7 @@ def order_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-SNAPSHOTS = """
+SNAPSHOTS = f"""
 ev AS (
   SELECT 'o' || user_id AS order_id, user_id, ts, event_id, event_type,
     CAST(value AS DECIMAL(18,2)) AS volume, CAST(event_id % 90 + 10 AS DECIMAL(18,2)) AS price,
@@ -271,8 +287,9 @@ fresh AS (SELECT order_id, ts, event_id, sum(volume) AS q, sum(funds) AS f FROM
 vw AS (SELECT order_id, ts, event_id, sum(given_funds) AS f, sum(volume) AS v FROM trades GROUP BY ALL),
 snap AS (
   SELECT ev.*, executed - coalesce(lag(executed) OVER (PARTITION BY ev.order_id ORDER BY ev.ts, ev.event_id), 0) AS delta,
-    CASE WHEN vw.v > 0 THEN CAST(vw.f AS DOUBLE) / CAST(vw.v AS DOUBLE) ELSE CAST(ev.price AS DOUBLE) END AS avg_price,
-    CAST(fresh.f AS DOUBLE) / CAST(fresh.q AS DOUBLE) AS fresh_price, fresh.q AS fresh_qty
+    CASE WHEN vw.v > 0 THEN {half_up("CAST(vw.f * 100 AS HUGEINT) * 1000000000000", "CAST(vw.v * 100 AS HUGEINT)")}
+      ELSE CAST(ev.price * 100 AS HUGEINT) * 10000000000 END AS avg_price,
+    {half_up("CAST(fresh.f * 10000 AS HUGEINT) * 10000000000", "CAST(fresh.q * 100 AS HUGEINT)")} AS fresh_price, fresh.q AS fresh_qty
   FROM ev LEFT JOIN vw USING (order_id, ts, event_id) LEFT JOIN fresh USING (order_id, ts, event_id)),
 moved AS (
   SELECT order_id, ts, event_id, 'KRW-A' || (user_id % 10) AS symbol,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
@@ -17,12 +19,15 @@ from tidemark.catalog.base import (
     candles,
     day,
     filled_orders,
+    half_up,
     ledger,
     order_snapshots,
     query,
     r,
     stamp,
     table,
+    text12,
+    units_text,
     user_markets,
     user_orders,
 )
@@ -97,8 +102,8 @@ def accounts_by_currency(spark, sf):
 
 
 SYNC = f"""{ACCOUNTS},
-markets AS (SELECT DISTINCT 'KRW-U' || user_id AS symbol, 'U' || user_id AS asset FROM events WHERE user_id % 10 <> 3
-  UNION ALL SELECT 'KRW-NONE', 'NONE'),
+markets AS (SELECT DISTINCT 'KRW-U' || user_id AS symbol, 'U' || user_id AS asset FROM events
+  UNION ALL SELECT 'KRW-' || upper(trim(n_name)), upper(trim(n_name)) FROM nation),
 synced AS (
   SELECT m.symbol, coalesce(TRY_CAST(a.balance AS DOUBLE), 0) + coalesce(CAST(a.locked AS DOUBLE), 0) AS qty, CAST(a.avg_buy_price AS DOUBLE) AS avg
   FROM markets m LEFT JOIN acct a ON a.currency = m.asset),
@@ -106,9 +111,9 @@ positions AS (SELECT symbol, round(qty, 6) AS qty, CASE WHEN qty > 0 THEN avg EL
 
 
 def synced(spark, sf):
-    some = user_markets(spark, sf).where(~F.col("market").rlike("3 $"))
-    extra = table(spark, sf, "region").limit(1).select(F.lit("KRW-NONE").alias("market"))
-    return acc.sync_positions(acc.market_list(some.unionByName(extra)), accounts(spark, sf))
+    # Nations are markets without an account.
+    extra = table(spark, sf, "nation").select(F.concat(F.lit("krw-"), F.trim("n_name")).alias("market"))
+    return acc.sync_positions(acc.market_list(user_markets(spark, sf).unionByName(extra)), accounts(spark, sf))
 
 
 @query("position_sync", f"WITH {SYNC} SELECT symbol, qty, avg_price, state FROM positions")
@@ -188,8 +193,8 @@ def latest_drift(spark, sf):
 GUARD = f"""{LEDGER},
 mk AS (SELECT DISTINCT symbol AS market FROM ledger),
 own AS (SELECT DISTINCT symbol AS market FROM ledger WHERE mode = 'LIVE' AND status IN ('CREATED', 'SUBMITTED', 'PARTIALLY_FILLED') AND l_partkey % 40 = 0),
-ext AS (SELECT 'KRW-S' || (user_id % 100) AS market, count(*) AS c FROM events WHERE event_type = 'view' AND user_id % 3 = 0 GROUP BY 1),
-feed AS (SELECT market, CAST(substr(market, 6) AS BIGINT) % 7 <> 0 AS ok FROM mk WHERE CAST(substr(market, 6) AS BIGINT) % 11 <> 0),
+ext AS (SELECT 'KRW-S' || (user_id * 13 % 331) AS market, count(*) AS c FROM events GROUP BY 1),
+feed AS (SELECT market, CASE WHEN CAST(substr(market, 6) AS BIGINT) % 11 <> 0 THEN CAST(substr(market, 6) AS BIGINT) % 7 <> 0 END AS ok FROM mk),
 verdict AS (
   SELECT mk.market, CASE WHEN own.market IS NOT NULL THEN 'LOCAL_ACTIVE_ORDER' WHEN NOT coalesce(feed.ok, false) THEN 'GUARD_QUERY_FAILED'
     WHEN coalesce(ext.c, 0) > 0 THEN 'EXTERNAL_OPEN_ORDER' ELSE 'NONE' END AS reason, coalesce(ext.c, 0) AS c
@@ -199,16 +204,18 @@ verdicts AS (SELECT market, reason <> 'NONE' AS blocked, reason, reason = 'EXTER
 
 
 def _open_orders(spark, sf):
-    e = table(spark, sf, "events").where((F.col("event_type") == "view") & (F.col("user_id") % 3 == 0))
-    return e.select(F.concat(F.lit("KRW-S"), (F.col("user_id") % 100).cast("string")).alias("market"))
+    number = (F.col("user_id") * 13 % 331).cast("string")
+    return table(spark, sf, "events").select(F.concat(F.lit("KRW-S"), number).alias("market"))
 
 
 def _verdicts(spark, sf):
     rows = ledger(spark, sf)
     markets = rows.select(F.col("symbol").alias("market")).distinct()
     number = F.substring("market", 6, 10).cast("bigint")
-    feed = markets.where(number % 11 != 0).withColumn("feed_ok", number % 7 != 0)
-    return markets, acc.guard(markets, rows.where(F.col("l_partkey") % 40 == 0), "LIVE", _open_orders(spark, sf), feed)
+    feed = markets.withColumn("feed_ok", F.when(number % 11 != 0, number % 7 != 0))
+    # One order in forty is still open as its status says; the others have been filled since.
+    rows = rows.withColumn("status", F.when(F.col("l_partkey") % 40 == 0, F.col("status")).otherwise("FILLED"))
+    return markets, acc.guard(markets, rows, "LIVE", _open_orders(spark, sf), feed)
 
 
 @query(
@@ -230,14 +237,16 @@ def order_guard(spark, sf):
 
 
 HELD = """
-held AS (SELECT 'KRW-S' || l_suppkey AS market, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem WHERE l_suppkey % 4 <> 0 GROUP BY 1)"""
+held AS (
+  SELECT 'KRW-S' || l_suppkey AS market, CAST(sum(CASE WHEN l_suppkey % 4 <> 0 THEN l_quantity END) AS DOUBLE) AS qty FROM lineitem GROUP BY 1)"""
 
 
 def _held(spark, sf):
-    t = table(spark, sf, "lineitem").where(F.col("l_suppkey") % 4 != 0)
-    return t.groupBy(F.concat(F.lit("KRW-S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(
-        F.sum("l_quantity").cast("decimal(38,12)").alias("qty"),
-        F.lit(10).cast("decimal(38,12)").alias("avg_price"),
+    """Held quantities of all symbols; one in four is unknown."""
+    known = F.col("l_suppkey") % 4 != 0
+    return table(spark, sf, "lineitem").groupBy(F.concat(F.lit("KRW-S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(
+        F.sum(F.when(known, F.col("l_quantity"))).cast("decimal(38,12)").alias("qty"),
+        F.max(F.when(known, 10)).cast("decimal(38,12)").alias("avg_price"),
         F.max("l_shipdate").alias("updated_at"),
     )
 
@@ -267,13 +276,13 @@ def position_lookup(spark, sf):
 
 @query(
     "position_upsert",
-    f"""WITH {HELD}, ch AS (SELECT 'KRW-S' || l_suppkey AS market, CAST(max(l_quantity) AS DOUBLE) AS qty FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1)
+    f"""WITH {HELD}, ch AS (SELECT 'KRW-S' || (o_custkey % 150) AS market, CAST(count(*) AS DOUBLE) AS qty FROM orders GROUP BY 1)
     SELECT market AS symbol, qty FROM ch UNION ALL SELECT market, qty FROM held WHERE market NOT IN (SELECT market FROM ch)""",
 )
 def position_upsert(spark, sf):
-    t = table(spark, sf, "lineitem").where(F.col("l_suppkey") % 5 == 0)
-    changes = t.groupBy(F.concat(F.lit("KRW-S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(
-        F.max("l_quantity").cast("decimal(38,12)").alias("qty")
+    number = (F.col("o_custkey") % 150).cast("string")
+    changes = table(spark, sf, "orders").groupBy(F.concat(F.lit("KRW-S"), number).alias("symbol")).agg(
+        F.count("*").cast("decimal(38,12)").alias("qty")
     )
     rows = upsert_positions(_held(spark, sf), changes)
     return rows.select("symbol", F.col("qty").cast("double").alias("qty"))
@@ -310,45 +319,71 @@ def _orders(spark, sf):
 NOTIONAL = "CASE WHEN order_type = 'MARKET_BUY' THEN price ELSE coalesce(quantity, 0) * coalesce(price, 0) END"
 
 
-@query("requested_notional", f"WITH {VALID} SELECT {KEY}, round({NOTIONAL}, 6) + 0.0 AS notional FROM valid")
+#: The notional as text: quantities are whole numbers, prices have two places.
+NOTIONAL_TEXT = """CAST(CAST(CASE WHEN order_type = 'MARKET_BUY' THEN CAST(price AS DECIMAL(18,2))
+    ELSE CAST(coalesce(quantity, 0) AS DECIMAL(12,0)) * CAST(coalesce(price, 0) AS DECIMAL(18,2)) END AS DECIMAL(38,12)) AS VARCHAR)"""
+
+
+@query("requested_notional", f"WITH {VALID} SELECT {KEY}, {NOTIONAL_TEXT} AS notional FROM valid")
 def requested_notional(spark, sf):
-    return _orders(spark, sf).select(*LEDGER_KEY, r("requested_notional").alias("notional"))
+    return _orders(spark, sf).select(*LEDGER_KEY, text12("requested_notional").alias("notional"))
 
 
 @query(
     "created_orders",
-    f"WITH {VALID} SELECT 'c' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS client_order_id, symbol, 'CREATED' AS status, round({NOTIONAL}, 6) + 0.0 AS notional FROM valid",
+    f"WITH {VALID} SELECT 'c' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS client_order_id, symbol, 'CREATED' AS status, {NOTIONAL_TEXT} AS notional FROM valid",
 )
 def created_orders(spark, sf):
     good, _ = od.split_requests(requests(spark, sf))
     key = F.concat(F.lit("c"), F.concat_ws("-", *[F.col(c).cast("string") for c in LEDGER_KEY]))
     rows = od.build_orders(good, key)
-    return rows.select("client_order_id", "symbol", "status", r("requested_notional").alias("notional"))
+    return rows.select("client_order_id", "symbol", "status", text12("requested_notional").alias("notional"))
 
 
-@query(
-    "paper_unit_price",
-    f"WITH {VALID} SELECT {KEY}, round(CASE WHEN order_type = 'MARKET_BUY' THEN price / quantity ELSE price END, 7) + 0.0 AS unit_price FROM valid WHERE mode = 'PAPER'",
-)
+PAPER = f"""{VALID},
+exact AS (SELECT *, CAST(round(price * 100) AS HUGEINT) * 10000000000 AS p, CAST(quantity AS HUGEINT) AS q FROM valid WHERE mode = 'PAPER'),
+pr AS (SELECT *, CASE WHEN order_type = 'MARKET_BUY' THEN {half_up("p", "q")} ELSE p END AS px FROM exact)"""
+
+
+@query("paper_unit_price", f"WITH {PAPER} SELECT {KEY}, {units_text('px')} AS unit_price FROM pr")
 def paper_unit_price(spark, sf):
     rows = _orders(spark, sf).where(F.col("mode") == "PAPER")
-    return rows.select(*LEDGER_KEY, r(od.paper_price(), 7).alias("unit_price"))
+    return rows.select(*LEDGER_KEY, text12(od.paper_price()).alias("unit_price"))
 
 
 @query(
     "paper_fills",
-    f"""WITH {VALID}, pr AS (SELECT *, CASE WHEN order_type = 'MARKET_BUY' THEN price / quantity ELSE price END AS px FROM valid WHERE mode = 'PAPER')
-    SELECT {KEY}, quantity AS executed_volume, round(px, 7) + 0.0 AS avg_executed_price, round(px * quantity * 0.0005, 8) + 0.0 AS fee_amount, 'FILLED' AS status FROM pr""",
+    f"""WITH {PAPER} SELECT {KEY}, {units_text("q * 1000000000000")} AS executed_volume, {units_text("px")} AS avg_executed_price,
+    {units_text(half_up("px * q * 5", "10000"))} AS fee_amount, 'FILLED' AS status, CAST(NULL AS VARCHAR) AS amount_error FROM pr""",
 )
 def paper_fills(spark, sf):
     rows = od.paper_fill(_orders(spark, sf).where(F.col("mode") == "PAPER"), "0.0005")
-    return rows.select(
+    amounts = [text12(c).alias(c) for c in ("executed_volume", "avg_executed_price", "fee_amount")]
+    return rows.select(*LEDGER_KEY, *amounts, "status", "amount_error")
+
+
+@query(
+    "paper_fills_by_notional",
+    f"""WITH o AS (
+      SELECT *, CAST(round(l_extendedprice * 100) AS HUGEINT) * 10000000000 * CASE WHEN l_linenumber = 1 THEN 10000000000 ELSE 1 END AS n,
+        CAST(round(l_extendedprice * 100) AS HUGEINT) % 99991 + 3 AS c FROM lineitem),
+    v AS (SELECT *, n * 100 // c AS v FROM o)
+    SELECT {KEY}, {units_text("v")} AS executed_volume, {units_text("c * 10000000000")} AS avg_executed_price,
+      {units_text(half_up(half_up("v * c", "100") + " * 5", "10000"))} AS fee_amount FROM v""",
+)
+def paper_fills_by_notional(spark, sf):
+    """Fills of orders that give notional and price only; one line in each order has a notional of 1e12 and more."""
+    large = F.when(F.col("l_linenumber") == 1, 10**10).otherwise(1).cast("decimal(11,0)")
+    cents_ = F.round(F.col("l_extendedprice") * 100).cast("decimal(14,0)")
+    rows = table(spark, sf, "lineitem").select(
         *LEDGER_KEY,
-        r("executed_volume").alias("executed_volume"),
-        r("avg_executed_price", 7).alias("avg_executed_price"),
-        r("fee_amount", 8).alias("fee_amount"),
-        "status",
+        F.lit("LIMIT").alias("order_type"),
+        F.lit(None).cast("decimal(37,12)").alias("quantity"),
+        (cents_ * F.lit(Decimal("0.01")) * large).cast("decimal(37,12)").alias("requested_notional"),
+        ((cents_ % 99991 + 3) * F.lit(Decimal("0.01"))).cast("decimal(37,12)").alias("price"),
     )
+    rows = od.paper_fill(rows, "0.0005")
+    return rows.select(*LEDGER_KEY, *[text12(c).alias(c) for c in ("executed_volume", "avg_executed_price", "fee_amount")])
 
 
 @query(
@@ -364,7 +399,7 @@ CHANCE = """
 chance AS (SELECT 'KRW-S' || l_suppkey AS symbol, CASE WHEN l_suppkey % 6 <> 0 THEN sum(l_quantity) * 100 END AS bid,
   CASE WHEN l_suppkey % 5 <> 0 THEN max(l_quantity) END AS ask, CASE WHEN l_suppkey % 3 = 0 THEN CAST(max(l_linenumber) AS DOUBLE) END AS avg_buy
   FROM lineitem GROUP BY l_suppkey),
-ticks AS (SELECT 'KRW-S' || l_suppkey AS symbol, CAST(min(l_quantity) AS DOUBLE) AS last_price FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY l_suppkey)"""
+ticks AS (SELECT 'KRW-S' || l_suppkey AS symbol, CAST(min(CASE WHEN l_suppkey % 2 = 0 THEN l_quantity END) AS DOUBLE) AS last_price FROM lineitem GROUP BY l_suppkey)"""
 
 
 def _chance_json(spark, sf):
@@ -415,9 +450,8 @@ est AS (SELECT *, CASE WHEN notional > 0 THEN notional WHEN order_type = 'MARKET
 
 
 def _estimated(spark, sf):
-    t = table(spark, sf, "lineitem").where(F.col("l_suppkey") % 2 == 0)
-    ticks = t.groupBy(F.concat(F.lit("KRW-S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(
-        F.min("l_quantity").alias("last_price")
+    ticks = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("KRW-S"), F.col("l_suppkey").cast("string")).alias("symbol")).agg(
+        F.min(F.when(F.col("l_suppkey") % 2 == 0, F.col("l_quantity"))).alias("last_price")
     )
     orders = _orders(spark, sf).where(F.col("mode") == "LIVE").withColumnRenamed("market", "symbol")
     return od.with_notional_estimate(orders, od.flatten_chance(_chance_json(spark, sf)), ticks, "0.0005")
@@ -470,14 +504,15 @@ def signal_order_requests(spark, sf):
 
 @query(
     "paper_buy_sizes",
-    f"""WITH {CANDLES} SELECT market, {"strftime(ts, '%Y-%m-%d')"} AS day, floor(100000 / close * 1e6) / 1e6 AS quantity FROM candles""",
+    f"""WITH {CANDLES} SELECT market, {"strftime(ts, '%Y-%m-%d')"} AS day,
+    {units_text("100000 * CAST(10000000000000000000 AS HUGEINT) // CAST(round(close * 10000000) AS HUGEINT)")} AS quantity FROM candles""",
 )
 def paper_buy_sizes(spark, sf):
-    """Size of a paper buy at each close, as if every candle gave a buy signal."""
-    c = candles(spark, sf).withColumns({"buy_signal": F.lit(True), "sell_signal": F.lit(False), "position_qty": F.lit(0.0)})
+    """Size of a paper buy at each close (seven places), as if every candle gave a buy signal."""
+    c = candles(spark, sf).withColumn("close", F.round("close", 7).cast("decimal(37,12)"))
+    c = c.withColumns({"buy_signal": F.lit(True), "sell_signal": F.lit(False), "position_qty": F.lit(0.0)})
     rows = od.signal_requests(c.withColumnRenamed("ts", "signal_ts"), "PAPER", "100000")
-    cut = F.floor(F.col("quantity").cast("double") * 1e6) / 1e6
-    return rows.select("market", day("signal_ts").alias("day"), cut.alias("quantity"))
+    return rows.select("market", day("signal_ts").alias("day"), text12("quantity").alias("quantity"))
 
 
 @query(
@@ -611,14 +646,14 @@ def order_status_map(spark, sf):
 @query(
     "exploded_trades",
     f"""WITH {SNAPSHOTS} SELECT order_id, event_id, CAST(pos AS BIGINT) AS pos, strftime(filled_at, '%Y-%m-%d %H:%M:%S') AS filled_at, trade_id,
-    volume::DOUBLE AS fill_qty, price::DOUBLE AS fill_price, round(funds::DOUBLE, 4) + 0.0 AS funds FROM trades""",
+    volume::DOUBLE AS fill_qty, price::DOUBLE AS fill_price, CAST(CAST(funds AS DECIMAL(38,12)) AS VARCHAR) AS funds FROM trades""",
 )
 def exploded_trades(spark, sf):
     rows = rec.explode_trades(order_snapshots(spark, sf))
     num = [F.col(c).cast("double").alias(c) for c in ("fill_qty", "fill_price")]
     return rows.select(
         "order_id", F.col("seq.event_id").alias("event_id"), F.col("pos").cast("bigint").alias("pos"),
-        stamp("filled_at").alias("filled_at"), "trade_id", *num, r("funds", 4).alias("funds"),
+        stamp("filled_at").alias("filled_at"), "trade_id", *num, text12("funds").alias("funds"),
     )
 
 
@@ -637,14 +672,14 @@ def new_fills(spark, sf):
     )
 
 
-@query("order_vwap", f"WITH {SNAPSHOTS} SELECT order_id, event_id, round(avg_price, 9) + 0.0 AS avg_price FROM snap")
+@query("order_vwap", f"WITH {SNAPSHOTS} SELECT order_id, event_id, {units_text('avg_price')} AS avg_price FROM snap")
 def order_vwap(spark, sf):
     s = order_snapshots(spark, sf)
-    return s.select("order_id", F.col("seq.event_id").alias("event_id"), r(rec.average_price(), 9).alias("avg_price"))
+    return s.select("order_id", F.col("seq.event_id").alias("event_id"), text12(rec.average_price()).alias("avg_price"))
 
 
-MOVED_SQL = """order_id, event_id, symbol, side, executed::DOUBLE AS executed_volume, round(avg_price, 9) + 0.0 AS avg_executed_price, status,
-    delta_qty::DOUBLE AS delta_qty, round(delta_price, 9) + 0.0 AS delta_price"""
+MOVED_SQL = f"""order_id, event_id, symbol, side, executed::DOUBLE AS executed_volume, {units_text("avg_price")} AS avg_executed_price, status,
+    delta_qty::DOUBLE AS delta_qty, {units_text("delta_price")} AS delta_price"""
 
 
 @query("reconciled_orders", f"WITH {SNAPSHOTS} SELECT {MOVED_SQL} FROM moved")
@@ -655,15 +690,15 @@ def reconciled_orders(spark, sf):
 def moved_columns(rows):
     return rows.select(
         "order_id", "event_id", "symbol", "side", F.col("executed_volume").cast("double").alias("executed_volume"),
-        r("avg_executed_price", 9).alias("avg_executed_price"), "status",
-        F.col("delta_qty").cast("double").alias("delta_qty"), r("delta_price", 9).alias("delta_price"),
+        text12("avg_executed_price").alias("avg_executed_price"), "status",
+        F.col("delta_qty").cast("double").alias("delta_qty"), text12("delta_price").alias("delta_price"),
     )
 
 
 @query(
     "reconciled_positions",
     f"""WITH RECURSIVE {SNAPSHOTS},
-    mv AS (SELECT symbol, side, delta_qty::DOUBLE AS qty, delta_price AS price, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM moved WHERE delta_qty > 0),
+    mv AS (SELECT symbol, side, delta_qty::DOUBLE AS qty, delta_price / 1e12 AS price, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM moved WHERE delta_qty > 0),
     pos AS (
       SELECT symbol, rn, CASE WHEN side = 'BUY' THEN qty ELSE 0 END AS q, CASE WHEN side = 'BUY' THEN price ELSE 0 END AS a FROM mv WHERE rn = 1
       UNION ALL

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIDE = "decimal(38,12)"
-NARROW = "decimal(24,12)"
-SUM = "decimal(34,12)"  # sums and differences of WIDE values would lose their last digit
+AMOUNT = "decimal(37,12)"  # what is added up: sums and differences of WIDE values would lose their last digit
 
 
 def normalize_market(market: Column) -> Column:
@@ -62,24 +64,101 @@ def plain_decimal(value: Column) -> Column:
 
 
 def dec(value: Column) -> Column:
-    """Ledger decimal; null and unparsable text become zero."""
-    return F.coalesce(value.try_cast(NARROW), F.lit(0).cast(NARROW))
+    """Ledger decimal; null and unparsable text become zero, a number beyond the ledger's range becomes null."""
+    number = finite(value.try_cast("double"))
+    return F.coalesce(value.try_cast(AMOUNT), F.when(number.isNull(), F.lit(0).cast(AMOUNT)))
+
+
+def _e(digits: int) -> Column:
+    return F.lit(Decimal(10) ** digits)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _parts(x: Column) -> tuple[Column, Column]:
+    """Whole part and fraction (in units of 1e-12) of an amount without its sign.
+
+    Signs are changed on the parts only: changing the sign of a decimal rounds it to 34 digits.
+    """
+    rest = x % F.lit(Decimal(1))
+    return F.abs(F.try_subtract(x, rest).cast("decimal(25,0)")), F.abs((rest * _e(12)).cast("decimal(12,0)"))
+
+
+def _whole(x: Column) -> Column:
+    """An amount without its sign in units of 1e-12."""
+    high, low = _parts(x)
+    return F.try_add(F.try_multiply(high, _e(12)), low)
+
+
+def _amount(units: Column, negative: Column) -> Column:
+    """Units of 1e-12 as a ledger decimal."""
+
+    def signed(u: Column) -> Column:
+        rest = u % _e(12)
+        high = F.try_divide(F.try_subtract(u, rest), _e(12)).try_cast("decimal(25,0)")
+        low = rest.cast("decimal(12,0)") * F.lit(Decimal("0.000000000001"))
+        return F.when(negative, (-high) + (-low)).otherwise(high + low).cast(WIDE)
+
+    return _let(units, signed)
+
+
+def _product(a: Column, b: Column, half_up: bool) -> Column:
+    def exact(x: Column) -> Column:
+        (a_high, a_low), (b_high, b_low) = _parts(x["a"]), _parts(x["b"])
+        tail = F.call_function("div", a_low * b_low + F.lit(Decimal(5 * 10**11 if half_up else 0)), _e(12)).cast("decimal(13,0)")
+        middle = F.try_add(F.try_multiply(a_high, b_low), F.try_multiply(a_low, b_high))
+        units = F.try_add(F.try_add(F.try_multiply(F.try_multiply(a_high, b_high), _e(12)), middle), tail)
+        return _amount(units, (x["a"] < 0) != (x["b"] < 0))
+
+    return _let(F.struct(a.try_cast(AMOUNT).alias("a"), b.try_cast(AMOUNT).alias("b")), exact)
+
+
+def _quotient(a: Column, b: Column, half_up: bool) -> Column:
+    """Long division in whole numbers: the whole part, then six digits, then six more."""
+    units = "decimal(38,0)"
+
+    def step(s: Column, factor: Column) -> Column:
+        n = F.try_multiply(s["rest"], factor)
+        rest = n % s["by"]
+        more = F.try_divide(F.try_subtract(n, rest), s["by"]).try_cast("decimal(25,0)")
+        total = F.try_add(F.try_multiply(s["q"], factor), more)
+        return F.struct(total.cast(units).alias("q"), rest.cast(units).alias("rest"), s["by"].alias("by"))
+
+    def exact(x: Column) -> Column:
+        by = F.nullif(_whole(x["b"]), F.lit(Decimal(0))).cast(units)
+        begin = F.struct(F.lit(Decimal(0)).cast(units).alias("q"), _whole(x["a"]).cast(units).alias("rest"), by.alias("by"))
+        up = lambda s: F.when(s["rest"] >= s["by"] - s["rest"], 1).otherwise(0) if half_up else F.lit(0)
+        digits = F.array(_e(0), _e(6), _e(6))
+        total = F.aggregate(digits, begin, step, lambda s: F.try_add(s["q"], up(s).cast("decimal(1,0)")).cast(units))
+        return _amount(total, (x["a"] < 0) != (x["b"] < 0))
+
+    return _let(F.struct(a.try_cast(AMOUNT).alias("a"), b.try_cast(AMOUNT).alias("b")), exact)
 
 
 def mul12(a: Column, b: Column) -> Column:
-    """Decimal product rounded half up to 12 places."""
-    return F.round(a.cast(NARROW) * b.cast(NARROW), 12).cast(WIDE)
+    """Exact decimal product rounded half up to 12 places once; null when it does not fit the ledger."""
+    return _product(a, b, True)
+
+
+def mul_down(a: Column, b: Column) -> Column:
+    """Exact decimal product cut to 12 places; null when it does not fit the ledger."""
+    return _product(a, b, False)
 
 
 def div_half_up(a: Column, b: Column) -> Column:
-    """Quotient rounded half up to 12 places; null when the divisor is zero."""
-    return F.round(a.cast(NARROW) / F.nullif(b.cast(NARROW), F.lit(0).cast(NARROW)), 12).cast(WIDE)
+    """Exact quotient rounded half up to 12 places once.
+
+    Null when the divisor is zero, or when it is 1e20 or more or the result does not fit the ledger.
+    """
+    return _quotient(a, b, True)
 
 
 def div_down(a: Column, b: Column) -> Column:
-    """Quotient of non-negative values cut to 12 places; null when the divisor is zero."""
-    quotient = a.cast(NARROW) / F.nullif(b.cast(NARROW), F.lit(0).cast(NARROW))
-    return F.floor(quotient, F.lit(12)).cast(WIDE)
+    """Exact quotient cut to 12 places; null as in ``div_half_up``."""
+    return _quotient(a, b, False)
 
 
 def positive(x: Column) -> Column:

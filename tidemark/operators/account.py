@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import NARROW, SUM, WIDE, asset_of, dec, normalize_market
+from tidemark.functions.scalar import AMOUNT, WIDE, asset_of, dec, normalize_market
 from tidemark.operators.orders import ACTIVE_STATUSES
 from tidemark.operators.scan import lay_out
 
@@ -44,8 +44,8 @@ def sync_positions(markets: DataFrame, accounts: DataFrame, mode: str = "LIVE")
 
 def drift_columns(total: Column, managed: Column) -> dict[str, Column]:
     """External, sellable and drifting quantity of a position."""
-    zero = F.lit(0).cast(SUM)
-    total, managed = (F.coalesce(x.cast(SUM), zero) for x in (total, managed))
+    zero = F.lit(0).cast(AMOUNT)
+    total, managed = (F.coalesce(x.cast(AMOUNT), zero) for x in (total, managed))
     drift = F.abs(total - managed)
     return {
         "external_qty": F.greatest(total - managed, zero).cast(WIDE),
@@ -141,11 +141,11 @@ def coexistence(markets: DataFrame, positions: DataFrame, verdicts: DataFrame) -
 def position_lookup(markets: DataFrame, positions: DataFrame) -> DataFrame:
     """Position of each market; flat when there is none."""
     held = positions.select(F.col("symbol").alias("market"), "qty", "avg_price", "updated_at")
-    zero = F.lit(0).cast(NARROW)
+    zero = F.lit(0).cast(AMOUNT)
     return markets.join(held, "market", "left").select(
         "market",
-        F.coalesce(F.col("qty").cast(NARROW), zero).cast(WIDE).alias("total_qty"),
-        F.greatest(F.coalesce(F.col("qty").cast(NARROW), zero), zero).cast(WIDE).alias("position_qty"),
-        F.coalesce(F.col("avg_price").cast(NARROW), zero).cast(WIDE).alias("position_avg_price"),
+        F.coalesce(F.col("qty").cast(AMOUNT), zero).cast(WIDE).alias("total_qty"),
+        F.greatest(F.coalesce(F.col("qty").cast(AMOUNT), zero), zero).cast(WIDE).alias("position_qty"),
+        F.coalesce(F.col("avg_price").cast(AMOUNT), zero).cast(WIDE).alias("position_avg_price"),
         "updated_at",
     )

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import SUM, WIDE
+from tidemark.functions.scalar import AMOUNT, WIDE
 from tidemark.operators.scan import Series, lay_out
 from tidemark.session import materialize
 
@@ -29,8 +29,8 @@ def running_quantity(df: DataFrame, series: Series, delta: Column, name: str = "
     """Running sum of ``delta`` with a floor of zero at every step: W - min(0, lowest W so far)."""
     df = series.running(df, _w=("sum", delta.cast("decimal(28,12)")))
     df = series.running(df, _low=("min", F.col("_w")))
-    zero = F.lit(0).cast(SUM)
-    held = F.col("_w").cast(SUM) - F.least(zero, F.col("_low").cast(SUM))
+    zero = F.lit(0).cast(AMOUNT)
+    held = F.col("_w").cast(AMOUNT) - F.least(zero, F.col("_low").cast(AMOUNT))
     return df.withColumn(name, held.cast(WIDE)).drop("_w", "_low")
 
 

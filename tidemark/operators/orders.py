@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import NARROW, WIDE, dec, div_down, div_half_up, mul12, positive
+from tidemark.functions.scalar import AMOUNT, WIDE, dec, div_down, div_half_up, mul12, mul_down, positive
 
 # Enum texts of the ledger.
 SIDES = ["BUY", "SELL"]
@@ -54,8 +54,8 @@ def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def requested_notional() -> Column:
     """Price field of a market buy, quantity times price otherwise."""
-    product = mul12(F.coalesce("quantity", F.lit(0).cast(NARROW)), F.coalesce("price", F.lit(0).cast(NARROW)))
-    return F.when(F.col("order_type") == "MARKET_BUY", F.col("price").cast(WIDE)).otherwise(product)
+    product = mul12(F.coalesce("quantity", F.lit(0).cast(AMOUNT)), F.coalesce("price", F.lit(0).cast(AMOUNT)))
+    return F.when(F.col("order_type") == "MARKET_BUY", F.col("price").try_cast(WIDE)).otherwise(product)
 
 
 def build_orders(requests: DataFrame, key: Column) -> DataFrame:
@@ -76,26 +76,34 @@ def build_orders(requests: DataFrame, key: Column) -> DataFrame:
 def paper_price() -> Column:
     """Unit price of a paper order: notional over quantity for a market buy, else the given price."""
     unit = div_half_up(F.col("requested_notional"), F.col("quantity"))
-    return F.when(F.col("order_type") == "MARKET_BUY", unit).otherwise(F.col("price").cast(WIDE))
+    return F.when(F.col("order_type") == "MARKET_BUY", unit).otherwise(F.col("price").try_cast(WIDE))
 
 
 def paper_fill(orders: DataFrame, fee_rate: float | str) -> DataFrame:
-    """Fill paper orders at their price: executed volume, fee, status FILLED."""
-    price = F.coalesce(paper_price(), F.lit(0).cast(WIDE))
-    bought = F.when(price > 0, div_down(F.col("requested_notional"), price))
+    """Fill paper orders at their price: executed volume, fee, status FILLED.
+
+    ``amount_error`` names the orders whose amounts do not fit the ledger; these stay unfilled.
+    """
+    zero = F.lit(0).cast(WIDE)
+    per_unit = F.col("requested_notional").isNull() | F.coalesce(F.col("quantity") == 0, F.lit(True))
+    missing = F.when(F.col("order_type") == "MARKET_BUY", per_unit).otherwise(F.col("price").isNull())
+    price = F.when(missing, zero).otherwise(paper_price())
+    bought = F.when((price > 0) & F.col("requested_notional").isNotNull(), div_down(F.col("requested_notional"), price)).otherwise(zero)
     rows = orders.withColumn("avg_executed_price", price)
-    qty = F.coalesce(F.col("quantity").cast(WIDE), bought, F.lit(0).cast(WIDE))
+    qty = F.when(F.col("quantity").isNotNull(), F.col("quantity").try_cast(WIDE)).otherwise(bought)
     rows = rows.withColumn("executed_volume", qty)
-    rate = F.lit(str(fee_rate)).cast("decimal(12,8)")
-    fee = (mul12(F.col("avg_executed_price"), F.col("executed_volume")).cast(NARROW) * rate).cast(WIDE)
-    return rows.withColumns({"fee_amount": fee, "status": F.lit("FILLED")})
+    fee = mul12(mul12(F.col("avg_executed_price"), F.col("executed_volume")), F.lit(str(fee_rate)))
+    rows = rows.withColumn("fee_amount", fee)
+    short = F.col("avg_executed_price").isNull() | F.col("executed_volume").isNull() | F.col("fee_amount").isNull()
+    error = F.when(short, "amount_out_of_range")
+    return rows.withColumns({"amount_error": error, "status": F.when(short, F.col("status") if "status" in orders.columns else F.lit("CREATED")).otherwise("FILLED")})
 
 
 def spendable(balance: Column, fee_rate: float | str) -> Column:
     """Whole quote units a market buy may use after the fee; a share outside (0, 1] counts as 1."""
     share = F.lit(1).cast("decimal(12,8)") - F.lit(str(fee_rate)).cast("decimal(12,8)")
     share = F.when((share > 0) & (share <= 1), share).otherwise(F.lit(1).cast("decimal(12,8)"))
-    return F.floor(F.coalesce(balance, F.lit(0)).cast(NARROW) * share).cast("decimal(38,0)")
+    return F.floor(mul_down(F.coalesce(balance, F.lit(0)), share)).cast("decimal(38,0)")
 
 
 def flatten_chance(df: DataFrame) -> DataFrame:
@@ -124,7 +132,7 @@ def with_notional_estimate(orders: DataFrame, chances: DataFrame, tickers: DataF
     wanted = positive(F.col("requested_notional"))
     budget = positive(spendable(F.col("bid_balance"), fee_rate)).cast(WIDE)
     reference = F.coalesce(*[positive(F.col(c)).cast(WIDE) for c in ("price", "ask_avg_buy_price", "last_price")])
-    sale = mul12(F.coalesce("quantity", F.lit(0).cast(NARROW)), reference)
+    sale = mul12(F.coalesce("quantity", F.lit(0).cast(AMOUNT)), reference)
     kind = F.col("order_type")
     amount = F.coalesce(
         wanted.cast(WIDE),
@@ -140,7 +148,7 @@ def with_notional_estimate(orders: DataFrame, chances: DataFrame, tickers: DataF
 
 def balance_sufficient() -> Column:
     """Buys need the notional in quote currency, sells the quantity in the asset."""
-    zero = F.lit(0).cast(NARROW)
+    zero = F.lit(0).cast(AMOUNT)
     quote, asset = F.coalesce("bid_balance", zero), F.coalesce("ask_balance", zero)
     return F.when(F.col("side") == "BUY", quote >= F.col("estimated_notional")).otherwise(
         asset >= F.coalesce("quantity", zero)
@@ -181,7 +189,7 @@ def signal_requests(signals: DataFrame, mode: str, notional: float | str) -> Dat
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     paper = F.lit(mode == "PAPER")
-    close, spend = F.col("close").cast(NARROW), F.lit(str(notional)).cast(NARROW)
+    close, spend = F.col("close").cast(AMOUNT), F.lit(str(notional)).cast(AMOUNT)
     buy = F.col("buy_signal")
     qty = F.when(buy, F.when(paper & (close > 0), div_down(spend, close))).otherwise(F.col("position_qty").cast(WIDE))
     rows = signals.where(F.col("buy_signal") | F.col("sell_signal")).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import NARROW, SUM, WIDE, dec, div_half_up, mul12
+from tidemark.functions.scalar import AMOUNT, WIDE, dec, div_half_up, mul12
 from tidemark.operators.scan import lay_out
 
 EPOCH = "1970-01-01 00:00:00"
@@ -70,7 +70,7 @@ def new_fills(fills: DataFrame, known: DataFrame) -> DataFrame:
 def average_price() -> Column:
     """Volume-weighted price over a snapshot's trades; the order price without trades or volume."""
     total = lambda f: F.aggregate(
-        F.col("trades"), F.lit(0).cast(SUM), lambda acc, t: (acc + dec(t[f])).cast(SUM)
+        F.col("trades"), F.lit(0).cast(AMOUNT), lambda acc, t: F.try_add(acc, dec(t[f])).try_cast(AMOUNT)
     )
     volume = total("volume")
     return F.coalesce(F.when(volume > 0, div_half_up(total("funds"), volume)), dec(F.col("price")).cast(WIDE))
@@ -90,10 +90,10 @@ def reconcile(
     rows = series.shift(rows, _prev=F.col("executed"))
     fills = first_fills(explode_trades(snapshots)) if fills is None else fills
     fresh = fills.groupBy("order_id", "seq").agg(
-        F.sum("fill_qty").cast(NARROW).alias("_q"), F.sum("funds").cast(NARROW).alias("_f")
+        F.try_sum("fill_qty").try_cast(AMOUNT).alias("_q"), F.try_sum("funds").try_cast(AMOUNT).alias("_f")
     )
     rows = rows.withColumn("avg_executed_price", average_price()).join(fresh, ["order_id", "seq"], "left")
-    delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(NARROW))
+    delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(AMOUNT))
     price = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
     return rows.select(
         "order_id",
