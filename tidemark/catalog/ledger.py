@@ -31,7 +31,7 @@ from tidemark.catalog.base import (
     user_markets,
     user_orders,
 )
-from tidemark.catalog.market import LIVE_SQL, live
+from tidemark.catalog.market import DIAGNOSTIC_SQL, LIVE_SQL, SCHEMA_SQL, live
 from tidemark.functions.scalar import asset_of
 from tidemark.operators import account as acc
 from tidemark.operators import orders as od
@@ -534,24 +534,6 @@ def unrealized_returns(spark, sf):
     return live(spark, sf).select("market", r(pct).alias("unrealized_return_pct"))
 
 
-@query(
-    "candle_signal_events",
-    f"""{LIVE_SQL}, {FILLED.replace('filled AS', 'f AS')}, fees AS (SELECT symbol % 5 AS k, count(*) AS c FROM f GROUP BY 1)
-    SELECT 'candle_signal' AS event, market, round(close + 1, 6) + 0.0 AS live_price, has AS has_position,
-    round(coalesce(CASE WHEN has AND avg_price > 0 THEN ((close + 1) / avg_price - 1) * 100 END, 0), 6) + 0.0 AS unrealized_return_pct,
-    0.0::DOUBLE AS realized_pnl_krw, buy_signal, sell_signal, signal_reason FROM signals""",
-)
-def candle_signal_events(spark, sf):
-    from tidemark.plans.live import candle_signal_rows
-
-    signals = live(spark, sf)
-    ticks = signals.select("market", (F.col("close") + 1).alias("trade_price"))
-    none = execution_metrics(filled_orders(spark, sf), ["symbol"], LEDGER_ORDER).withColumn("symbol", F.col("symbol").cast("string"))
-    rows = event_rows(candle_signal_rows(signals, none, ticks), "candle_signal")
-    cols = [r(c).alias(c) for c in ("live_price", "unrealized_return_pct", "realized_pnl_krw")]
-    return rows.select("event", "market", *cols, "has_position", "buy_signal", "sell_signal", "signal_reason")
-
-
 # --- ledger folds ---------------------------------------------------------------------------------------------
 
 
@@ -567,7 +549,9 @@ def managed_quantity_query(spark, sf):
     return rows.select("symbol", F.col("managed_qty").cast("double").alias("managed_qty"))
 
 
-TRIPS = f"""WITH RECURSIVE {FILLED},
+def trips_sql(filled: str) -> str:
+    """Round trips of a CTE ``filled``, stepping order by order."""
+    return filled + """,
 run AS (
   SELECT symbol, rn, CASE WHEN side = 'BUY' THEN qty ELSE 0 END::DOUBLE AS held, CASE WHEN side = 'BUY' THEN price * qty + fee ELSE 0 END::DOUBLE AS basis,
     0.0::DOUBLE AS pnl, 0.0::DOUBLE AS cost, 0::BIGINT AS trip, false AS closed FROM filled WHERE rn = 1
@@ -583,6 +567,9 @@ live AS (SELECT * FROM run WHERE held > 0 OR closed),
 trips AS (SELECT symbol, trip, sum(pnl) AS pnl, sum(cost) AS cost, bool_or(closed) AS closed FROM live GROUP BY 1, 2)"""
 
 
+TRIPS = f"WITH RECURSIVE {trips_sql(FILLED)}"
+
+
 @query(
     "round_trips",
     f"{TRIPS} SELECT symbol, trip, round(pnl, 7) + 0.0 AS pnl, round(cost, 7) + 0.0 AS cost, closed FROM trips",
@@ -592,23 +579,79 @@ def round_trips_query(spark, sf):
     return rows.select("symbol", "trip", r("pnl", 7).alias("pnl"), r("cost", 7).alias("cost"), "closed")
 
 
-@query(
-    "execution_metrics",
-    f"""{TRIPS}, rets AS (SELECT *, CASE WHEN closed AND cost > 0 THEN pnl / cost * 100 END AS ret FROM trips),
+METRICS_SQL = """
+rets AS (SELECT *, CASE WHEN closed AND cost > 0 THEN pnl / cost * 100 END AS ret FROM trips),
     curve AS (SELECT *, product(1 + coalesce(ret, 0) / 100) OVER (PARTITION BY symbol ORDER BY trip) AS c FROM rets),
     peak AS (SELECT *, greatest(1, max(c) OVER (PARTITION BY symbol ORDER BY trip)) AS p FROM curve),
     s AS (SELECT symbol, sum(pnl) AS pnl, sum(cost) AS cost, count(ret) AS n, count(*) FILTER (ret > 0) AS w, avg(ret) FILTER (ret > 0) AS aw,
-      -avg(ret) FILTER (ret < 0) AS al, avg(ret) AS ex, least(0, min((c / p - 1) * 100)) AS dd FROM peak GROUP BY symbol)
-    SELECT symbol, round(pnl, 7) + 0.0 AS realized_pnl, round(CASE WHEN cost > 0 THEN pnl / cost * 100 END, 5) + 0.0 AS realized_return_pct,
-      round(CASE WHEN n > 0 THEN dd END, 5) + 0.0 AS max_drawdown_pct, n AS trade_count, round(CASE WHEN n > 0 THEN w * 100.0 / n END, 5) + 0.0 AS win_rate_pct,
-      round(aw, 5) + 0.0 AS avg_win_pct, round(al, 5) + 0.0 AS avg_loss_pct, round(CASE WHEN al > 0 THEN aw / al END, 5) + 0.0 AS rr_ratio,
-      round(ex, 5) + 0.0 AS expectancy_pct FROM s""",
+      -avg(ret) FILTER (ret < 0) AS al, avg(ret) AS ex, least(0, min((c / p - 1) * 100)) AS dd FROM peak GROUP BY symbol),
+    metrics AS (SELECT symbol, pnl AS realized_pnl, CASE WHEN cost > 0 THEN pnl / cost * 100 END AS realized_return_pct,
+      CASE WHEN n > 0 THEN dd END AS max_drawdown_pct, n AS trade_count, CASE WHEN n > 0 THEN w * 100.0 / n END AS win_rate_pct,
+      aw AS avg_win_pct, al AS avg_loss_pct, CASE WHEN al > 0 THEN aw / al END AS rr_ratio, ex AS expectancy_pct FROM s)"""
+
+
+@query(
+    "execution_metrics",
+    f"""{TRIPS}, {METRICS_SQL}
+    SELECT symbol, round(realized_pnl, 7) + 0.0 AS realized_pnl, trade_count, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in METRICS if c not in ("realized_pnl", "trade_count"))} FROM metrics""",
 )
 def execution_metrics_query(spark, sf):
     rows = execution_metrics(filled_orders(spark, sf), ["symbol"], LEDGER_ORDER)
     return rows.select("symbol", *[F.col(c) if c == "trade_count" else r(c, 7 if c == "realized_pnl" else 5).alias(c) for c in METRICS])
 
 
+MARKET_FILLED = """
+filled AS (
+  SELECT o_orderpriority AS symbol, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side,
+         CASE WHEN o_orderkey % 3 = 0 THEN 7 ELSE 3 END AS qty, 100 + o_totalprice / 25000 AS price, 0.05::DOUBLE AS fee,
+         row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS rn
+  FROM orders)"""
+
+
+def market_orders(spark, sf):
+    """Filled orders of the same markets as the candles, out of orders."""
+    sell = F.col("o_orderkey") % 3 == 0
+    return table(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("symbol"),
+        F.when(sell, "SELL").otherwise("BUY").alias("side"),
+        F.when(sell, 7).otherwise(3).cast("decimal(38,12)").alias("executed_volume"),
+        (100 + F.col("o_totalprice") / 25000).alias("avg_executed_price"),
+        F.lit(0.05).alias("fee_amount"),
+        "o_orderdate",
+        "o_orderkey",
+    )
+
+
+EVENT_NUMBERS = {
+    "close": "close", "live_price": "close + 1", "position_qty": "coalesce(qty, 0)", "position_avg_price": "coalesce(avg_price, 0)",
+    "total_qty": "coalesce(qty, 0)",
+    "unrealized_return_pct": "coalesce(CASE WHEN has AND avg_price > 0 THEN ((close + 1) / avg_price - 1) * 100 END, 0)",
+    "realized_pnl_krw": "coalesce(m.realized_pnl, 0)", "realized_return_pct": "coalesce(m.realized_return_pct, 0)",
+    "max_drawdown_pct": "coalesce(m.max_drawdown_pct, 0)", "trade_win_rate_pct": "coalesce(m.win_rate_pct, 0)",
+    "trade_avg_win_pct": "coalesce(m.avg_win_pct, 0)", "trade_avg_loss_pct": "coalesce(m.avg_loss_pct, 0)",
+    "trade_rr_ratio": "coalesce(m.rr_ratio, 0)", "trade_expectancy_pct": "coalesce(m.expectancy_pct, 0)",
+}
+
+
+@query(
+    "candle_signal_events",
+    f"""{LIVE_SQL}, {trips_sql(MARKET_FILLED)}, {METRICS_SQL}
+    SELECT 'candle_signal' AS event, s.market, 'v5' AS strategy_version, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts,
+    {", ".join(f"round({x}, 4) + 0.0 AS {c}" for c, x in EVENT_NUMBERS.items())}, has AS has_position,
+    CAST(coalesce(m.trade_count, 0) AS BIGINT) AS trade_count, buy_signal, sell_signal, signal_reason,
+    {DIAGNOSTIC_SQL} AS diagnostics, {SCHEMA_SQL} AS diagnostics_schema FROM signals s LEFT JOIN metrics m ON m.symbol = s.market""",
+)
+def candle_signal_events(spark, sf):
+    from tidemark.plans.live import candle_signal_rows
+
+    signals = live(spark, sf)
+    ticks = signals.select("market", (F.col("close") + 1).alias("trade_price"))
+    metrics = execution_metrics(market_orders(spark, sf), ["symbol"], ["o_orderdate", "o_orderkey"])
+    rows = event_rows(candle_signal_rows(signals, metrics, ticks, digits=4), "candle_signal")
+    rows = rows.withColumns({"ts": stamp("ts"), "trade_count": F.col("trade_count").cast("bigint")})
+    return rows.withColumns({c: r(c, 4) for c in EVENT_NUMBERS})
+
+
 @query(
     "weighted_positions",
     f"""WITH RECURSIVE {FILLED},

@@ -431,18 +431,25 @@ def signal_diagnostics(spark, sf):
     return rows.drop("ts").withColumn("value", r("value"))
 
 
-@query(
-    "diagnostic_text",
-    f"""{LIVE_SQL} SELECT market, '{{atr.trail_stop=' || CASE WHEN stop IS NULL THEN 'zero' ELSE 'set' END || ', regime.anchor, regime.lower, regime.upper}}' AS keys,
-    '{{atr.trail_stop:{{label="ATR Trail Stop"}}, regime.anchor:{{label="Regime Anchor"}}, regime.lower:{{label="Regime Lower Band"}}, regime.upper:{{label="Regime Upper Band"}}}}' AS diagnostics_schema
-    FROM signals""",
+_VALUE = "CAST(round(coalesce({0}, 0), 4) + 0.0 AS VARCHAR)"
+DIAGNOSTIC_SQL = " || ".join(
+    f"'{start}{key}=' || {_VALUE.format(value)}"
+    for start, key, value in (
+        ("{", "atr.trail_stop", "stop"), (", ", "regime.anchor", "anchor"), (", ", "regime.lower", "lower"), (", ", "regime.upper", "upper"),
+    )
+) + " || '}'"
+SCHEMA_SQL = (
+    """'{atr.trail_stop:{label="ATR Trail Stop"}, regime.anchor:{label="Regime Anchor"}, regime.lower:{label="Regime Lower Band"}, """
+    """regime.upper:{label="Regime Upper Band"}}'"""
 )
+
+
+@query("diagnostic_text", f"{LIVE_SQL} SELECT market, {DIAGNOSTIC_SQL} AS diagnostics, {SCHEMA_SQL} AS diagnostics_schema FROM signals")
 def diagnostic_text_query(spark, sf):
-    cells = diagnostics()
-    text = diagnostic_text(cells)
-    keys = F.regexp_replace(F.regexp_replace(text, r"atr\.trail_stop=0\.0", "atr.trail_stop:zero"), r"atr\.trail_stop=[^,]+", "atr.trail_stop:set")
-    keys = F.replace(F.regexp_replace(keys, r"=[^,}]+", ""), F.lit("trail_stop:"), F.lit("trail_stop="))
-    return live(spark, sf).select("market", keys.alias("keys"), diagnostic_schema(cells).alias("diagnostics_schema"))
+    cells = diagnostics(4)
+    return live(spark, sf).select(
+        "market", diagnostic_text(cells).alias("diagnostics"), diagnostic_schema(cells).alias("diagnostics_schema")
+    )
 
 
 @query(

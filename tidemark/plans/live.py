@@ -123,11 +123,12 @@ def live_signals(
     return one.withColumn("signal_reason", reason).drop("_high").withColumnRenamed("ts", "signal_ts")
 
 
-def diagnostics() -> Column:
-    """Key, label and value of each diagnostic, as an array sorted by key."""
+def diagnostics(digits: int | None = None) -> Column:
+    """Key, label and value (rounded to ``digits`` places if given) of each diagnostic, as an array sorted by key."""
+    shown = lambda v: finite_or_zero(F.col(v) if digits is None else F.round(v, digits))
     values = ["ema", "upper", "lower", "trail_stop"]
     cells = [
-        F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), finite_or_zero(F.col(v)).alias("value"))
+        F.struct(F.lit(k).alias("key"), F.lit(label).alias("label"), shown(v).alias("value"))
         for (k, label), v in zip(DIAGNOSTICS, values)
     ]
     return F.array_sort(F.array(*cells))
@@ -163,11 +164,11 @@ def diagnostic_rows(signals: DataFrame, version: str = "v5") -> DataFrame:
     )
 
 
-def candle_signal_rows(signals: DataFrame, metrics: DataFrame, tickers: DataFrame, version: str = "v5") -> DataFrame:
+def candle_signal_rows(signals: DataFrame, metrics: DataFrame, tickers: DataFrame, version: str = "v5", digits: int | None = None) -> DataFrame:
     """Signals with live price, open profit and execution metrics, as the fields of the signal event."""
     rows = signals.join(metrics.withColumnRenamed("symbol", "market"), "market", "left")
     rows = rows.join(tickers, "market", "left").withColumn("live_price", live_price(F.col("trade_price"), F.col("close")))
-    cells = diagnostics()
+    cells = diagnostics(digits)
     return rows.select(
         "market",
         F.lit(version).alias("strategy_version"),
