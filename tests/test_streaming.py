@@ -3,6 +3,7 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog import QUERIES
@@ -16,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 
 def feed(spark, df, order, path, parts):
     """Write ``df`` as ``parts`` files in arrival order and read them back one per micro-batch."""
-    rows = df.withColumn("_f", F.ntile(parts).over(__import__("pyspark").sql.Window.orderBy(*order)))
+    rows = df.withColumn("_f", F.ntile(parts).over(Window.orderBy(*order)))
     for i in range(1, parts + 1):
         rows.where(F.col("_f") == i).drop("_f").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)

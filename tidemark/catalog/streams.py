@@ -11,30 +11,44 @@ from tidemark.operators import account as acc
 from tidemark.streaming.batches import Stores, alert_drift, dedup_signals, reconcile_orders, refresh_signals
 
 
-def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+STEPS, FILES = 4, 2
+
+
+def feed(df, at, stores):
+    """``df`` as a stream of ``STEPS`` micro-batches in the order of the time column ``at``.
+
+    Each step is written as ``FILES`` files after the step before, and the source takes as many at a time.
+    """
+    spark = df.sparkSession
+    df = df.withColumn("_at", F.unix_micros(at))
+    cuts = df.agg(F.percentile_approx("_at", [k / STEPS for k in range(1, STEPS)], 1000).alias("c")).first().c or []
+    step = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for k in range(STEPS):
+        part = df.where(step == k).drop("_at").repartition(FILES)
+        part.write.mode("append").parquet(stores.path("in"))
+    stream = spark.readStream.schema(df.drop("_at").schema).option("maxFilesPerTrigger", FILES)
+    return stream.parquet(stores.path("in"))
 
 
 @query("stream_signal_dedup", DEDUP_SQL)
 def stream_signal_dedup(spark, sf):
     stores = Stores.fresh(spark)
-    dedup_signals(signal_stream_rows(event_stream(spark, sf)), ["at", "event_id"], stores)
+    dedup_signals(feed(signal_stream_rows(table(spark, sf, "events")), "at", stores), ["at", "event_id"], stores)
     return stores.read(spark).select("market", "side", stamp("signal_ts").alias("signal_ts"), "event_id")
 
 
 @query("stream_drift_alerts", f"WITH {ALERTS} SELECT {ALERT_SQL} FROM alerts")
 def stream_drift_alerts(spark, sf):
     stores = Stores.fresh(spark)
-    e = event_stream(spark, sf).select(
+    e = table(spark, sf, "events").select(
         F.col("event_type").alias("symbol"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         "event_id",
         F.floor(F.col("value") / 50).cast("decimal(38,12)").alias("total_qty"),
         (F.col("event_id") % 2).cast("decimal(38,12)").alias("managed_qty"),
     )
     rows = e.withColumns(acc.drift_columns(F.col("total_qty"), F.col("managed_qty")))
-    alert_drift(rows, ["ts", "event_id"], stores)
+    alert_drift(feed(rows, "ts", stores), ["ts", "event_id"], stores)
     num = [F.col(c).cast("double").alias(c) for c in ("total_qty", "managed_qty", "drift_qty")]
     return stores.read(spark).select("symbol", "event_id", *num)
 
@@ -42,10 +56,8 @@ def stream_drift_alerts(spark, sf):
 @query("stream_reconcile", f"WITH {SNAPSHOTS} SELECT {MOVED_SQL} FROM moved")
 def stream_reconcile(spark, sf):
     stores = Stores.fresh(spark)
-    flat = order_snapshots(spark, sf).select("*", "seq.ts", "seq.event_id").drop("seq")
-    flat.write.parquet(stores.path("in"))
-    stream = spark.readStream.schema(flat.schema).parquet(stores.path("in"))
-    reconcile_orders(stream, ["ts", "event_id"], stores)
+    flat = order_snapshots(spark, sf).select("*", F.col("seq.ts").cast("timestamp").alias("ts"), "seq.event_id").drop("seq")
+    reconcile_orders(feed(flat, "ts", stores), ["ts", "event_id"], stores)
     return moved_columns(stores.read(spark).withColumn("event_id", F.col("seq.event_id")))
 
 
@@ -67,10 +79,13 @@ def stream_signals(spark, sf):
         F.col("close").alias("trade_price"),
         F.col("volume").alias("candle_acc_trade_volume"),
     )
-    raw.write.parquet(stores.path("in"))
-    stream = spark.readStream.schema(raw.schema).parquet(stores.path("in"))
+    stream = feed(raw.withColumn("_ts", F.col("candle_date_time_utc").cast("timestamp")), "_ts", stores).drop("_ts")
     refresh_signals(stream, lambda s: live_positions(s, sf), LIVE, stores)
-    out = stores.read(spark)
+    # Each micro-batch gives a signal of each market it touches; the last one is the batch form's.
+    rows = stores.read(spark)
+    rest = [c for c in rows.columns if c != "market"]
+    newest = rows.groupBy("market").agg(F.max_by(F.struct(*rest), "signal_ts").alias("n"))
+    out = newest.select("market", *[F.col(f"n.{c}").alias(c) for c in rest])
     return out.select(
         "market", F.date_format("signal_ts", "yyyy-MM-dd").alias("day"), r("close").alias("close"), r("trail_stop").alias("trail_stop"),
         "has_position", "buy_signal", "sell_signal", "signal_reason",

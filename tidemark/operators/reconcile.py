@@ -27,25 +27,22 @@ def order_status(state: Column, executed: Column) -> Column:
     )
 
 
-def explode_trades(snapshots: DataFrame) -> DataFrame:
-    """One row per trade of each snapshot, with its position, fill key and amounts.
+def trade_cell(t: Column, pos: Column) -> Column:
+    """Position, fill key and amounts of one trade of a snapshot.
 
     ``filled_at`` is the epoch when the text has no readable time with offset; a blank trade id is built from
     order, time, price, volume and position.
     """
-    rows = snapshots.select("order_id", "seq", F.posexplode("trades").alias("pos", "t"))
-    blank = F.length(F.trim(F.coalesce(F.col("t.uuid"), F.lit("")))) == 0
-    parts = [F.coalesce(F.col(f"t.{c}"), F.lit("")) for c in ("created_at", "price", "volume")]
-    built = F.concat_ws(":", F.col("order_id"), *parts, F.col("pos").cast("string"))
-    qty, price, funds = (dec(F.col(f"t.{c}")) for c in ("volume", "price", "funds"))
-    with_zone = F.col("t.created_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    at = F.when(with_zone, F.col("t.created_at").try_cast("timestamp"))
-    return rows.select(
-        "order_id",
-        "seq",
-        "pos",
+    blank = F.length(F.trim(F.coalesce(t["uuid"], F.lit("")))) == 0
+    parts = [F.coalesce(t[c], F.lit("")) for c in ("created_at", "price", "volume")]
+    built = F.concat_ws(":", F.col("order_id"), *parts, pos.cast("string"))
+    qty, price, funds = (dec(t[c]) for c in ("volume", "price", "funds"))
+    with_zone = t["created_at"].rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    at = F.when(with_zone, t["created_at"].try_cast("timestamp"))
+    return F.struct(
+        pos.cast("int").alias("pos"),
         F.coalesce(at, F.lit(EPOCH).cast("timestamp")).alias("filled_at"),
-        F.when(blank, built).otherwise(F.col("t.uuid")).alias("trade_id"),
+        F.when(blank, built).otherwise(t["uuid"]).alias("trade_id"),
         qty.alias("fill_qty"),
         price.alias("fill_price"),
         funds.alias("given_funds"),
@@ -53,6 +50,13 @@ def explode_trades(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def explode_trades(snapshots: DataFrame) -> DataFrame:
+    """One row per trade of each snapshot."""
+    rows = snapshots.select("order_id", "seq", F.posexplode("trades").alias("_pos", "_t"))
+    rows = rows.select("order_id", "seq", trade_cell(F.col("_t"), F.col("_pos")).alias("_c"))
+    return rows.select("order_id", "seq", "_c.*")
+
+
 def first_fills(trades: DataFrame) -> DataFrame:
     """Each fill (order, time, trade id) once, as the first snapshot brought it."""
     rest = [c for c in trades.columns if c not in ("order_id", "filled_at", "trade_id")]
@@ -93,6 +97,12 @@ def reconcile(
         F.try_sum("fill_qty").try_cast(AMOUNT).alias("_q"), F.try_sum("funds").try_cast(AMOUNT).alias("_f")
     )
     rows = rows.withColumn("avg_executed_price", average_price()).join(fresh, ["order_id", "seq"], "left")
+    return order_columns(rows)
+
+
+def order_columns(rows: DataFrame) -> DataFrame:
+    """Order columns and move of snapshots with ``executed``, the executed volume before (``_prev``), the average
+    price, and quantity and funds of the fills they brought first (``_q``, ``_f``)."""
     delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(AMOUNT))
     price = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
     return rows.select(

@@ -28,19 +28,29 @@ RAW_SCHEMA = (
 )
 
 
-def normalize_candles(raw: DataFrame) -> DataFrame:
-    """Typed candles: rows without time or prices go, a missing volume is 0.
+def checked_candles(raw: DataFrame, flag: str = "sound") -> DataFrame:
+    """Typed candles, a missing volume being 0, and whether each can be used.
 
-    Prices that are not finite, and opens that are not positive, are refused as well: a return over such an
-    open has no value.
+    Rows without time or prices cannot, nor can prices that are not finite and opens that are not positive: a return
+    over such an open has no value.
     """
-    typed = raw.withColumns({c: F.col(c).cast("double") for c in PRICES}).withColumn(
+    typed = raw.withColumns({c: F.col(c).try_cast("double") for c in PRICES}).withColumn(
         "volume", F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0))
     )
     sound = F.col("ts").isNotNull() & (F.col("open") > 0)
     for c in PRICES:
         sound = sound & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return typed.where(sound)
+    return typed.withColumn(flag, F.coalesce(sound, F.lit(False)))
+
+
+def normalize_candles(raw: DataFrame) -> DataFrame:
+    """The typed candles that can be used."""
+    return checked_candles(raw, "_sound").where("_sound").drop("_sound")
+
+
+def refused_candles(raw: DataFrame) -> DataFrame:
+    """The typed candles that cannot be used, for a second output."""
+    return checked_candles(raw, "_sound").where("not _sound").drop("_sound")
 
 
 def dedup_candles(df: DataFrame, keys: tuple[str, ...] = ("market", "ts"), seq: str = "load_seq") -> DataFrame:
@@ -73,10 +83,15 @@ def read_candles_json(spark: SparkSession, path: str) -> DataFrame:
     return from_raw(spark.read.schema(RAW_SCHEMA).json(path))
 
 
+def mapped(raw: DataFrame) -> DataFrame:
+    """Raw exchange field names mapped to candle columns; other columns stay."""
+    named = raw.withColumnsRenamed(RAW_FIELDS)
+    return named.withColumn("ts", parse_utc(F.col("ts").cast("string")))
+
+
 def from_raw(raw: DataFrame) -> DataFrame:
     """Map raw exchange field names and normalise; other columns stay."""
-    named = raw.withColumnsRenamed(RAW_FIELDS)
-    return normalize_candles(named.withColumn("ts", parse_utc(F.col("ts").cast("string"))))
+    return normalize_candles(mapped(raw))
 
 
 def candles_from_trades(

@@ -1,33 +1,35 @@
-"""Polling loops as Structured Streaming: each micro-batch is a batch plan over (last row per key + new rows).
+"""Polling loops as Structured Streaming with keyed state.
 
-State lives in tables, one version per micro-batch.  A repeated batch reads the version before it and writes its
-own again, so a retry changes nothing.  As every step is an ordinary plan, hot keys spread as they do in batch.
+What must be remembered of a key (its last row, its fills, its newest candles) is state of ``transformWithState``, kept
+by Spark's RocksDB store: a micro-batch touches the keys that have new rows and no others. All other work is the
+columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
+repeated replaces its own output.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.operators.account import drift_alerts
-from tidemark.operators.reconcile import explode_trades, first_fills, new_fills, reconcile
-from tidemark.operators.signals import drop_repeats
+from tidemark.functions.scalar import AMOUNT, dec
+from tidemark.operators.reconcile import average_price, order_columns, trade_cell
 from tidemark.plans.live import LiveParams, live_signals
-from tidemark.session import ensure_checkpoint_dir, materialize
-from tidemark.sources.candles import dedup_candles, from_raw, history_size, latest
+from tidemark.session import ensure_checkpoint_dir
+from tidemark.sources.candles import PRICES, checked_candles, history_size, mapped
 from tidemark.sources.sinks import append_batch
 
-NEW = "_new"
-Step = Callable[[DataFrame], DataFrame]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 @dataclass(frozen=True)
 class Stores:
-    """Folders of one stream: output, state versions, ledger, checkpoint."""
+    """Folders of one stream: outputs and checkpoint (which holds the state)."""
 
     root: str
 
@@ -38,91 +40,166 @@ class Stores:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def version(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
-        """State as it was before ``batch``."""
-        return spark.read.parquet(f"{self.path(name)}/batch={batch - 1}") if batch > 0 else None
-
-    def before(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
-        """All rows appended by earlier batches."""
-        if batch == 0:
-            return None
-        return spark.read.parquet(self.path(name)).where(F.col("batch") < batch).drop("batch")
-
     def read(self, spark: SparkSession, name: str = "out") -> DataFrame:
         return spark.read.parquet(self.path(name)).drop("batch")
 
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], stores: Stores) -> None:
-    """Process everything the source has, one micro-batch after the other, and stop."""
+def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], stores: Stores) -> int:
+    """Process everything the source has, one micro-batch after the other, and stop; the number of micro-batches."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", stores.path("checkpoint"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    query = writer.outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return len(query.recentProgress)
 
 
-def last_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Newest row of each key."""
-    rest = [c for c in rows.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
-    return rows.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+def stateful(rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
+    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "none")
 
 
-def keyed_step(stores: Stores, keys: Sequence[str], order: Sequence[str], step: Step) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler that runs a batch operator with the last row of each key in front of the new rows.
+def in_order(rows: Iterator[Row], order: Sequence[str]) -> list[Row]:
+    """The new rows of one key in their order; a key's part of a micro-batch is as large as the source lets it be."""
+    return sorted(rows, key=lambda r: tuple(r[c] for c in order))
 
-    ``step`` gets rows ordered by ``_new`` and ``order`` and returns rows with ``_new`` kept.
-    """
-    ordered = [NEW, *order]
 
-    def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = stores.version(spark, "state", number)
-        rows = batch.withColumn(NEW, F.lit(1))
-        if old is not None:
-            rows = old.withColumn(NEW, F.lit(0)).unionByName(rows)
-        rows = materialize(rows)
-        append_batch(step(rows).where(F.col(NEW) == 1).drop(NEW), stores.path("out"), number)
-        append_batch(last_rows(rows, keys, ordered).drop(NEW), stores.path("state"), number)
+def extended(row: Row, **more: object) -> Row:
+    return Row(**{c: row[c] for c in row.__fields__}, **more)
+
+
+class Before(StatefulProcessor):
+    """Adds to each row what the row before it in its key had in ``seen``; the first row has null there."""
 
-    return handle
+    def __init__(self, order: Sequence[str], seen: Sequence[str], schema: T.StructType) -> None:
+        self.order, self.seen, self.schema = list(order), list(seen), schema
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", T.StructType([self.schema[c] for c in self.seen]))
 
-def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores) -> None:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        last = dict(zip(self.seen, self.last.get(), strict=True)) if self.last.exists() else None
+        for row in in_order(rows, self.order):
+            yield extended(row, _p=last and Row(**last))
+            last = {c: row[c] for c in self.seen}
+        if last is not None:
+            self.last.update(tuple(last.values()))
+
+    def close(self) -> None:
+        pass
+
+
+def with_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str]) -> DataFrame:
+    """A stream with the struct ``_p`` of the ``seen`` columns of the row before in each key."""
+    schema = T.StructType([*rows.schema, T.StructField("_p", T.StructType([rows.schema[c] for c in seen]))])
+    return stateful(rows, keys, Before(order, seen, rows.schema), schema)
+
+
+def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores) -> int:
     """Drop a signal whose time equals the last one of the same market and side."""
-    step = lambda rows: drop_repeats(rows, [NEW, *order])
-    run_available(signals, keyed_step(stores, ["market", "side"], order, step), stores)
+
+    def handle(batch: DataFrame, number: int) -> None:
+        new = F.col("_p").isNull() | ~F.col("_p.signal_ts").eqNullSafe(F.col("signal_ts"))
+        append_batch(batch.where(new).drop("_p"), stores.path("out"), number)
+
+    return run_available(with_before(signals, ["market", "side"], order, ["signal_ts"]), handle, stores)
 
 
-def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> None:
+def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> int:
     """Alert on drift snapshots that differ from the one before."""
-    step = lambda rows: drift_alerts(rows, [NEW, *order])
-    run_available(snapshots, keyed_step(stores, ["symbol"], order, step), stores)
+    seen = ["drift_detected", "drift_qty", "total_qty", "managed_qty"]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        same = F.col("_p.drift_detected")
+        for c in seen[1:]:
+            same = same & (F.col(f"_p.{c}") == F.col(c))
+        alert = F.col("drift_detected") & ~F.coalesce(same, F.lit(False))
+        append_batch(batch.where(alert).drop("_p"), stores.path("out"), number)
+
+    return run_available(with_before(snapshots, ["symbol"], order, seen), handle, stores)
+
+
+class Fills(StatefulProcessor):
+    """Adds to each snapshot the executed volume before it and the positions of the trades it is the first to bring."""
 
+    def __init__(self, order: Sequence[str]) -> None:
+        self.order = list(order)
 
-def reconcile_orders(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> None:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("executed", f"executed {AMOUNT}")
+        self.seen = handle.getMapState("fills", "filled_at timestamp, trade_id string", "seen boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        executed = self.last.get()[0] if self.last.exists() else None
+        for row in in_order(rows, self.order):
+            fresh = []
+            for cell in row["cells"] or ():
+                name = (cell["filled_at"], cell["trade_id"])
+                if not self.seen.containsKey(name):
+                    self.seen.updateValue(name, (True,))
+                    fresh.append(cell["pos"])
+            yield extended(row, _prev=executed, _fresh=fresh)
+            executed = row["executed"]
+        self.last.update((executed,))
+
+    def close(self) -> None:
+        pass
+
+
+def reconcile_orders(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> int:
     """Order snapshots to order columns and position moves; polling the same snapshot again moves nothing.
 
-    State: the last snapshot of each order, and the fills seen so far (append table ``fills``).
+    State of each order: its executed volume and the keys of its fills. New fills go to ``fills``.
     """
+    rows = snapshots.withColumns(
+        {
+            "executed": dec(F.col("executed_volume")),
+            "cells": F.transform("trades", trade_cell),
+            "avg_executed_price": average_price(),
+        }
+    )
+    schema = T.StructType(
+        [*rows.schema, T.StructField("_prev", rows.schema["executed"].dataType), T.StructField("_fresh", T.ArrayType(T.IntegerType()))]
+    )
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn(NEW, F.lit(1))
-        old = stores.version(spark, "state", number)
-        if old is not None:
-            # Their trades are known already: only the executed volume matters.
-            rows = old.withColumn(NEW, F.lit(0)).unionByName(rows)
-        rows = materialize(rows.withColumn("seq", F.struct(NEW, *order)))
-        fresh = first_fills(explode_trades(rows.where(F.col(NEW) == 1)))
-        known = stores.before(spark, "fills", number)
-        if known is not None:
-            known = known.join(rows.select("order_id").distinct(), "order_id", "left_semi")
-            fresh = new_fills(fresh, known.select("order_id", "filled_at", "trade_id"))
-        fresh = materialize(fresh)
-        moved = reconcile(rows, fills=fresh).where(F.col(f"seq.{NEW}") == 1)
-        append_batch(moved, stores.path("out"), number)
-        append_batch(fresh.drop("seq", "pos"), stores.path("fills"), number)
-        append_batch(last_rows(rows, ["order_id"], ["seq"]).drop("seq", NEW), stores.path("state"), number)
-
-    run_available(snapshots, handle, stores)
+        batch = batch.withColumn("seq", F.struct(*order)).persist()
+        fresh = F.filter("cells", lambda c: F.array_contains("_fresh", c["pos"]))
+        batch_fresh = batch.withColumn("fresh", fresh)
+        total = lambda f: F.aggregate("fresh", F.lit(0).cast(AMOUNT), lambda s, c: F.try_add(s, c[f]).try_cast(AMOUNT))
+        append_batch(order_columns(batch_fresh.withColumns({"_q": total("fill_qty"), "_f": total("funds")})), stores.path("out"), number)
+        fills = batch_fresh.select("order_id", F.explode("fresh").alias("c")).select("order_id", "c.*").drop("pos")
+        append_batch(fills, stores.path("fills"), number)
+        batch.unpersist()
+
+    return run_available(stateful(rows, ["order_id"], Fills(order), schema), handle, stores)
+
+
+class Newest(StatefulProcessor):
+    """Keeps the newest candles of a market and gives them out whenever new ones come; passes refused rows on."""
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        values = ", ".join(f"{c} double" for c in (*PRICES, "volume"))
+        self.candles = handle.getMapState("candles", "ts timestamp", values)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
+        came = False
+        for row in rows:
+            if row["sound"]:
+                came = True
+                self.candles.updateValue((row["ts"],), tuple(row[c] for c in (*PRICES, "volume")))
+            else:
+                yield row
+        if came:
+            held = sorted((k[0], tuple(v)) for k, v in self.candles.iterator())
+            for ts, _ in held[: -self.size]:
+                self.candles.removeKey((ts,))
+            for ts, values in held[-self.size :]:
+                yield Row(market=key[0], ts=ts, **dict(zip((*PRICES, "volume"), values, strict=True)), sound=True, raw=None)
+
+    def close(self) -> None:
+        pass
 
 
 def refresh_signals(
@@ -132,29 +209,26 @@ def refresh_signals(
     stores: Stores,
     candle_count: int = 400,
     allowed: Callable[[SparkSession], DataFrame] | None = None,
-) -> None:
+) -> int:
     """New raw candles to signals: each batch extends the newest candles of its markets and evaluates them.
 
-    Rows that cannot be used go to ``quarantine`` and hold up no other market.  A market gives one output row
-    per signal candle; state is the newest candles per market.
+    Rows that cannot be used go to ``quarantine`` (with their JSON text) and hold up no other market. A market gives
+    one output row per signal candle; state is the newest candles of each market.
     """
-    size = history_size(candle_count, params.warmup)
+    columns = ["market", "ts", *PRICES, "volume", "sound", "raw"]
+    rows = checked_candles(mapped(raw.withColumn("raw", F.to_json(F.struct("*")))))
+    rows = rows.withColumn("raw", F.when(~F.col("sound"), F.col("raw"))).select(*columns)
+    processor = Newest(history_size(candle_count, params.warmup))
 
     def handle(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = materialize(batch.withColumn("_row", F.expr("uuid()")))
-        good = from_raw(batch)
-        append_batch(batch.join(good.select("_row"), "_row", "left_anti").drop("_row"), stores.path("quarantine"), number)
-        fresh = good.drop("_row").withColumn("load_seq", F.lit(number))
-        old = stores.version(spark, "state", number)
-        rows = fresh if old is None else old.unionByName(fresh.withColumn("load_seq", F.lit(number)))
-        merged = dedup_candles(rows).withColumn("load_seq", F.lit(number))
-        history = materialize(latest(merged, size))
-        touched = fresh.select("market").distinct()
+        batch = batch.persist()
+        append_batch(batch.where("not sound").select("market", "raw"), stores.path("quarantine"), number)
+        history = batch.where("sound").drop("sound", "raw")
+        touched = history.select("market").distinct()
         usable = touched if allowed is None else touched.join(allowed(spark), "market", "left_semi")
-        signals = live_signals(history.drop("load_seq"), positions(spark), params, candle_count, allowed=usable)
+        signals = live_signals(history, positions(spark), params, candle_count, allowed=usable)
         append_batch(signals, stores.path("out"), number)
-        append_batch(history, stores.path("state"), number)
-
-    run_available(raw, handle, stores)
+        batch.unpersist()
 
+    return run_available(stateful(rows, ["market"], processor, rows.schema), handle, stores)
