@@ -48,10 +48,10 @@ def stamp(x: str = "ts") -> Column:
     return F.date_format(F.col(x), "yyyy-MM-dd HH:mm:ss")
 
 
-def candles(spark: SparkSession, sf: str) -> DataFrame:
+def candles(spark: SparkSession, sf: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Daily candles: market = order priority, price from the order total."""
     price = 100 + F.col("o_totalprice") / 25000
-    return candles_from_trades(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", price, "o_orderkey")
+    return candles_from_trades(table(spark, sf, "orders"), "o_orderpriority", "o_orderdate", price, "o_orderkey", start=start, end=end)
 
 
 CANDLES = """

@@ -99,7 +99,8 @@ def deduplicated_candles(spark, sf):
     WHERE ts BETWEEN TIMESTAMP '1995-03-01' AND TIMESTAMP '1997-06-30'""",
 )
 def candles_in_range(spark, sf):
-    rows = between(candles(spark, sf), "1995-03-01", "1997-06-30")
+    start, end = "1995-03-01", "1997-06-30"
+    rows = between(candles(spark, sf, start, end), start, end)
     return rows.select("market", day().alias("day"), r("close").alias("close"))
 
 

@@ -192,7 +192,7 @@ def weighted_positions(
     """Quantity, average price and state per key after buys (weighted average) and sells (average kept).
 
     Needs ``side``, ``qty`` > 0 and ``price``.  Selling everything or more leaves a flat position at price 0.
-    The average is rounded half up to 12 places once, at the end.
+    The average is folded in double precision (some 15 significant digits) and rounded half up to 12 places at the end.
     """
     keys = list(keys)
     slim = moves.where((F.col("qty") > 0) & F.col("side").isin("BUY", "SELL")).select(
@@ -202,7 +202,7 @@ def weighted_positions(
     rows = running_quantity(rows, series, signed_volume(F.col("side"), F.col("qty")))
     is_buy = F.col("side") == "BUY"
     empty = ~is_buy & (F.col("held") == 0)
-    rows = series.running(rows, _n=("sum", F.lit(1).cast("bigint")), _reset=("sum", empty.cast("bigint")))
+    rows = series.running(rows, _n=("sum", F.lit(1).cast("bigint")))
     # What the current holding weighs in a buy: average' = w*average + v.
     share = F.col("qty").cast("double") / F.nullif(F.col("held"), F.lit(0)).cast("double")
     steps = rows.select(
@@ -212,17 +212,15 @@ def weighted_positions(
         F.when(is_buy, share * F.col("price")).otherwise(0.0).alias("v"),
         F.col("held"),
     )
-    start = _struct(w=F.lit(1.0), v=F.lit(0.0))
-    folded = _fold_levels(
-        steps.drop("held"),
-        keys,
-        "at",
-        start,
-        lambda acc, e: _struct(w=acc["w"] * e["w"], v=acc["v"] * e["w"] + e["v"]),
-        lambda a, b: _struct(w=a["w"] * b["w"], v=a["v"] * b["w"] + b["v"]),
-    )
-    ends = steps.groupBy(*keys).agg(F.max_by("held", "at").alias("qty"))
-    joined = ends.join(folded, keys)
+    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("v"), F.lit(0).cast(WIDE).alias("held"))
+
+    def after(acc: Column, e: Column) -> Column:
+        """First ``acc``, then ``e``; the quantity is the later one's."""
+        w, v = acc["w"] * e["w"], acc["v"] * e["w"] + e["v"]
+        return F.struct(w.alias("w"), v.alias("v"), e["held"].cast(WIDE).alias("held"))
+
+    folded = _fold_levels(steps, keys, "at", start, after, after)
+    joined = folded.withColumn("qty", F.col("m.held"))
     long = F.col("qty") > 0
     price = F.when(long, F.round(F.col("m.v"), 12)).otherwise(0.0).cast(WIDE)
     return joined.select(

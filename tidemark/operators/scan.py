@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.session import materialize
 
 ROWS_PER_TASK = 1_000_000
+#: Chunks at most; beyond that a chunk holds more rows.
+MOST_CHUNKS = 20_000
 CHUNK = "_chunk"
 
 
@@ -155,7 +157,7 @@ def lay_out(
     series = Series(tuple(keys), tuple(order), None, limit)
     if (sizes["top"] or 0) <= limit:
         return df, series
-    parts = max(2, math.ceil(sizes["rows"] / limit))
+    parts = min(MOST_CHUNKS, max(2, math.ceil(sizes["rows"] / limit)))
     spread = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
     return materialize(spread), replace(series, chunk=CHUNK)
 

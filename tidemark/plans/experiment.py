@@ -100,11 +100,11 @@ def evaluate_grid(strategy: Strategy, bars: DataFrame, series: Series, grid: Gri
     """One row per series and combination: final equity, drawdown, trades, growth, calmar.
 
     Strategies that hold all or nothing are scored from trade episodes, without sorting bars per combination.
-    Combinations whose curve touches the floor, and series that span tasks, are scored from bars.
+    Combinations whose curve touches the floor are scored from bars. The method is the same at every size.
     """
     keys = list(series.keys)
     run = Run(bars, series, grid, full=False)
-    if strategy.prepare is None or series.chunk is not None:
+    if strategy.prepare is None:
         return eq.with_metrics(bar_scores(strategy, run))
     scores = materialize(episode_scores(strategy.prepare, run))
     floored = scores.where("at_floor")

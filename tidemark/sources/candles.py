@@ -95,16 +95,36 @@ def from_raw(raw: DataFrame) -> DataFrame:
 
 
 def candles_from_trades(
-    trades: DataFrame, market: str | Column, ts: str | Column, price: Column, seq: str, unit: str = "day"
+    trades: DataFrame,
+    market: str | Column,
+    ts: str,
+    price: Column,
+    seq: str,
+    unit: str = "day",
+    start: str | None = None,
+    end: str | None = None,
 ) -> DataFrame:
     """Candles per market and calendar unit; ``seq`` orders trades inside a candle.
 
+    ``start`` and ``end`` limit the candles to those that begin between them, both included. The limits are put on
+    the times of the trades themselves, so that the scan can leave out what lies outside.
+
     Hash aggregation with map-side partials: a market with most of the trades still reaches the shuffle as at
     most one row per input partition and candle.
     """
+    kind = trades.schema[ts].dataType
+    if start is not None:
+        # The first candle that begins at or after the start.
+        begin = F.date_trunc(unit, F.lit(start).cast("timestamp"))
+        late = begin + F.expr(f"INTERVAL 1 {unit}")
+        begin = F.when(begin < F.lit(start).cast("timestamp"), late).otherwise(begin)
+        trades = trades.where(F.col(ts) >= begin.cast(kind))
+    if end is not None:
+        stop = F.date_trunc(unit, F.lit(end).cast("timestamp")) + F.expr(f"INTERVAL 1 {unit}")
+        trades = trades.where(F.col(ts) < stop.cast(kind))
     rows = trades.select(
         (F.col(market) if isinstance(market, str) else market).alias("market"),
-        F.date_trunc(unit, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp").alias("ts"),
+        F.date_trunc(unit, F.col(ts)).cast("timestamp").alias("ts"),
         price.alias("p"),
         F.col(seq).alias("s"),
     )
