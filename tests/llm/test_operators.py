@@ -351,6 +351,14 @@ def test_main_text_of_given_pages(spark):
 P = "A paragraph of the main text with a good many words in it and more of them. "
 
 
+@pytest.mark.parametrize(
+    "name, noise",
+    [("has-sidebar", False), ("post-body", False), ("header-content", False), ("post-comments", True), ("main-nav", True), ("ad-content", True), ("comment", True), ("notice", True), ("addon", False), ("article", False)],
+)
+def test_names_of_parts(name, noise):
+    assert main_text._names_noise(name) == noise
+
+
 @pytest.mark.parametrize(
     "page, want",
     [

@@ -55,7 +55,8 @@ NAMES = re.compile(
     r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|comments?|disqus|reply|replies|"
     r"respond|related|recommended|share|sharing|social|toolbar|pagination|pager|skip|masthead|topbar|header|copyright)$"
 )
-KEEP_NAMES = re.compile(r"^(?:article|post|entry|main|content|story)\w*$")
+TELLING = re.compile(r"^(?:nav|navbar|navigation|menu|sidebar|footer|ads?|adverts?|cookies?|comments|disqus|newsletter|promo)$")
+KEEP_NAMES = re.compile(r"^(?:article|post|entry|main|content|story|body|text)\w*$")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*?(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -77,6 +78,16 @@ class Node:
         self.density = self.total = 0.0
 
 
+def _names_noise(name: str) -> bool:
+    """Whether one class or id names a part that is no main text: by its last word, or its first, or a telling one."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+    if not words or words[0] in ("has", "with", "no", "is"):
+        return False
+    if NAMES.match(words[-1]) or any(TELLING.match(w) for w in words):
+        return True
+    return bool(NAMES.match(words[0])) and not KEEP_NAMES.match(words[-1])
+
+
 def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
     if tag in LEFT_OUT or (tag == "header" and not inside_article):
         return True
@@ -87,9 +98,8 @@ def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
         name = name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES):
             return True
-        if name in ("class", "id"):
-            words = [w for w in re.split(r"[^a-z0-9]+", value) if w]
-            if any(NAMES.match(w) for w in words) and not (tag in ("h1", "h2", "header") and inside_article) and not any(KEEP_NAMES.match(w) for w in words[:1]):
+        if name in ("class", "id") and not (tag in ("h1", "h2", "header") and inside_article):
+            if any(_names_noise(one) for one in value.split()):
                 return True
     return False
 
