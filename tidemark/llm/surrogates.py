@@ -77,6 +77,14 @@ def _kind(raw: Column) -> Column:
     return out
 
 
+def _may_mention(text: Column) -> Column:
+    """Cheap test that every text with a mention passes: a digit, an at sign or a title."""
+    out = text.rlike("[0-9@]")
+    for title in sorted({t for g in TITLES.values() for t in g}):
+        out = out | text.contains(title)
+    return out
+
+
 def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -206,7 +214,8 @@ def _rendered(kind: Column, raw: Column, found: Column) -> Column:
 
 def replace_personal_data(docs: DataFrame, key: str, text: str = "text", count: str = "n_replaced") -> DataFrame:
     """``docs`` with the mentions in ``text`` replaced, and their number."""
-    found = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    found = F.when(_may_mention(F.col(text)), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))).otherwise(none)
     names = ["__h1", "__h2"]
     keys = {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(7), text)}
     marked = docs.withColumn("__found", found)
