@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,14 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "tidemark")
     )
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, if it is not installed for them otherwise."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints: the one the cluster names, a temporary one only in local mode."""
     sc = spark.sparkContext

@@ -20,7 +20,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from tidemark.functions.scalar import AMOUNT, dec
 from tidemark.operators.reconcile import average_price, order_columns, trade_cell
 from tidemark.plans.live import LiveParams, live_signals
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, share_package
 from tidemark.sources.candles import PRICES, checked_candles, history_size, mapped
 from tidemark.sources.sinks import append_batch
 
@@ -54,6 +54,7 @@ def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], s
 
 
 def stateful(rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
+    share_package(rows.sparkSession)
     return rows.groupBy(*keys).transformWithState(processor, schema, "append", "none")
 
 
