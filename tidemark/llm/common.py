@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ensure_checkpoint_dir
+from tidemark.session import ensure_checkpoint_dir, share_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,11 +38,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. Arrow batches are kept to ``BATCH_ROWS`` rows, as texts may be long."""
+def prepare(spark: SparkSession) -> None:
+    """What Python workers need: this package, and Arrow batches of at most ``BATCH_ROWS`` rows, as texts may be long."""
+    share_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table."""
+    prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

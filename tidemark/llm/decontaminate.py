@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, save, shingle_hashes, slices, small, table, text_column, utf8, words
+from tidemark.llm.common import prepare, query, save, shingle_hashes, slices, small, table, text_column, utf8, words
 
 SEGMENT = 64
 GRAM = 5
@@ -208,6 +208,7 @@ def contaminated(
     overlap: float = OVERLAP,
 ) -> DataFrame:
     """Rows of ``FOUND``: each test item that stands in a document, with its BM25 share and verified overlaps."""
+    prepare(docs.sparkSession)
     items = benchmark.select(
         F.col(item_id).cast("long").alias("item"), F.lower(question).alias("question"), F.lower(F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")
     )

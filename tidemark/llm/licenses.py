@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, shingle_hashes, slices, table, text_column, utf8, word_hash, words
+from tidemark.llm.common import prepare, query, shingle_hashes, slices, table, text_column, utf8, word_hash, words
 
 # The base phrases and their labels.
 BASE = {
@@ -222,6 +222,7 @@ def license_columns(index: Index, text: Column | str, rare: int = RARE) -> Colum
 
 def scan_licenses(docs: DataFrame, text: str = "text", rare: int = RARE) -> DataFrame:
     """``docs`` with the columns of ``RESULT``; the index takes its idf from all of ``docs``."""
+    prepare(docs.sparkSession)
     index = build_index(*document_frequencies(docs, text), rare)
     names = [x.split()[0] for x in RESULT.split(", ")]
     out = docs.withColumn("__license", license_columns(index, text, rare))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import prepare, query, table
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -256,6 +256,7 @@ def extracted(page: Column | str) -> Column:
 
 def extract_main_text(pages: DataFrame, page: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of each whole page."""
+    prepare(pages.sparkSession)
     return pages.withColumn(into, extracted(page))
 
 

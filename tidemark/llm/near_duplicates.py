@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, save, shingle_hashes, slices, small, table, text_column, utf8, words
+from tidemark.llm.common import prepare, query, save, shingle_hashes, slices, small, table, text_column, utf8, words
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -285,6 +285,7 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     shingle set, ``n_copies`` their number, ``n_links`` the number of other rows whose similarity is at least
     ``threshold`` (copies counted one by one).
     """
+    prepare(docs.sparkSession)
     sketch = save(sketches(docs, doc_id, text))
     real = sketch.where("n > 0 and id is not null")
     classes = save(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, save, table
+from tidemark.llm.common import prepare, query, save, table
 
 CAPACITY = 2048
 GROUP = 2048
@@ -73,6 +73,7 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, doc_id: str = "doc_id", capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """One row of ``PACKED`` for each piece of each row of ``docs``."""
+    prepare(docs.sparkSession)
     last = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int") - 1
     pieces = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.alias("cluster"))

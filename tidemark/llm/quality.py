@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SAME, WORD, byte_class, hash_runs, query, runs, shingle_hashes, slices, table, utf8
+from tidemark.llm.common import SAME, WORD, byte_class, hash_runs, prepare, query, runs, shingle_hashes, slices, table, utf8
 
 BITS = 18
 TRAIN_ROWS = 20_000
@@ -153,6 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text, by a model fitted to the labelled ones among them."""
+    prepare(docs.sparkSession)
     weights = fit(training_rows(docs, labels))
     return docs.withColumn(into, score(weights, text, docs.sparkSession))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import byte_class, query, runs, slices, table, utf8
+from tidemark.llm.common import byte_class, prepare, query, runs, slices, table, utf8
 
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -187,11 +187,13 @@ def redacted(text: Column | str, mark: str = "[secret]") -> Column:
 
 def find_secrets(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with an array of found secrets."""
+    prepare(docs.sparkSession)
     return docs.withColumn(into, secrets(text))
 
 
 def redact_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the secrets in ``text`` masked; every row stays."""
+    prepare(docs.sparkSession)
     return docs.withColumn(text, redacted(text))
 
 

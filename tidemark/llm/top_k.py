@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, save, table
+from tidemark.llm.common import prepare, query, save, table
 
 K = 5
 EVERY = 50
@@ -130,6 +130,7 @@ def _block(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
 
 def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row for which ``is_query`` holds."""
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), whole_numbers(vector).alias("vector"), is_query.alias("is_query"))
     rows = save(rows.where("vec_id is not null and vector is not null"))
     size = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
