@@ -68,6 +68,26 @@ def test_equals_all_pairs(spark, monkeypatch, block):
     assert {r.id: (r.class_id, r.rep_id, r.n_copies, r.n_links) for r in got} == plain(rows)
 
 
+def pairs_of(n, r, words):
+    """``n`` pairs of texts, each of similarity 0.8: 40 of 50 five-word shingles are common."""
+    rows = []
+    for k in range(n):
+        base = r.choices(words, k=49)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:24], f"other{k}", *base[25:]]))]
+    return rows
+
+
+def test_a_large_group_does_not_hide_the_misses_of_pairs(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(9000)]
+    rows = pairs_of(1200, r, words)
+    base = r.choices(words, k=300)
+    rows += [(10_000 + k, " ".join([*base[: k + 5], f"new{k}", *base[k + 6 :]])) for k in range(280)]
+    links = {x.id: x.n_links for x in nd.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [i for i, n in links.items() if i < 10_000 and n != 1]
+    assert len(lost) <= 2 and all(links[10_000 + k] == 279 for k in range(280))
+
+
 def test_links_across_borders_of_sorted_partitions(spark):
     """Two hundred near copies in many partitions: runs go on from one partition to the next."""
     old = spark.conf.get("spark.sql.shuffle.partitions")

@@ -3,13 +3,13 @@
 1. Each text becomes its set of word shingles (five words in lower case; a shorter text is one shingle) and ``TREES`` signatures of
    ``DEPTH`` minima. Texts with equal sets fall into one class at once, whatever their number; only one
    representative of each class goes on.
-2. Each tree is the sorted list of its signatures: equal prefixes stand together, and the length of the prefix that a
-   row shares with the rows before it links it to the first row of the longest run it belongs to.
-3. Candidates are the components of the links whose prefix is long enough. All pairs inside a component are verified
-   exactly, as products of 0/1 matrices in blocks; large components are dealt to many tasks by blocks, and only counts
-   and a spanning set of links leave a task, never all pairs.
-4. From the verified similarities follows how many links the prefixes used so far are expected to have missed. While
-   that recall is below the target, the prefixes are shortened and steps 3 and 4 repeated.
+2. Each tree is the sorted list of its signatures: equal prefixes stand together, and each row is linked to the first
+   row of the run of equal prefixes it belongs to. The prefix is the longest at which a pair that is just similar
+   enough is found with the target probability. It does not depend on the data, so no group of texts, however large,
+   hides the misses of other pairs.
+3. Candidates are the components of these links. All pairs inside a component are verified exactly, as products of
+   0/1 matrices in blocks; large components are dealt to many tasks by blocks, and only counts and a spanning set of
+   links leave a task, never all pairs.
 
 Every row has a result. Null texts and texts without words have no partners. Repeated rows are partners of each other.
 Ids must be unique; rows with a null id get a result of their own without partners. An empty table gives an empty one.
@@ -34,8 +34,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TREES = 16
 DEPTH = 6
-#: Prefix lengths, longest first; at the last one a pair of similarity 0.8 is found with probability 0.9998.
-PREFIXES = (6, 5, 4)
+#: Least probability with which any pair of enough similarity is found; for similarity 0.8 it takes prefixes of 4 (0.9998).
 RECALL = 0.9995
 #: Members of a block of a component, and shingles of a block.
 BLOCK_ROWS = 512
@@ -93,84 +92,79 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
 
 
-def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of each sorted row to the first row of the longest prefix run it is in; the ends of the partition, too."""
-    part = TaskContext.get().partitionId()
-    levels = sorted(PREFIXES, reverse=True)
-    last: tuple[np.ndarray, np.ndarray] | None = None  # row before: its words, and the first ids of its runs
-    ends: list[tuple[int, bytes, int]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        tree = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
-        raw = b"".join(batch.column(2).to_pylist())
-        sig = np.column_stack([tree, np.frombuffer(raw, ">u4").reshape(-1, DEPTH)]).astype(np.uint32)
-        if last is None:
-            ends.append((int(tree[0]), raw[: 4 * DEPTH], int(ids[0])))
-            same = np.zeros((len(ids), DEPTH + 1), bool)
-        else:
-            same = np.zeros((len(ids), DEPTH + 1), bool)
-            same[0] = sig[0] == last[0]
-        same[1:] = sig[1:] == sig[:-1]
-        shared = np.logical_and.accumulate(same, axis=1).sum(axis=1) - 1  # equal signature words after the tree
-        heads = np.empty((len(levels), len(ids)), np.int64)
-        for k, p in enumerate(levels):
-            begin = shared < p
+def _found(similarity: float, prefix: int) -> float:
+    return 1 - (1 - similarity**prefix) ** TREES
+
+
+def prefix_length(threshold: float, recall: float) -> int:
+    """The longest prefix at which a pair of similarity ``threshold`` is found with probability ``recall``; 0 links all."""
+    return next(p for p in range(DEPTH, -1, -1) if p == 0 or _found(threshold, p) >= recall)
+
+
+def _tree_links(prefix: int):
+    """Links of each sorted row to the first row of the run of equal prefixes it is in; the ends of the partition, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last: tuple[np.ndarray, int] | None = None  # row before: its prefix, and the first id of its run
+        ends: list[tuple[int, bytes, int]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            tree = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint32)
+            raw = b"".join(batch.column(2).to_pylist())
+            sig = np.column_stack([tree, np.frombuffer(raw, ">u4").reshape(-1, DEPTH)[:, :prefix]]).astype(np.uint32)
+            begin = np.ones(len(ids), bool)
+            begin[1:] = (sig[1:] != sig[:-1]).any(axis=1)
+            if last is None:
+                ends.append((int(tree[0]), raw[: 4 * DEPTH], int(ids[0])))
+            else:
+                begin[0] = (sig[0] != last[0]).any()
             at = np.maximum.accumulate(np.where(begin, np.arange(len(ids)), -1))
-            heads[k] = np.where(at >= 0, ids[at], last[1][k] if last is not None else ids[0])
-        other = heads != ids
-        deepest = np.argmax(other, axis=0)
-        linked = other.any(axis=0)
-        take = np.flatnonzero(linked)
-        yield _link_batch(ids[take], heads[deepest[take], take], np.array(levels)[deepest[take]], part)
-        last = (sig[-1], heads[:, -1].copy())
-        tail = (int(tree[-1]), raw[-4 * DEPTH :], int(ids[-1]), heads[:, -1].tolist())
-    if last is not None:
-        yield _end_batch([ends[0], tail[:3]], part)
-        # A run that goes on in the next partition is joined there to this partition's last row, so that row must
-        # be linked to the first row of each of its runs.
-        chain = [(tail[2], h, p) for h, p in zip(tail[3], levels, strict=True) if h != tail[2]]
-        if chain:
-            yield _link_batch(*(np.array(x) for x in zip(*chain, strict=True)), part)
-
-
-LINK = "a long, b long, shared int, part int, side int, tree int, sig binary"
-_LINK = pa.schema(
-    [("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int32()), ("part", pa.int32()), ("side", pa.int32()), ("tree", pa.int32()), ("sig", pa.binary())]
-)
-
-
-def _link_batch(a: np.ndarray, b: np.ndarray, shared: np.ndarray, part: int) -> pa.RecordBatch:
+            heads = np.where(at >= 0, ids[at], last[1] if last is not None else ids[0])
+            take = np.flatnonzero(heads != ids)
+            yield _link_batch(ids[take], heads[take], part)
+            last = (sig[-1], int(heads[-1]))
+            tail = (int(tree[-1]), raw[-4 * DEPTH :], int(ids[-1]))
+        if last is not None:
+            yield _end_batch([ends[0], tail], part)
+
+    return run
+
+
+LINK = "a long, b long, part int, side int, tree int, sig binary"
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("part", pa.int32()), ("side", pa.int32()), ("tree", pa.int32()), ("sig", pa.binary())])
+
+
+def _link_batch(a: np.ndarray, b: np.ndarray, part: int) -> pa.RecordBatch:
     none = [None] * len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared, pa.int32()), pa.array([part] * len(a), pa.int32())]
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([part] * len(a), pa.int32())]
         + [pa.array(none, t) for t in (pa.int32(), pa.int32(), pa.binary())],
         schema=_LINK,
     )
 
 
 def _end_batch(ends: list[tuple[int, bytes, int]], part: int) -> pa.RecordBatch:
-    rows = [{"a": i, "b": None, "shared": None, "part": part, "side": k, "tree": t, "sig": s} for k, (t, s, i) in enumerate(ends)]
+    rows = [{"a": i, "b": None, "part": part, "side": k, "tree": t, "sig": s} for k, (t, s, i) in enumerate(ends)]
     return pa.RecordBatch.from_pylist(rows, _LINK)
 
 
-def forest_links(reps: DataFrame) -> DataFrame:
-    """(a, b, shared): representatives with equal prefixes in some tree, linked run by run."""
+def forest_links(reps: DataFrame, prefix: int) -> DataFrame:
+    """(a, b): representatives with equal prefixes in some tree, linked run by run."""
     trees = reps.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("sig", 1 + 4 * DEPTH * t, F.lit(4 * DEPTH)))).alias("tree", "sig"))
     parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["tree", "sig", "id"]
-    found = save(trees.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_tree_links, LINK))
-    # Two rows for each partition: the prefix shared across its border.
+    found = save(trees.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_tree_links(prefix), LINK))
+    # Two rows for each partition: a run that goes on across its border. The last row of a partition is linked to the
+    # first row of its run there.
     border = W.orderBy("part", "side")
     ends = found.where("side is not null")
     ends = ends.withColumns({"tree0": F.lag("tree").over(border), "sig0": F.lag("sig").over(border), "a0": F.lag("a").over(border)})
-    across = ends.where("side = 0 and tree = tree0")
-    for p in sorted(PREFIXES):
-        cut = F.substring("sig", 1, 4 * p) == F.substring("sig0", 1, 4 * p)
-        across = across.withColumn("shared", F.when(cut, p).otherwise(F.col("shared")))
-    across = across.where("shared is not null").select("a", F.col("a0").alias("b"), "shared")
-    return save(found.where("side is null").select("a", "b", "shared").union(across).distinct())
+    cut = F.substring("sig", 1, 4 * prefix) == F.substring("sig0", 1, 4 * prefix)
+    across = ends.where("side = 0 and tree = tree0").where(cut).select("a", F.col("a0").alias("b"))
+    return save(found.where("side is null").select("a", "b").union(across).distinct())
 
 
 def _matrix_counts(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -205,12 +199,8 @@ def _heads(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         head = new
 
 
-def _found(similarity: np.ndarray, prefix: int) -> np.ndarray:
-    return 1 - (1 - similarity**prefix) ** TREES
-
-
-def _verify(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float, prefix: int) -> pd.DataFrame:
-    """One row for each member: how many documents it is linked with here, its head, and the links likely missed."""
+def _verify(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[np.ndarray], threshold: float) -> pd.DataFrame:
+    """One row for each member: how many documents it is linked with here, and its head."""
     order = np.lexsort((ids, block))
     ids, weight, block, sets = ids[order], weight[order], block[order], [sets[k] for k in order]
     split = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
@@ -220,20 +210,17 @@ def _verify(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, sets: list[n
     linked = similarity >= threshold - 1e-12
     if not split:
         np.fill_diagonal(linked, False)
-    missed = np.where(linked, 1 / _found(np.where(linked, similarity, 1), prefix) - 1, 0)
     if split:
         degree = np.concatenate([linked @ weight[split:], linked.T @ weight[:split]])
         both = np.zeros((len(ids), len(ids)), bool)
         both[:split, split:] = linked
         both[split:, :split] = linked.T
-        links, lost = both.sum(axis=1), np.concatenate([missed.sum(axis=1), missed.sum(axis=0)])
     else:
-        degree, both, links, lost = linked @ weight, linked, linked.sum(axis=1), missed.sum(axis=1)
-    out = {"id": ids, "partners": degree.astype(np.int64), "head": _heads(both, ids), "links": links.astype(np.int64), "missed": lost}
-    return pd.DataFrame(out)
+        degree, both = linked @ weight, linked
+    return pd.DataFrame({"id": ids, "partners": degree.astype(np.int64), "head": _heads(both, ids)})
 
 
-def _verify_all(threshold: float, prefix: int):
+def _verify_all(threshold: float):
     """Streams rows sorted by (component, left block, right block) and verifies one block pair at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +232,7 @@ def _verify_all(threshold: float, prefix: int):
                 t = pa.Table.from_batches(held)
                 ids, weight, block = (t.column(c).to_numpy() for c in ("id", "copies", "block"))
                 sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
-                yield pa.RecordBatch.from_pandas(_verify(ids, weight, block, sets, threshold, prefix), preserve_index=False)
+                yield pa.RecordBatch.from_pandas(_verify(ids, weight, block, sets, threshold), preserve_index=False)
 
         for batch in batches:
             keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
@@ -290,29 +277,23 @@ def jaccard_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     real = sketch.where("n > 0 and id is not null")
     classes = save(real.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     reps = save(real.select("id", "sig").join(classes.select(F.col("rep").alias("id"), "n", "copies"), "id"))
-    links = forest_links(reps.select("id", "sig"))
+    links = forest_links(reps.select("id", "sig"), prefix_length(threshold, recall))
     sizes = reps.select("id", "n", "copies")
-    result = None
-    for prefix in sorted(PREFIXES, reverse=True):
-        roots = save(components(links.where(F.col("shared") >= prefix).select("a", "b")))
-        members = roots.join(sizes, "id")
-        extent = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
-        blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-        extent = save(extent.select("root", F.least(blocks, F.col("rows")).cast("int").alias("blocks")))
-        placed = save(members.join(extent, "root").select("id", "root", "copies", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
-        sets = _with_shingles(docs, doc_id, text, placed, placed.count(), SHINGLE)
-        each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        # One block: its own pair. More: each pair of different blocks, and each block with itself.
-        pairs = sets.select("id", "root", "copies", "block", "shingles", each).select(
-            "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "block", "shingles"
-        )
-        by = ["root", "i", "j"]
-        dealt = pairs.repartition(*by).sortWithinPartitions(*by)
-        schema = "id long, partners long, head long, links long, missed double"
-        result = save(dealt.mapInArrow(_verify_all(threshold, prefix), schema))
-        seen = result.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum("missed"), F.lit(0.0)).alias("missed")).first()
-        if seen.links and seen.links / (seen.links + seen.missed) >= recall:
-            break
+    roots = save(components(links))
+    members = roots.join(sizes, "id")
+    extent = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    extent = save(extent.select("root", F.least(blocks, F.col("rows")).cast("int").alias("blocks")))
+    placed = save(members.join(extent, "root").select("id", "root", "copies", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")))
+    sets = _with_shingles(docs, doc_id, text, placed, placed.count(), SHINGLE)
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # One block: its own pair. More: each pair of different blocks, and each block with itself.
+    pairs = sets.select("id", "root", "copies", "block", "shingles", each).select(
+        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "copies", "block", "shingles"
+    )
+    by = ["root", "i", "j"]
+    dealt = pairs.repartition(*by).sortWithinPartitions(*by)
+    result = save(dealt.mapInArrow(_verify_all(threshold), "id long, partners long, head long"))
     heads = components(result.select("id", "head"))
     counted = result.groupBy("id").agg(F.sum("partners").alias("partners"))
     linked = save(counted.join(heads, "id", "left").select("id", "partners", F.coalesce("root", "id").alias("root")))
