@@ -88,6 +88,14 @@ def test_a_large_group_does_not_hide_the_misses_of_pairs(spark):
     assert len(lost) <= 2 and all(links[10_000 + k] == 279 for k in range(280))
 
 
+def test_blocks_without_members_are_not_counted_twice(spark, monkeypatch):
+    """Two members dealt to two blocks: in about half of the pairs both fall into one of them."""
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 1)
+    rows = pairs_of(24, random.Random(4), [f"w{k}" for k in range(9000)])
+    got = nd.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.id: (r.class_id, r.rep_id, r.n_copies, r.n_links) for r in got} == plain(rows)
+
+
 def test_links_across_borders_of_sorted_partitions(spark):
     """Two hundred near copies in many partitions: runs go on from one partition to the next."""
     old = spark.conf.get("spark.sql.shuffle.partitions")

@@ -231,6 +231,8 @@ def _verify_all(threshold: float):
             if held:
                 t = pa.Table.from_batches(held)
                 ids, weight, block = (t.column(c).to_numpy() for c in ("id", "copies", "block"))
+                if key[1] != key[2] and (block == block[0]).all():
+                    return  # the other block has no members; this one is verified with itself elsewhere
                 sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
                 yield pa.RecordBatch.from_pandas(_verify(ids, weight, block, sets, threshold), preserve_index=False)
 
