@@ -114,6 +114,18 @@ def test_templates_are_found_in_place_and_not_by_loose_words(spark):
     assert out[999].labels == "" and out[999].score == 0 and all(out[k].score == 0 for k in range(200))
 
 
+def test_each_license_of_a_file_is_found(spark):
+    filler = [f"filler{k} the of and to" for k in range(200)]
+    pairs = [(a, b) for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    rows = [(k, f) for k, f in enumerate(filler)]
+    rows += [(900 + k, f"{a[1]} then {filler[k]} {b[1]}") for k, (a, b) in enumerate(pairs)]
+    rows += [(2000, " and ".join(text for _, text, _ in licenses.TEMPLATES))]
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    for k, (a, b) in enumerate(pairs):
+        assert {a[0], b[0]} <= set(out[900 + k].labels.split(",")) and out[900 + k].score == 1
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(out[2000].labels.split(","))
+
+
 # shards
 
 

@@ -1,8 +1,8 @@
 """License scans by a positional index of rare words.
 
 The words of the license templates are counted over all documents (one count per document). Each template is indexed
-by its ``RARE`` words of highest idf, with their positions. A file's licence words of highest idf are looked up there;
-each posting gives an alignment (template, shift of the template in the file), and alignments on which at least two
+by its ``RARE`` words of highest idf, with their positions. All words of a file are looked up there, so several licences
+in one file do not take words from each other; each posting gives an alignment (template, shift of the template in the file), and alignments on which at least two
 different rare words agree are kept. An alignment counts if every mandatory key phrase of its template stands at its
 place. Its score is the idf-weighted share of template words found in place.
 
@@ -144,17 +144,12 @@ def _base_places(hashes: np.ndarray, row: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def _alignments(index: Index, ids: np.ndarray, row: np.ndarray, rare: int) -> list[tuple[int, int, float]]:
+def _alignments(index: Index, ids: np.ndarray, row: np.ndarray) -> list[tuple[int, int, float]]:
     """(row, template, score) of accepted alignments."""
     hit = np.flatnonzero(ids >= 0)
     if not len(hit):
         return []
-    size = len(VOCABULARY)
-    rank = np.empty(size, np.int64)
-    rank[np.lexsort((np.arange(size), -index.idf))] = np.arange(size)
-    pair = np.unique(row[hit] * size + rank[ids[hit]])
-    place = np.arange(len(pair)) - np.searchsorted(pair, pair // size * size)
-    hit = hit[np.isin(row[hit] * size + rank[ids[hit]], pair[place < rare])]
+    size, templates = len(VOCABULARY), len(index.template_ids)
     low = np.searchsorted(index.posting_word, ids[hit], "left")
     many = np.searchsorted(index.posting_word, ids[hit], "right") - low
     which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -163,22 +158,27 @@ def _alignments(index: Index, ids: np.ndarray, row: np.ndarray, rare: int) -> li
     keep = shift >= 0
     keep[keep] &= row[shift[keep]] == row[at[keep]]
     at, which, shift = at[keep], which[keep], shift[keep]
-    key = np.unique(np.stack([shift, index.posting_template[which], ids[at]]), axis=1)
-    place, votes = np.unique(key[:2], axis=1, return_counts=True)
+    key = np.unique((shift * templates + index.posting_template[which]) * size + ids[at])
+    place, votes = np.unique(key // size, return_counts=True)
+    place = place[votes >= AGREE]
     out = []
-    for start, t in place[:, votes >= AGREE].T.tolist():
-        want = index.template_ids[t]
-        end = start + len(want)
-        there = np.zeros(len(want), bool)
-        got = ids[start:end]
-        there[: len(got)] = (got == want[: len(got)]) & (row[start:end] == row[start])
-        if there[index.phrase_at[t]].all():
-            weight = index.idf[want]
-            out.append((int(row[start]), t, float((weight * there).sum() / weight.sum())))
+    for t, want in enumerate(index.template_ids):
+        start = place[place % templates == t] // templates
+        # Word by word of the key phrases, rarest first: loose common words end here.
+        phrase = index.phrase_at[t]
+        for p in phrase[np.argsort(-index.idf[want[phrase]], kind="stable")].tolist():
+            start = start[start + p < len(ids)]
+            start = start[(ids[start + p] == want[p]) & (row[start + p] == row[start])]
+        weight = index.idf[want]
+        for k in start.tolist():
+            there = np.zeros(len(want), bool)
+            got = ids[k : k + len(want)]
+            there[: len(got)] = (got == want[: len(got)]) & (row[k : k + len(want)] == row[k])
+            out.append((int(row[k]), t, float((weight * there).sum() / weight.sum())))
     return out
 
 
-def scan(index: Index, texts: pa.Array, rare: int = RARE) -> list[dict[str, object]]:
+def scan(index: Index, texts: pa.Array) -> list[dict[str, object]]:
     """What ``RESULT`` names, for each text."""
     texts = texts if texts.type == pa.string() else texts.cast(pa.string())
     data, offsets = utf8(texts.fill_null("") if texts.null_count else texts)
@@ -199,7 +199,7 @@ def scan(index: Index, texts: pa.Array, rare: int = RARE) -> list[dict[str, obje
                 x["last_word"] = p if x["last_word"] is None else max(p, x["last_word"])
                 x["base"].add(label)
                 x["score"] = BASE_SCORE
-        for k, t, score in _alignments(index, vocabulary_ids(hashes), row, rare):
+        for k, t, score in _alignments(index, vocabulary_ids(hashes), row):
             found[k]["own"].add(index.labels[t])
             found[k]["score"] = max(found[k]["score"], min(1.0, score))
         for x in found:
@@ -208,14 +208,14 @@ def scan(index: Index, texts: pa.Array, rare: int = RARE) -> list[dict[str, obje
     return out
 
 
-def license_columns(index: Index, text: Column | str, rare: int = RARE) -> Column:
+def license_columns(index: Index, text: Column | str) -> Column:
     """A struct of ``RESULT`` for each text."""
     kind = pa.struct(
         [(n, {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in (x.split() for x in RESULT.split(", "))]
     )
 
     def look(texts: pa.Array) -> pa.Array:
-        return pa.array(scan(index, texts, rare), kind)
+        return pa.array(scan(index, texts), kind)
 
     return F.arrow_udf(look, RESULT)(text)
 
@@ -225,7 +225,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", rare: int = RARE) -> Data
     prepare(docs.sparkSession)
     index = build_index(*document_frequencies(docs, text), rare)
     names = [x.split()[0] for x in RESULT.split(", ")]
-    out = docs.withColumn("__license", license_columns(index, text, rare))
+    out = docs.withColumn("__license", license_columns(index, text))
     return out.withColumns({n: F.col(f"__license.{n}") for n in names}).drop("__license")
 
 
