@@ -386,6 +386,16 @@ def test_main_text_of_small_pages(page, want):
     assert main_text.main_text(page) == want
 
 
+def test_main_text_of_sibling_parts():
+    """Text dealt over sibling containers, a heading beside them, and a link list that stays out."""
+    part = "".join(f"<p>{P}</p>" for _ in range(10))
+    lines = [P.strip()] * 30
+    assert main_text.main_text(f"<body>{''.join(f'<div>{part}</div>' for _ in range(3))}</body>").split("\n") == lines
+    links = "<div>" + "".join(f"<a href={k}>link {k}</a>" for k in range(9)) + "</div>"
+    page = f"<body>{links}<h1>Title</h1><div>{part}</div><div>{part}{part}</div>{links}</body>"
+    assert main_text.main_text(page).split("\n") == ["Title", *lines]
+
+
 # pipeline
 
 

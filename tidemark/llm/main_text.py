@@ -7,8 +7,9 @@ Its composite density is
     C / T * log( C * T / (LC * LT) ) / log( ln( C / NLC * LC  +  LCb / Cb * C  +  e ) )
 
 with LCb, Cb of the body and zero counts taken as one. The density sum of a node is the sum over its children. The
-threshold is the smallest density on the path from the node of maximal density sum to the body; within the nodes at
-or above it, the one of maximal density sum is the main subtree. Parts whose tag or class names them as menus,
+threshold is the smallest density on the path from the node of maximal density sum to the body, both included. Of every
+part at or above it the subtree of maximal density sum is kept, in page order, with headings right before it. An
+innermost <article> or <main> at or above it is a boundary: it is kept as a whole. Parts whose tag or class names them as menus,
 headers, footers, sidebars, notices, adverts or reader comments give no text.
 
 A null or empty page gives an empty text. A page without any tag gives its text. Repeated rows give equal results;
@@ -182,8 +183,8 @@ def _measure(root: Node) -> list[Node]:
     return nodes
 
 
-def _blocks(top: Node) -> list[str]:
-    """Texts of the blocks below ``top`` in page order."""
+def _blocks(tops: list[Node]) -> list[str]:
+    """Texts of the blocks below ``tops`` in page order."""
     out: list[str] = []
     line: list[str] = []
 
@@ -193,7 +194,7 @@ def _blocks(top: Node) -> list[str]:
         if text:
             out.append(text)
 
-    stack: list[Node | str | None] = [top]
+    stack: list[Node | str | None] = [x for top in reversed(tops) for x in (None, top)]
     while stack:
         part = stack.pop()
         if part is None:
@@ -209,42 +210,74 @@ def _blocks(top: Node) -> list[str]:
     return out
 
 
-def main_subtree(root: Node) -> Node:
-    """The node of maximal density sum within the threshold that the path to the body sets."""
-    nodes = [n for n in _measure(root) if n.chars and not n.noise]
-    named = [n for n in nodes if n.tag in ("article", "main")]
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def main_parts(root: Node) -> list[Node]:
+    """The subtrees of maximal density sum of all parts at or above the threshold, in page order."""
+    measured = _measure(root)
+    nodes = [n for n in measured if n.chars and not n.noise]
     if not nodes:
-        return root
+        return [root]
     body = next((n for n in nodes if n.tag == "body"), root)
-    pool = [n for n in nodes if n.tag in SCOPE or n is root] or [root]
-    best = max(pool, key=lambda n: n.total)
+    pool = {n for n in nodes if n.tag in SCOPE or n is root} or {root}
+    best = max((n for n in nodes if n in pool), key=lambda n: n.total, default=root)
     threshold, at = best.density, best
-    while at is not None and at is not body:
-        threshold, at = min(threshold, at.density), at.parent
-    if best is not body:
-        best = max((n for n in pool if n.density >= threshold and n is not body), key=lambda n: n.total, default=best)
-    # A page that marks its article: the densest part decides which one, the mark where it begins and ends.
-    at = best
     while at is not None:
-        if at in named:
-            return at
-        at = at.parent
-    inside = [n for n in named if _within(n, best)]
-    return max(inside, key=lambda n: n.total) if inside and max(n.total for n in inside) * 2 >= best.total else best
-
-
-def _within(node: Node, top: Node) -> bool:
-    at: Node | None = node
-    while at is not None and at is not top:
-        at = at.parent
-    return at is top
+        threshold = min(threshold, at.density)
+        at = None if at is body else at.parent
+    # Below each node: the largest density sum of parts at or above the threshold, and that of marked articles.
+    most: dict[Node, float] = {}
+    named: dict[Node, float] = {}
+    for node in reversed(nodes):
+        if node.parent is None or node.density < threshold and node not in most:
+            continue
+        own = node.density >= threshold
+        sums = [most[node]] if node in most else []
+        if own and node in pool:
+            sums.append(node.total)
+        if sums:
+            most[node.parent] = max(*sums, most.get(node.parent, -1.0))
+        marks = [named[node]] if node in named else []
+        if own and node.tag in ("article", "main"):
+            marks.append(node.total)
+        if marks:
+            named[node.parent] = max(*marks, named.get(node.parent, -1.0))
+    out: list[Node] = []
+    before: list[Node] = []  # headings with nothing but headings after them so far
+    stack: list[Node | str] = [root]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            if not node.isspace():
+                before.clear()
+            continue
+        if node.noise or not node.chars:
+            continue
+        kept = node.density >= threshold
+        if kept and node.tag in ("article", "main"):
+            kept = node not in named
+        elif kept and node in pool:
+            kept = most.get(node, -1.0) <= node.total and not (node in named and named[node] * 2 >= node.total)
+        elif kept:
+            kept = node.tag in BLOCK and node not in most
+        if kept:
+            out += [*before, node]
+            before.clear()
+        elif node.tag in HEADINGS:
+            before.append(node)
+        else:
+            if not any(isinstance(p, Node) and p.chars for p in node.parts):
+                before.clear()
+            stack.extend(reversed(node.parts))
+    return out or [best]
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the main subtree, one a line."""
+    """Blocks of the main parts, one a line."""
     if not page or page.isspace():
         return ""
-    return "\n".join(_blocks(main_subtree(parse(page))))
+    return "\n".join(_blocks(main_parts(parse(page))))
 
 
 def extracted(page: Column | str) -> Column:
