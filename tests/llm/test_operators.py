@@ -220,6 +220,19 @@ def test_decontamination_equals_scoring_everything(spark):
     assert {(x.doc_id, x.item_id): round(x.score, 6) for x in found.collect()} == plain_contaminated(docs, items)
 
 
+def test_scores_do_not_depend_on_index_parts(spark, monkeypatch):
+    """Leaks that lack one common or rare word of an item, so that scores depend on the frequencies of all items."""
+    r = random.Random(8)
+    common_words, rare = [f"c{k}" for k in range(30)], [f"r{k}" for k in range(3000)]
+    items = [(k, " ".join(r.choice(common_words if r.random() < 0.5 else rare) for _ in range(r.choice([30, 50, 90])))) for k in range(60)]
+    leaks = [(k, "other " + text.split(" ", 1)[1]) for k, text in items]
+    docs, items = spark.createDataFrame(leaks, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(decontaminate.contaminated(docs, items).collect())
+    assert len({x.doc_id for x in want}) == 60 and any(x.score < 1 for x in want)
+    monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 7)
+    assert sorted(decontaminate.contaminated(docs, items).collect()) == want
+
+
 def test_index_in_parts_finds_the_same_items(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs, items).collect()}

@@ -10,17 +10,21 @@ Retrieved items are verified against the whole document: of the word n-grams (fi
 part) of the question and of the answer, the shares ``OVERLAP`` must each stand in it. Case does not count.
 
 The index is broadcast in parts of bounded size (``INDEX_ITEMS`` items, ``INDEX_BYTES`` of text); a larger benchmark takes more parts, each
-against all documents. Null and empty items and texts match nothing. Repeated items each match; repeated rows give
+against all documents. The number of segments, their mean length and the document frequencies are those of all items
+(counted by Spark), so scores do not depend on the parts. One part is in memory at a time: its hits are saved and its
+broadcast is freed before the next. Null and empty items and texts match nothing. Repeated items each match; repeated rows give
 repeated results. An empty table, on either side, gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +54,20 @@ def grams(hashes: np.ndarray) -> tuple[int, np.ndarray]:
     return n, np.unique(shingle_hashes(hashes, n)) if n else hashes
 
 
+@dataclass(frozen=True)
+class Counts:
+    """Of all items: number of segments, their mean length, and in how many segments each word of a part stands."""
+
+    segments: int
+    mean: float
+    words: np.ndarray  # sorted
+    df: np.ndarray
+
+
 class Index:
-    """Inverted index of the segments of some test items."""
+    """Inverted index of the segments of some test items; ``counts`` is for items that are a part of more."""
 
-    def __init__(self, ids: list[int], questions: list[np.ndarray], answers: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[int], questions: list[np.ndarray], answers: list[np.ndarray], counts: Counts | None = None) -> None:
         self.ids = np.array(ids, np.int64)
         self.parts = [(grams(q), grams(a)) for q, a in zip(questions, answers, strict=True)]
         item, bodies = [], []
@@ -68,8 +82,11 @@ class Index:
         pairs, tf = np.unique(pairs, axis=1, return_counts=True)
         self.words, term, df = np.unique(pairs[0], return_inverse=True, return_counts=True)
         segment = pairs[1].astype(np.int64)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0))
+        total, mean = n, lengths.mean() if n else 1.0
+        if counts is not None:
+            total, mean, df = counts.segments, counts.mean, counts.df[np.searchsorted(counts.words, self.words)]
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * lengths / max(1.0, mean))
         impact = idf[term] * tf * (K1 + 1) / (tf + norm[segment]) if n else np.zeros(0)
         own = np.bincount(segment, weights=impact, minlength=n)
         self.segment, self.impact = segment, impact / own[segment]
@@ -154,7 +171,36 @@ class Index:
         return out[0], out[1]
 
 
-def build_index(items: list[tuple[int, str, str | None]]) -> Index:
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of items (part, question, answer): segments that hold each word; a row without a word has all segments and words."""
+    for batch in batches:
+        part = batch.column(0).to_numpy(zero_copy_only=False)
+        pairs = [x or "" for both in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for x in both]
+        data, offsets = utf8(pa.array(pairs, pa.string()))
+        for i, j in slices(offsets[::2]):
+            cut = offsets[2 * i : 2 * j + 1]
+            _, _, hashes, first = words(data[cut[0] : cut[-1]], cut - cut[0])
+            first = first[::2]
+            size = np.diff(first)
+            row = np.repeat(np.arange(j - i), size)
+            segments = (size + SEGMENT - 1) // SEGMENT
+            base = np.cumsum(segments) - segments
+            segment = base[row] + (np.arange(len(hashes)) - first[row]) // SEGMENT
+            distinct = np.unique(np.stack([hashes, segment.astype(np.uint64)]), axis=1)
+            owner = part[i:j][np.repeat(np.arange(j - i), segments)[distinct[1].astype(np.int64)]]
+            (word, owner), df = np.unique(np.stack([distinct[0], owner.astype(np.uint64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*owner.astype(np.int64).tolist(), None], pa.int64()),
+                    pa.array([*word.view(np.int64).tolist(), None], pa.int64()),
+                    pa.array([*df.tolist(), int(segments.sum())], pa.int64()),
+                    pa.array([*np.zeros(len(df), np.int64).tolist(), len(hashes)], pa.int64()),
+                ],
+                names=["part", "word", "df", "words"],
+            )
+
+
+def build_index(items: list[tuple[int, str, str | None]], counts: Counts | None = None) -> Index:
     """Index of (id, question, answer); without answers, an item's last words are."""
     ids, questions, answers = [], [], []
     for item, question, answer in items:
@@ -166,14 +212,14 @@ def build_index(items: list[tuple[int, str, str | None]]) -> Index:
         ids.append(item)
         questions.append(parts[0])
         answers.append(parts[1])
-    return Index(ids, questions, answers)
+    return Index(ids, questions, answers, counts)
 
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def search(docs: DataFrame, index: Index, doc_id: str, text: str, threshold: float, overlap: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # a part of bounded size
+def search(docs: DataFrame, shared: Broadcast, doc_id: str, text: str, threshold: float, overlap: float) -> DataFrame:
+    """Hits of the documents in the broadcast index (a part of bounded size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
@@ -214,11 +260,28 @@ def contaminated(
     )
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.concat_ws(" ", "question", "answer"))), F.lit(0)).alias("b")).first()
     parts = max(1, -(-size.n // INDEX_ITEMS), -(-size.b // INDEX_BYTES))
-    part = F.pmod(F.xxhash64("item", "question"), F.lit(parts))
+    context = docs.sparkSession.sparkContext
+    order = ["item", "question"]
+    if parts == 1:
+        index = build_index([(r.item, r.question, r.answer) for r in items.orderBy(*order).collect()])
+        return search(docs, context.broadcast(index), doc_id, text, threshold, overlap)
+    dealt = items.withColumn("part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    dealt = save(dealt.repartition("part").sortWithinPartitions("part", *order))
+    seen = save(dealt.select("part", "question", "answer").mapInArrow(count_words, "part long, word long, df long, words long"))
+    whole = seen.where("word is null").agg(F.sum("df").alias("segments"), F.sum("words").alias("words")).first()
+    each = seen.where("word is not null")
+    df = each.select("part", "word").distinct().join(each.groupBy("word").agg(F.sum("df").alias("df")), "word")
+    df = save(df.repartition("part").sortWithinPartitions("part", "word"))
     found = []
     for k in range(parts):
-        rows = items.where(part == k).orderBy("item", "question").collect()
-        found.append(search(docs, build_index([(r.item, r.question, r.answer) for r in rows]), doc_id, text, threshold, overlap))
+        known = df.where(F.col("part") == k).select("word", "df").toArrow()
+        word, many = (known.column(c).to_numpy() for c in ("word", "df"))
+        at = np.argsort(word.view(np.uint64))
+        counts = Counts(whole.segments, whole.words / max(1, whole.segments), word.view(np.uint64)[at], many[at])
+        rows = dealt.where(F.col("part") == k).orderBy(*order).collect()
+        shared = context.broadcast(build_index([(r.item, r.question, r.answer) for r in rows], counts))
+        found.append(save(search(docs, shared, doc_id, text, threshold, overlap)))
+        shared.destroy()
     return reduce(DataFrame.unionByName, found)
 
 
