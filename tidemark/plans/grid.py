@@ -102,6 +102,15 @@ class Grid:
     def distinct(self, name: str) -> list:
         return sorted(set(self.values[name]))
 
+    def row(self, i: int) -> dict:
+        """The values of combination ``i``."""
+        out, stride = {}, self.size()
+        for axis in self.axes:
+            vals = self.values[axis.name]
+            stride //= len(vals)
+            out[axis.name] = vals[i // stride % len(vals)]
+        return out
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """One row per combination: ``param_id``, the axis values, and each value's position ``<axis>_i``."""
         stride, cols = self.size(), ["id AS param_id"]
