@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from tidemark.plans.episodes import cells_of, combinations, stops_of
 from tidemark.plans.experiment import holdout_segments, top_k, walkforward_segments
 from tidemark.plans.grid import float_axis, int_axis
 from tidemark.plans.strategies import REGISTRY, Registry, Strategy
@@ -86,3 +87,26 @@ def test_segments(spark):
     assert walk[10] == {} and walk[1300] == {
         "train_1": (0, 325), "test_1": (325, 650), "train_2": (0, 650), "test_2": (650, 975), "train_3": (0, 975), "test_3": (975, 1300),
     }
+
+
+def test_combinations_of_a_cell():
+    """Every combination belongs to one cell, with the places of its multipliers; repeated lengths count twice."""
+    strategy = REGISTRY.get("v5")
+    grid = strategy.grid(
+        regime_ema_len=[9, 5, 9], atr_period=[7, 3], atr_mult_low_vol=[2.0, 0.0, 1.0], atr_mult_high_vol=[2.5, 2.0],
+        vol_regime_lookback=[4], vol_regime_threshold=[0.5, 0.25, 0.75], regime_band=[0.0, 0.1],
+    )
+    cells, stops, seen = cells_of(grid), stops_of(grid), []
+    assert stops == {"atr_mult_low_vol": [1.0, 2.0], "atr_mult_high_vol": [2.0, 2.5]}
+    for length in (5, 9):
+        for band_i in range(2):
+            for cell in range(cells.size()):
+                numbers, places = combinations(grid, length, band_i, cell)
+                seen += numbers.tolist()
+                for i, *place in zip(numbers.tolist(), *places, strict=True):
+                    row = grid.row(i)
+                    assert row["regime_ema_len"] == length and row["regime_band"] == grid.values["regime_band"][band_i]
+                    assert {n: row[n] for n in cells.row(cell)} == cells.row(cell)
+                    for j, (name, many) in zip(place, stops.items(), strict=True):
+                        assert (many[j] if j < len(many) else 0.0) == row[name]
+    assert sorted(seen) == list(range(grid.size()))

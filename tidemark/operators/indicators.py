@@ -85,20 +85,29 @@ def rank_in_window(window: Column, current: Column, at: Column, lookback: Column
     return F.when(current.isNotNull(), below / F.size(recent))
 
 
-def rolling_rank(
-    df: DataFrame, series: Series, lookback: int, ratio: str = "ratio", name: str = "vol_rank"
-) -> DataFrame:
-    """Percentile rank of the ratio among the defined ratios of the last ``lookback`` bars."""
+def rolling_ranks(df: DataFrame, series: Series, names: dict[str, int], ratio: str = "ratio") -> DataFrame:
+    """Percentile ranks of the ratio among the defined ratios of the last bars: ``names`` gives the lookback of each.
+
+    One window, as long as the longest lookback, serves all of them.
+    """
+    longest = max(names.values())
 
     def build(w):
         seen = F.collect_list(
             F.when(F.col(ratio).isNotNull(), F.struct(F.col("bar_idx").alias("i"), F.col(ratio).alias("r")))
-        ).over(w.rowsBetween(-(lookback - 1), 0))
+        ).over(w.rowsBetween(-(longest - 1), 0))
         return {"_seen": seen}
 
-    df = series.rolling(df, lookback, "bar_idx", build)
-    rank = rank_in_window(F.col("_seen"), F.col(ratio), F.col("bar_idx"), lookback)
-    return df.withColumn(name, rank).drop("_seen")
+    df = series.rolling(df, longest, "bar_idx", build)
+    ranks = {n: rank_in_window(F.col("_seen"), F.col(ratio), F.col("bar_idx"), back) for n, back in names.items()}
+    return df.withColumns(ranks).drop("_seen")
+
+
+def rolling_rank(
+    df: DataFrame, series: Series, lookback: int, ratio: str = "ratio", name: str = "vol_rank"
+) -> DataFrame:
+    """Percentile rank of the ratio among the defined ratios of the last ``lookback`` bars."""
+    return rolling_ranks(df, series, {name: lookback}, ratio)
 
 
 def is_high(rank: Column, threshold: Column | float) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import accumulate, chain, repeat, takewhile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,26 +102,36 @@ class Grid:
     def distinct(self, name: str) -> list:
         return sorted(set(self.values[name]))
 
-    def row(self, i: int) -> dict:
-        """The values of combination ``i``."""
+    def strides(self) -> dict[str, int]:
+        """How far apart the numbers of neighbouring values of each axis are."""
         out, stride = {}, self.size()
         for axis in self.axes:
-            vals = self.values[axis.name]
-            stride //= len(vals)
-            out[axis.name] = vals[i // stride % len(vals)]
+            stride //= len(self.values[axis.name])
+            out[axis.name] = stride
         return out
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """One row per combination: ``param_id``, the axis values, and each value's position ``<axis>_i``."""
-        stride, cols = self.size(), ["id AS param_id"]
+    def row(self, i: int) -> dict:
+        """The values of combination ``i``."""
+        return {n: self.values[n][i // stride % len(self.values[n])] for n, stride in self.strides().items()}
+
+    def columns(self, number: str) -> list[str]:
+        """SQL for the values of the combination with this number, and for each value's position ``<axis>_i``."""
+        cols, strides = [], self.strides()
         for axis in self.axes:
-            vals = self.values[axis.name]
-            stride //= len(vals)
-            pos = f"CAST(id DIV {stride} % {len(vals)} AS INT)"
+            vals, stride = self.values[axis.name], strides[axis.name]
+            pos = f"CAST({number} DIV {stride} % {len(vals)} AS INT)"
             items = ", ".join(f"CAST('{v!r}' AS {axis.kind})" if v is not None else "NULL" for v in vals)
             cols.append(f"element_at(CAST(array({items}) AS array<{axis.kind}>), {pos} + 1) AS {axis.name}")
             cols.append(f"{pos} AS {axis.name}_i")
-        return spark.range(self.size()).selectExpr(*cols)
+        return cols
+
+    def part(self, names: list[str]) -> Grid:
+        """The grid of some of the axes."""
+        return replace(self, axes=tuple(a for a in self.axes if a.name in names), checks=())
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """One row per combination: ``param_id``, the axis values, and each value's position ``<axis>_i``."""
+        return spark.range(self.size()).selectExpr("id AS param_id", *self.columns("id"))
 
     def small_frame(self, spark: SparkSession) -> DataFrame:
         """The grid, broadcast when its known row count is within the bound."""

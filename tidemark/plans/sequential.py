@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.scan import Series
 from tidemark.plans.grid import Axis, Grid
 from tidemark.plans.strategies import Evaluator, Run, Strategy
-from tidemark.session import share_package
+from tidemark.session import share_package, work_partitions
 from tidemark.sources.candles import latest
 
 Step = Callable[[pa.RecordBatch], Sequence[float]]
@@ -95,7 +95,7 @@ def sequential(rule: Rule, reads: Sequence[str] = BARS, memory: int | None = Non
         kept = run.bars.columns if full else [*run.series.cluster, "bar_idx", "ret_oo", "first_ts", "last_ts"]
         rows = rows.select(*dict.fromkeys([*kept, "bar_idx", *reads]), "_lot", "_own", "_blk")
         cluster = [*keys, "_lot", "_blk"]
-        rows = rows.repartition(*cluster).sortWithinPartitions(*cluster, "bar_idx")
+        rows = rows.repartition(work_partitions(spark), *cluster).sortWithinPartitions(*cluster, "bar_idx")
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lanes: list[_Lane] = []

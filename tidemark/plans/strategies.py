@@ -68,12 +68,12 @@ def _volatility(run: Run, periods: list[int], lookbacks: list[int]) -> DataFrame
     for p in periods:
         df = ind.atr(df, run.series, p, f"_atr{p}").withColumn(f"_ratio{p}", ind.price_ratio(f"_atr{p}"))
         temp += [f"_atr{p}", f"_ratio{p}"]
-        for lb in lookbacks or [None]:
-            rank = F.lit(None).cast("double")
-            if lb is not None:
-                df = ind.rolling_rank(df, run.series, lb, f"_ratio{p}", f"_rank{p}_{lb}")
-                rank = F.col(f"_rank{p}_{lb}")
-                temp.append(f"_rank{p}_{lb}")
+        ranks = {f"_rank{p}_{lb}": lb for lb in lookbacks}
+        if ranks:
+            df = ind.rolling_ranks(df, run.series, ranks, f"_ratio{p}")
+            temp += ranks
+        for name in ranks or [None]:
+            rank = F.col(name) if name else F.lit(None).cast("double")
             cells.append(
                 F.struct(F.col(f"_atr{p}").alias("atr"), F.col(f"_ratio{p}").alias("ratio"), rank.alias("rank"))
             )

@@ -25,6 +25,11 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "tidemark")
     )
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions for rows that cost far more work than their size shows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def share_package(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver did, if it is not installed for them otherwise."""
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
