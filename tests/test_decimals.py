@@ -64,3 +64,19 @@ def test_spendable_is_cut_once(spark):
     rows = spark.createDataFrame([("1000000000000000.5",), ("2000.9",), (None,)], "t string")
     out = [x.s for x in rows.select(spendable(dec(F.col("t")), "0.0005").alias("s")).collect()]
     assert out == [999500000000000, 1999, 0]
+
+
+def test_snapshots_beyond_the_ledger_are_named_and_the_next_one_counts_on(spark):
+    from tidemark.operators.reconcile import SNAPSHOT_SCHEMA, reconcile
+
+    def poll(seq, volume, fee="0", trades=()):
+        cells = [("KRW-A", f"t{k}", p, v, f, "bid", "2026-01-01T00:00:00Z") for k, (p, v, f) in enumerate(trades)]
+        return ("o1", seq, "KRW-A", "BUY", "u", "bid", "limit", "10", "wait", "KRW-A", None, "1", "1", "0", "0", fee, "0", volume, len(cells), cells)
+
+    rows = [poll(1, "1"), poll(2, "1e27"), poll(3, "3", fee="1e30"), poll(4, "4", trades=[("1e20", "1e20", None)])]
+    df = spark.createDataFrame(rows, f"order_id string, seq int, symbol string, order_side string, {SNAPSHOT_SCHEMA}")
+    for rows_per_task in (None, 2):
+        got = {r.seq: r for r in reconcile(df, rows_per_task).collect()}
+        assert [got[k].delta_qty for k in (1, 2, 3, 4)] == [1, None, 2, 1]
+        assert got[1].error is None and got[2].error == "executed volume beyond the ledger" and got[2].executed_volume is None
+        assert got[3].error == "fee beyond the ledger" and "fills beyond the ledger" in got[4].error

@@ -655,19 +655,20 @@ def candle_signal_events(spark, sf):
 @query(
     "weighted_positions",
     f"""WITH RECURSIVE {FILLED},
+    exact AS (SELECT symbol, rn, side, CAST(qty AS HUGEINT) * 1000000000000 AS qty, CAST(round(price * 1e12) AS HUGEINT) AS price FROM filled),
     pos AS (
-      SELECT symbol, rn, CASE WHEN side = 'BUY' THEN qty ELSE 0 END::DOUBLE AS q, CASE WHEN side = 'BUY' THEN price ELSE 0 END::DOUBLE AS a FROM filled WHERE rn = 1
+      SELECT symbol, rn, CASE WHEN side = 'BUY' THEN qty ELSE 0 END::HUGEINT AS q, CASE WHEN side = 'BUY' THEN price ELSE 0 END::HUGEINT AS a FROM exact WHERE rn = 1
       UNION ALL
-      SELECT f.symbol, f.rn, CASE WHEN f.side = 'BUY' THEN p.q + f.qty ELSE greatest(0, p.q - f.qty) END,
-        CASE WHEN f.side = 'BUY' THEN (p.a * p.q + f.price * f.qty) / (p.q + f.qty) WHEN p.q - f.qty <= 0 THEN 0 ELSE p.a END
-      FROM pos p JOIN filled f ON f.symbol = p.symbol AND f.rn = p.rn + 1)
-    SELECT symbol, q AS qty, round(a, 6) + 0.0 AS avg_price, CASE WHEN q > 0 THEN 'LONG' ELSE 'FLAT' END AS state FROM pos
+      SELECT f.symbol, f.rn, CASE WHEN f.side = 'BUY' THEN p.q + f.qty ELSE greatest(0::HUGEINT, p.q - f.qty) END,
+        CASE WHEN f.side = 'BUY' THEN {half_up('p.a * p.q + f.price * f.qty', 'p.q + f.qty')} WHEN p.q - f.qty <= 0 THEN 0 ELSE p.a END
+      FROM pos p JOIN exact f ON f.symbol = p.symbol AND f.rn = p.rn + 1)
+    SELECT symbol, {units_text('q')} AS qty, {units_text('a')} AS avg_price, CASE WHEN q > 0 THEN 'LONG' ELSE 'FLAT' END AS state FROM pos
     QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1""",
 )
 def weighted_positions_query(spark, sf):
     moves = filled_orders(spark, sf).withColumnsRenamed({"executed_volume": "qty", "avg_executed_price": "price"})
     rows = weighted_positions(moves, ["symbol"], LEDGER_ORDER)
-    return rows.select("symbol", F.col("qty").cast("double").alias("qty"), r("avg_price").alias("avg_price"), "state")
+    return rows.select("symbol", text12("qty").alias("qty"), text12("avg_price").alias("avg_price"), "state")
 
 
 # --- reconciliation -------------------------------------------------------------------------------------------

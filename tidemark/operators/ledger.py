@@ -3,31 +3,59 @@
 The held quantity of a symbol is a running sum that never goes below zero, which window sums give exactly in
 decimals.  Everything else is linear in the cost basis (or average price) carried from row to row, so rows fold
 into linear maps: blocks of rows first, then blocks of blocks.  No symbol, however hot, is folded in one piece.
+
+The average price of a position is rounded after each buy, which is not linear: it is a walk over the buys since the
+position was last flat, in whole numbers of 1e-12, and a long walk goes block by block, each block taking over where
+the one before stopped.
+
+Amounts are decimal(37,12).  A key with an amount beyond it, or whose amounts add up to more than ``MOST``, has no result
+and says so in ``error``; all other keys are not affected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import AMOUNT, WIDE
 from tidemark.operators.scan import Series, lay_out
-from tidemark.session import materialize
+from tidemark.session import materialize, share_package, stored
 
 BLOCK = 4096
+#: A key's amounts may add up to this: sums and differences of them keep all twelve places.
+MOST = 9e24
+BEYOND = "amount beyond the ledger"
+UNIT = 10**12
 
 
 def signed_volume(side: Column, volume: Column) -> Column:
-    """Bought quantity as plus, sold as minus; rows without side or volume count nothing."""
-    amount = F.coalesce(F.when(volume > 0, volume), F.lit(0)).cast("decimal(28,12)")
-    return F.when(side == "BUY", amount).when(side == "SELL", -amount).otherwise(F.lit(0).cast("decimal(28,12)"))
+    """Bought quantity as plus, sold as minus; rows without side or volume, or beyond the ledger, count nothing."""
+    zero = F.lit(0).cast(AMOUNT)
+    amount = F.coalesce(F.when(volume > 0, volume).try_cast(AMOUNT), zero)
+    return F.when(side == "BUY", amount).when(side == "SELL", (-amount).cast(AMOUNT)).otherwise(zero)
+
+
+def _size(side: Column, *amounts: Column) -> Column:
+    """How much an order adds to what its key may add up to; infinite where an amount does not fit."""
+    sizes = [F.coalesce(F.abs(x.try_cast("double")), F.lit(0.0)) for x in amounts]
+    fits = F.lit(True)
+    for x in amounts:
+        fits = fits & (x.isNull() | x.try_cast(AMOUNT).isNotNull())
+    return F.when(side.isin("BUY", "SELL"), F.when(fits, F.greatest(*sizes, F.lit(0.0))).otherwise(float("inf"))).otherwise(0.0)
+
+
+def _with_beyond(rows: DataFrame, series: Series) -> DataFrame:
+    """Flag ``_beyond`` on all rows of the keys that the ledger cannot hold, from ``_size``."""
+    rows = series.whole(rows, _all=("sum", F.col("_size")))
+    return rows.withColumn("_beyond", F.coalesce(~(F.col("_all") <= MOST), F.lit(False))).drop("_all", "_size")
 
 
 def running_quantity(df: DataFrame, series: Series, delta: Column, name: str = "held") -> DataFrame:
     """Running sum of ``delta`` with a floor of zero at every step: W - min(0, lowest W so far)."""
-    df = series.running(df, _w=("sum", delta.cast("decimal(28,12)")))
+    df = series.running(df, _w=("amount", delta.cast(AMOUNT)))
     df = series.running(df, _low=("min", F.col("_w")))
     zero = F.lit(0).cast(AMOUNT)
     held = F.col("_w").cast(AMOUNT) - F.least(zero, F.col("_low").cast(AMOUNT))
@@ -38,10 +66,13 @@ def managed_quantity(
     orders: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None = None
 ) -> DataFrame:
     """Quantity the engine's own executed orders account for, per key."""
-    slim = orders.select(*keys, *order, signed_volume(F.col("side"), F.col("executed_volume")).alias("_d"))
+    volume = F.col("executed_volume")
+    slim = orders.select(*keys, *order, signed_volume(F.col("side"), volume).alias("_d"), _size(F.col("side"), F.when(volume > 0, volume)).alias("_size"))
     rows, series = lay_out(slim, keys, order, rows_per_task)
-    rows = running_quantity(rows, series, F.col("_d"), "managed_qty")
-    return rows.groupBy(*keys).agg(F.max_by("managed_qty", F.struct(*order)).alias("managed_qty"))
+    rows = _with_beyond(rows, series)
+    rows = running_quantity(rows, series, F.when(F.col("_beyond"), F.lit(0)).otherwise(F.col("_d")), "managed_qty")
+    held = rows.groupBy(*keys).agg(F.max_by("managed_qty", F.struct(*order)).alias("q"), F.max("_beyond").alias("b"))
+    return held.select(*keys, F.when(~F.col("b"), F.col("q")).alias("managed_qty"), F.when(F.col("b"), BEYOND).alias("error"))
 
 
 def _fold_levels(
@@ -71,31 +102,35 @@ def round_trips(
     """Profit and cost of each round trip (flat to flat) with average cost including buy fees.
 
     Needs ``side``, ``executed_volume``, ``avg_executed_price``, ``fee_amount``.  A sell is capped at the held
-    quantity, its fee in proportion.  ``closed`` tells whether the trip ended flat.
+    quantity, its fee in proportion.  ``closed`` tells whether the trip ended flat.  A key beyond the ledger has one
+    row, with ``error``.
     """
     keys = list(keys)
-    qty, price = F.col("executed_volume").cast(WIDE), F.col("avg_executed_price").cast("double")
-    valid = F.col("side").isin("BUY", "SELL") & (qty > 0) & (price > 0)
+    volume, price = F.col("executed_volume"), F.col("avg_executed_price").try_cast("double")
+    valid = F.col("side").isin("BUY", "SELL") & (volume > 0) & (price > 0)
     slim = orders.where(valid).select(
         *keys,
         *order,
         F.col("side"),
-        qty.alias("qty"),
+        F.coalesce(volume.try_cast(AMOUNT), F.lit(0)).cast(WIDE).alias("qty"),
+        _size(F.col("side"), volume).alias("_size"),
         price.alias("price"),
         F.greatest(F.coalesce(F.col("fee_amount").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("fee"),
     )
     rows, series = lay_out(slim, keys, order, rows_per_task)
-    rows = running_quantity(rows, series, signed_volume(F.col("side"), F.col("qty")))
+    rows = _with_beyond(rows, series)
+    rows = running_quantity(rows, series, F.when(F.col("_beyond"), F.lit(0)).otherwise(signed_volume(F.col("side"), F.col("qty"))))
     rows = series.shift(rows, before=F.col("held"))
     rows = rows.withColumn("before", F.coalesce("before", F.lit(0).cast(WIDE)))
     flat = (F.col("side") == "SELL") & (F.col("before") > 0) & (F.col("held") == 0)
     rows = series.running(rows, _n=("sum", F.lit(1).cast("bigint")), _flats=("sum", flat.cast("bigint")))
-    live = (F.col("side") == "BUY") | (F.col("before") > 0)
+    live = F.when(F.col("_beyond"), F.col("_n") == 1).otherwise((F.col("side") == "BUY") | (F.col("before") > 0))
     sold = F.least(F.col("before"), F.col("qty")).cast("double")
     share = F.when(sold < F.col("qty").cast("double"), sold / F.col("qty").cast("double")).otherwise(F.lit(1.0))
     is_buy = F.col("side") == "BUY"
     moves = rows.where(live).select(
         *keys,
+        "_beyond",
         (F.col("_flats") - flat.cast("bigint")).alias("trip"),
         F.col("_n").alias("at"),
         F.when(is_buy, F.col("price") * F.col("qty").cast("double") + F.col("fee")).otherwise(0.0).alias("paid"),
@@ -130,9 +165,15 @@ def round_trips(
             flat=F.greatest(a["flat"], b["flat"]),
         )
 
-    trips = _fold_levels(moves, [*keys, "trip"], "at", start, step, both)
+    trips = _fold_levels(moves, [*keys, "trip", "_beyond"], "at", start, step, both)
+    good = ~F.col("_beyond")
     return trips.select(
-        *keys, "trip", F.col("m.pb").alias("pnl"), F.col("m.cb").alias("cost"), (F.col("m.flat") > 0).alias("closed")
+        *keys,
+        "trip",
+        F.when(good, F.col("m.pb")).alias("pnl"),
+        F.when(good, F.col("m.cb")).alias("cost"),
+        (good & (F.col("m.flat") > 0)).alias("closed"),
+        F.when(~good, BEYOND).alias("error"),
     )
 
 
@@ -170,6 +211,7 @@ def execution_metrics(
         F.avg(F.when(F.col("ret") > 0, F.col("ret"))).alias("avg_win_pct"),
         F.avg(F.when(F.col("ret") < 0, -F.col("ret"))).alias("avg_loss_pct"),
         F.avg("ret").alias("expectancy_pct"),
+        F.max("error").alias("error"),
     )
     traded = F.col("trade_count") > 0
     return sums.select(
@@ -183,46 +225,108 @@ def execution_metrics(
         "avg_loss_pct",
         F.when(F.col("avg_loss_pct") > 0, F.col("avg_win_pct") / F.col("avg_loss_pct")).alias("rr_ratio"),
         "expectancy_pct",
+        "error",
     )
 
 
+def _units(column: pa.Array) -> list[int | None]:
+    """Decimals with twelve places as whole numbers of 1e-12."""
+    return [None if x is None else int(x.scaleb(12)) for x in column.to_pylist()]
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The average price after a key's buys, rounded half up to twelve places after each of them.
+
+    The last four columns are the place, quantity, price and the quantity held afterwards.  A first row without
+    quantity brings the average so far.
+    """
+    first, at, average = None, -1, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if first is None:
+            first = batch.slice(0, 1)
+        place, qty, price, held = (batch.column(batch.num_columns - k) for k in (4, 3, 2, 1))
+        for n, q, p, h in zip(place.to_pylist(), _units(qty), _units(price), _units(held), strict=True):
+            if n < at:
+                raise ValueError("buys out of order")
+            at = n
+            if q is None:
+                average = p
+            else:
+                average = (2 * (average * (h - q) + p * q) + h) // (2 * h)
+    if first is not None:
+        text = f"{average // UNIT}.{average % UNIT:012d}"
+        keys = first.schema.names[:-4]
+        yield pa.RecordBatch.from_arrays([*(first.column(c) for c in keys), pa.array([text])], [*keys, "avg_price"])
+
+
+_walk.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+
+
+def average_after(buys: DataFrame, keys: list[str], rows_per_task: int) -> DataFrame:
+    """(keys, avg_price) after the ``buys`` (keys, _n, qty, price, held) of each key, in the order of ``_n`` from 1.
+
+    Keys of up to ``rows_per_task`` places are one group each.  Longer ones are stored by block of places and go round by
+    round: a round reads one block of each key, and the price it ends with is the first row of the next round.
+    """
+    share_package(buys.sparkSession)
+    schema = buys.select(*keys).schema.add("avg_price", "string")
+    walk = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "_n").groupBy(*keys).applyInArrow(_walk, schema)
+    rows = stored(buys.withColumn("_block", F.floor((F.col("_n") - 1) / rows_per_task).cast("int")), "_block")
+    last = rows.agg(F.max("_block")).first()[0]
+    if not last:
+        return walk(rows.drop("_block")).withColumn("avg_price", F.col("avg_price").cast(WIDE))
+    names = [*keys, "_n", "qty", "price", "held"]
+    ends = rows.groupBy(*keys).agg(F.max("_block").alias("_end"))
+    done, state = None, None
+    for block in range(last + 1):
+        part = rows.where(F.col("_block") == block).select(*names)
+        if state is not None:
+            none = F.lit(None).cast(WIDE)
+            part = part.unionByName(state.select(*keys, F.lit(0).cast("long").alias("_n"), none.alias("qty"), F.col("avg_price").alias("price"), none.alias("held")))
+        after = walk(part).withColumn("avg_price", F.col("avg_price").cast(WIDE)).join(ends, keys)
+        after = materialize(after)
+        over = after.where(F.col("_end") <= block).select(*keys, "avg_price")
+        done = over if done is None else done.unionByName(over)
+        state = after.where(F.col("_end") > block)
+    return done
+
+
 def weighted_positions(
     moves: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_task: int | None = None
 ) -> DataFrame:
     """Quantity, average price and state per key after buys (weighted average) and sells (average kept).
 
-    Needs ``side``, ``qty`` > 0 and ``price``.  Selling everything or more leaves a flat position at price 0.
-    The average is folded in double precision (some 15 significant digits) and rounded half up to 12 places at the end.
+    Needs ``side``, ``qty`` > 0 and ``price``.  Selling everything or more leaves a flat position at price 0.  Prices
+    are decimals of twelve places (a finer one is rounded), and the average is rounded half up after every buy.
     """
     keys = list(keys)
+    wanted = F.when(F.col("price").isNull(), F.lit(0)).otherwise(F.col("price"))
     slim = moves.where((F.col("qty") > 0) & F.col("side").isin("BUY", "SELL")).select(
-        *keys, *order, "side", F.col("qty").cast("decimal(28,12)").alias("qty"), F.col("price").cast("double").alias("price")
+        *keys,
+        *order,
+        "side",
+        F.coalesce(F.col("qty").try_cast(AMOUNT), F.lit(0)).cast(WIDE).alias("qty"),
+        F.coalesce(wanted.try_cast(AMOUNT), F.lit(0)).cast(WIDE).alias("price"),
+        _size(F.col("side"), F.col("qty"), F.when(F.col("side") == "BUY", wanted)).alias("_size"),
     )
     rows, series = lay_out(slim, keys, order, rows_per_task)
-    rows = running_quantity(rows, series, signed_volume(F.col("side"), F.col("qty")))
-    is_buy = F.col("side") == "BUY"
-    empty = ~is_buy & (F.col("held") == 0)
+    rows = _with_beyond(rows, series)
+    rows = running_quantity(rows, series, F.when(F.col("_beyond"), F.lit(0)).otherwise(signed_volume(F.col("side"), F.col("qty"))))
     rows = series.running(rows, _n=("sum", F.lit(1).cast("bigint")))
-    # What the current holding weighs in a buy: average' = w*average + v.
-    share = F.col("qty").cast("double") / F.nullif(F.col("held"), F.lit(0)).cast("double")
-    steps = rows.select(
-        *keys,
-        F.col("_n").alias("at"),
-        F.when(empty, 0.0).when(is_buy, 1.0 - share).otherwise(1.0).alias("w"),
-        F.when(is_buy, share * F.col("price")).otherwise(0.0).alias("v"),
-        F.col("held"),
-    )
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("v"), F.lit(0).cast(WIDE).alias("held"))
-
-    def after(acc: Column, e: Column) -> Column:
-        """First ``acc``, then ``e``; the quantity is the later one's."""
-        w, v = acc["w"] * e["w"], acc["v"] * e["w"] + e["v"]
-        return F.struct(w.alias("w"), v.alias("v"), e["held"].cast(WIDE).alias("held"))
-
-    folded = _fold_levels(steps, keys, "at", start, after, after)
-    joined = folded.withColumn("qty", F.col("m.held"))
-    long = F.col("qty") > 0
-    price = F.when(long, F.round(F.col("m.v"), 12)).otherwise(0.0).cast(WIDE)
+    # Nothing before the last flat point matters, and sells keep the average.
+    rows = materialize(series.whole(rows, _flat=("max", F.when(F.col("held") == 0, F.col("_n")))))
+    ends = rows.groupBy(*keys).agg(F.max_by("held", "_n").alias("qty"), F.max("_beyond").alias("b"))
+    since = F.col("_n") - F.coalesce("_flat", F.lit(0).cast("bigint"))
+    buys = rows.where((F.col("side") == "BUY") & (since > 0) & ~F.col("_beyond"))
+    buys = buys.select(*keys, since.alias("_n"), "qty", "price", "held")
+    joined = ends.join(average_after(buys, keys, series.rows_per_task), keys, "left")
+    long, bad = F.col("qty") > 0, F.col("b")
     return joined.select(
-        *keys, "qty", price.alias("avg_price"), F.when(long, "LONG").otherwise("FLAT").alias("state")
+        *keys,
+        F.when(~bad, F.col("qty")).alias("qty"),
+        F.when(~bad, F.when(long, F.col("avg_price")).otherwise(F.lit(0).cast(WIDE))).alias("avg_price"),
+        F.when(~bad, F.when(long, "LONG").otherwise("FLAT")).alias("state"),
+        F.when(bad, BEYOND).alias("error"),
     )

@@ -91,10 +91,14 @@ def reconcile(
     """
     rows, series = lay_out(snapshots, ["order_id"], ["seq"], rows_per_task)
     rows = rows.withColumn("executed", dec(F.col("executed_volume")))
-    rows = series.shift(rows, _prev=F.col("executed"))
+    # A volume beyond the ledger is null and named; the next snapshot counts from the last one that fits.
+    rows = series.running(rows, _known=("last", F.col("executed")))
+    rows = series.shift(rows, _prev=F.col("_known")).drop("_known")
     fills = first_fills(explode_trades(snapshots)) if fills is None else fills
     fresh = fills.groupBy("order_id", "seq").agg(
-        F.try_sum("fill_qty").try_cast(AMOUNT).alias("_q"), F.try_sum("funds").try_cast(AMOUNT).alias("_f")
+        F.try_sum("fill_qty").try_cast(AMOUNT).alias("_q"),
+        F.try_sum("funds").try_cast(AMOUNT).alias("_f"),
+        F.count_if(F.col("fill_qty").isNull() | F.col("funds").isNull()).alias("_lost"),
     )
     rows = rows.withColumn("avg_executed_price", average_price()).join(fresh, ["order_id", "seq"], "left")
     return order_columns(rows)
@@ -102,7 +106,7 @@ def reconcile(
 
 def order_columns(rows: DataFrame) -> DataFrame:
     """Order columns and move of snapshots with ``executed``, the executed volume before (``_prev``), the average
-    price, and quantity and funds of the fills they brought first (``_q``, ``_f``)."""
+    price, quantity and funds of the fills they brought first (``_q``, ``_f``) and how many of these do not fit (``_lost``)."""
     delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(AMOUNT))
     price = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
     return rows.select(
@@ -117,4 +121,17 @@ def order_columns(rows: DataFrame) -> DataFrame:
         order_status(F.col("state"), F.col("executed")).alias("status"),
         F.when(delta > 0, delta.cast(WIDE)).alias("delta_qty"),
         F.when(delta > 0, price).alias("delta_price"),
+        snapshot_error(delta, price).alias("error"),
     )
+
+
+def snapshot_error(delta: Column, price: Column) -> Column:
+    """Names what of a snapshot is beyond the ledger; such a snapshot moves no position by itself."""
+    checks = [
+        (F.col("executed").isNull(), "executed volume beyond the ledger"),
+        (dec(F.col("paid_fee")).isNull(), "fee beyond the ledger"),
+        (F.col("_lost") > 0, "fills beyond the ledger"),
+        (F.col("avg_executed_price").isNull(), "average price beyond the ledger"),
+        ((delta > 0) & price.isNull(), "move price beyond the ledger"),
+    ]
+    return F.nullif(F.concat_ws("; ", *[F.when(c, text) for c, text in checks]), F.lit(""))

@@ -16,6 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import AMOUNT
 from tidemark.session import materialize
 
 ROWS_PER_TASK = 1_000_000
@@ -32,6 +33,8 @@ def _both(combine: Callable[[Column, Column], Column]) -> Callable[[Column, Colu
 # kind -> (window aggregate, order-free?, combine(carry, local))
 KINDS: dict[str, tuple[Callable, bool, Callable]] = {
     "sum": (F.sum, True, _both(lambda c, x: c + x)),
+    # Ledger amounts: decimal(38,12) sums of values that fit decimal(37,12), so that adding two keeps all digits.
+    "amount": (F.sum, True, _both(lambda c, x: c.cast(AMOUNT) + x.cast(AMOUNT))),
     "max": (F.max, True, _both(lambda c, x: F.greatest(c, x))),
     "min": (F.min, True, _both(lambda c, x: F.least(c, x))),
     "product": (F.product, True, _both(lambda c, x: c * x)),

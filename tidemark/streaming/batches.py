@@ -138,8 +138,9 @@ class Fills(StatefulProcessor):
                     self.seen.updateValue(name, (True,))
                     fresh.append(cell["pos"])
             yield extended(row, _prev=executed, _fresh=fresh)
-            executed = row["executed"]
-        self.last.update((executed,))
+            executed = executed if row["executed"] is None else row["executed"]
+        if executed is not None:
+            self.last.update((executed,))
 
     def close(self) -> None:
         pass
@@ -166,7 +167,8 @@ def reconcile_orders(snapshots: DataFrame, order: Sequence[str], stores: Stores)
         fresh = F.filter("cells", lambda c: F.array_contains("_fresh", c["pos"]))
         batch_fresh = batch.withColumn("fresh", fresh)
         total = lambda f: F.aggregate("fresh", F.lit(0).cast(AMOUNT), lambda s, c: F.try_add(s, c[f]).try_cast(AMOUNT))
-        append_batch(order_columns(batch_fresh.withColumns({"_q": total("fill_qty"), "_f": total("funds")})), stores.path("out"), number)
+        lost = F.size(F.filter("fresh", lambda c: c["fill_qty"].isNull() | c["funds"].isNull()))
+        append_batch(order_columns(batch_fresh.withColumns({"_q": total("fill_qty"), "_f": total("funds"), "_lost": lost})), stores.path("out"), number)
         fills = batch_fresh.select("order_id", F.explode("fresh").alias("c")).select("order_id", "c.*").drop("pos")
         append_batch(fills, stores.path("fills"), number)
         batch.unpersist()
