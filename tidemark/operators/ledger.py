@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import AMOUNT, WIDE
 from tidemark.operators.scan import Series, lay_out
-from tidemark.session import materialize, share_package, stored
+from tidemark.session import materialize, share_package, stored, work_partitions
 
 BLOCK = 4096
 #: A key's amounts may add up to this: sums and differences of them keep all twelve places.
@@ -231,7 +232,10 @@ def execution_metrics(
 
 def _units(column: pa.Array) -> list[int | None]:
     """Decimals with twelve places as whole numbers of 1e-12."""
-    return [None if x is None else int(x.scaleb(12)) for x in column.to_pylist()]
+    halves = np.frombuffer(column.buffers()[1], np.int64)[2 * column.offset : 2 * (column.offset + len(column))]
+    low, high = halves[0::2].view(np.uint64).tolist(), halves[1::2].tolist()
+    given = column.is_valid().to_pylist()
+    return [(h << 64) + x if ok else None for ok, x, h in zip(given, low, high, strict=True)]
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +276,8 @@ def average_after(buys: DataFrame, keys: list[str], rows_per_task: int) -> DataF
     """
     share_package(buys.sparkSession)
     schema = buys.select(*keys).schema.add("avg_price", "string")
-    walk = lambda df: df.repartition(*keys).sortWithinPartitions(*keys, "_n").groupBy(*keys).applyInArrow(_walk, schema)
+    parts = work_partitions(buys.sparkSession)
+    walk = lambda df: df.repartition(parts, *keys).sortWithinPartitions(*keys, "_n").groupBy(*keys).applyInArrow(_walk, schema)
     rows = stored(buys.withColumn("_block", F.floor((F.col("_n") - 1) / rows_per_task).cast("int")), "_block")
     last = rows.agg(F.max("_block")).first()[0]
     if not last:

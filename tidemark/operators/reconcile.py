@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import AMOUNT, WIDE, dec, div_half_up, mul12
 from tidemark.operators.scan import lay_out
+from tidemark.session import work_partitions
 
 EPOCH = "1970-01-01 00:00:00"
 SNAPSHOT_SCHEMA = (
@@ -90,18 +91,35 @@ def reconcile(
     ``symbol``, ``order_side`` and the exchange fields.  ``fills`` limits new fills to the given ones.
     """
     rows, series = lay_out(snapshots, ["order_id"], ["seq"], rows_per_task)
-    rows = rows.withColumn("executed", dec(F.col("executed_volume")))
+    if series.chunk is None:  # a fixed partition count: decimals cost more than the size of the rows shows
+        rows = rows.repartition(work_partitions(rows.sparkSession), "order_id")
+    rows = rows.withColumns({"executed": dec(F.col("executed_volume")), "avg_executed_price": average_price()})
     # A volume beyond the ledger is null and named; the next snapshot counts from the last one that fits.
     rows = series.running(rows, _known=("last", F.col("executed")))
     rows = series.shift(rows, _prev=F.col("_known")).drop("_known")
-    fills = first_fills(explode_trades(snapshots)) if fills is None else fills
-    fresh = fills.groupBy("order_id", "seq").agg(
-        F.try_sum("fill_qty").try_cast(AMOUNT).alias("_q"),
-        F.try_sum("funds").try_cast(AMOUNT).alias("_f"),
-        F.count_if(F.col("fill_qty").isNull() | F.col("funds").isNull()).alias("_lost"),
-    )
-    rows = rows.withColumn("avg_executed_price", average_price()).join(fresh, ["order_id", "seq"], "left")
-    return order_columns(rows)
+    if fills is not None:
+        fresh = fills.groupBy("order_id", "seq").agg(*_fresh_sums(F.lit(True)))
+        return order_columns(rows.join(fresh, ["order_id", "seq"], "left"))
+    # One pass: the trades of a snapshot carry its columns along, and come together again once it is known which are new.
+    # All of it is partitioned by order (or parts of one), so that the rows move once.
+    kept = ["symbol", "order_side", "uuid", "state", "paid_fee", "executed", "_prev", "avg_executed_price"]
+    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), F.posexplode_outer("trades").alias("_pos", "_t"))
+    cells = cells.select("order_id", "seq", "_row", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
+    cells = cells.select("order_id", "seq", "_row", "_c.*")
+    same = Window.partitionBy("order_id", "filled_at", "trade_id").orderBy("seq", "pos")
+    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1)
+    rows = cells.withColumn("_new", new).groupBy("order_id", "seq").agg(F.first("_row").alias("_row"), *_fresh_sums(F.col("_new")))
+    return order_columns(rows.select("order_id", "seq", "_row.*", "_q", "_f", "_lost"))
+
+
+def _fresh_sums(new: Column) -> list[Column]:
+    """Quantity and funds of the new fills, and how many of them do not fit the ledger."""
+    qty, funds = (F.when(new, F.col(c)) for c in ("fill_qty", "funds"))
+    return [
+        F.try_sum(qty).try_cast(AMOUNT).alias("_q"),
+        F.try_sum(funds).try_cast(AMOUNT).alias("_f"),
+        F.count_if(new & (F.col("fill_qty").isNull() | F.col("funds").isNull())).alias("_lost"),
+    ]
 
 
 def order_columns(rows: DataFrame) -> DataFrame:
