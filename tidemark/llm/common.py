@@ -20,6 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: SQL for the crc32 of the digits of ``doc_id``, bit by bit (the polynomial is a fixed value).
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::UBIGINT for k in range(8)]), lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)"""
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
 #: Rows of a side that may be broadcast once they have been counted (eight or so bytes each).

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, query, save, small, table
+from tidemark.llm.common import CRC32_SQL, prepare, query, save, small, table
 
 FANOUT = 3
 #: Levels that one block covers: 729 nodes.
@@ -327,6 +327,49 @@ def without_line_ends(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.when(even, F.translate(text, "\n", "")).otherwise(F.col(text))
 
 
-@query("op13_manifest")
+def _forest_sql(name: str, leaves: str, tree: str) -> str:
+    """CTEs: digests and families (children of a node) of the trees of ``leaves`` (``tree``, i, n, d), level by level."""
+    return f"""
+{name}_nodes AS (
+  SELECT {tree} AS tree, 0 AS level, i, n, d FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(d, '' ORDER BY i)) FROM {name}_nodes WHERE n > 1 GROUP BY tree, level, i // 3, n),
+{name}_families AS (SELECT tree, level, i // 3 AS family, list(d ORDER BY i) AS ds FROM {name}_nodes WHERE n > 1 GROUP BY ALL)"""
+
+
+def _fold_sql(name: str, start: str, families: str) -> str:
+    """CTEs: from (id, tree, i, cur, proof) up to the root, with the siblings met on the way."""
+    return f"""
+{name} AS (
+  SELECT id, tree, 0 AS level, i, cur, proof FROM {start}
+  UNION ALL
+  SELECT p.id, p.tree, p.level + 1, p.i // 3,
+    sha256(array_to_string(ds[1:p.i % 3], '') || p.cur || array_to_string(ds[p.i % 3 + 2:], '')),
+    p.proof || array_to_string(ds[1:p.i % 3], '') || array_to_string(ds[p.i % 3 + 2:], '')
+  FROM {name} p JOIN {families} f ON f.tree IS NOT DISTINCT FROM p.tree AND f.level = p.level AND f.family = p.i // 3)"""
+
+
+_VALUES = ("doc_id", "source", "lang", "n_chars", "{text}")
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in _VALUES)
+SQL = f"""WITH RECURSIVE rows AS (
+  SELECT doc_id, source, sha256({_FIELDS.format(text="text")}) AS d,
+    sha256({_FIELDS.format(text="CASE WHEN doc_id IS NOT NULL AND " + CRC32_SQL + " % 2 = 0 THEN replace(text, chr(10), '') ELSE text END")}) AS cur
+  FROM documents),
+leaves AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, d) - 1 AS i,
+  count(*) OVER (PARTITION BY source) AS n FROM rows),
+{_forest_sql("low", "leaves", "source").strip()},
+subs AS (SELECT tree AS source, d, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low_nodes WHERE n = 1),
+{_forest_sql("top", "subs", "0").strip()},
+begun AS (SELECT id, source AS tree, i, cur, '' AS proof FROM leaves),
+{_fold_sql("up", "begun", "low_families").strip()},
+at_subroot AS (SELECT u.id, 0 AS tree, s.i, u.cur, u.proof FROM up u JOIN subs s ON s.source IS NOT DISTINCT FROM u.tree
+  QUALIFY row_number() OVER (PARTITION BY u.id ORDER BY u.level DESC) = 1),
+{_fold_sql("onward", "at_subroot", "top_families").strip()},
+ends AS (SELECT id, cur, proof FROM onward QUALIFY row_number() OVER (PARTITION BY id ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.d AS leaf, s.d AS subroot, r.d AS root, sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = r.d AS verified
+FROM leaves l JOIN ends e USING (id) JOIN subs s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT d FROM top_nodes WHERE n = 1) r"""
+
+
+@query("op13_manifest", SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(table(spark, sf, "documents"), now={"text": without_line_ends()})

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import prepare, query, slices, table, utf8
+from tidemark.llm.common import CRC32_SQL, prepare, query, slices, table, utf8
 
 #: Words of the shortest run.
 LEAST = 12
@@ -245,7 +245,27 @@ def plant_periods(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     return rows.withColumn(text, F.when(F.size("__words") > 0, told).otherwise(F.col(text))).drop("__words")
 
 
-@query("op12_periodic_runs")
+#: Every pair of equal words of a text, then stretches of neighbouring pairs of one lag.
+SQL = f"""WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    CASE WHEN doc_id IS NULL THEN 1 ELSE {CRC32_SQL} END::BIGINT AS h FROM documents),
+sized AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM docs),
+planned AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+words AS (SELECT id, n, i, CASE WHEN h % 10 = 0 AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word FROM planned, unnest(range(n)) t(i)),
+pairs AS (SELECT x.id, x.i, y.i - x.i AS q FROM words x JOIN words y ON y.id = x.id AND y.word = x.word AND y.i > x.i AND y.i - x.i <= x.n // 2),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT id, q, min(i) AS s, max(i) + q + 1 AS e FROM islands GROUP BY id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT id, s, e, min(q) AS q FROM stretches GROUP BY id, s, e),
+told AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY id),
+longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY id ORDER BY e - s DESC, s, q) = 1),
+dropped AS (SELECT DISTINCT id, unnest(range(s + q, e)) AS i FROM runs),
+kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (id, i) GROUP BY id)
+SELECT d.doc_id, coalesce(t.n_runs, 0) AS n_runs, l.s AS start, l.e - l.s AS length, l.q AS period, 1000 * (l.e - l.s) // l.q AS exponent_milli,
+  sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN told t USING (id) LEFT JOIN longest l USING (id) LEFT JOIN kept k USING (id)"""
+
+
+@query("op12_periodic_runs", SQL)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     found = collapse_runs(plant_periods(table(spark, sf, "documents").select("doc_id", "text")))
     longest = F.element_at(F.sort_array(F.transform("runs", lambda r: F.struct((-r.length).alias("l"), r.start.alias("s"), r.period.alias("p")))), 1)
