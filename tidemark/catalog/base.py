@@ -106,8 +106,8 @@ filled AS (
   FROM lineitem)"""
 
 
-def ledger(spark: SparkSession, sf: str) -> DataFrame:
-    """Order rows of all types, modes and states out of line items."""
+def ledger(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Order rows of all types, modes and states out of line items, with ``more`` of their columns."""
     t = table(spark, sf, "lineitem")
     buy = F.col("l_linestatus") == "O"
     flag = F.col("l_returnflag")
@@ -126,6 +126,7 @@ def ledger(spark: SparkSession, sf: str) -> DataFrame:
         price.alias("price"),
         F.when(flag == "R", "CANCELED").when(flag == "A", "SUBMITTED").otherwise("FILLED").alias("status"),
         *LEDGER_ORDER,
+        *more,
     )
 
 

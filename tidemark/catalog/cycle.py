@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import CANDLES, LEDGER, candles, day, half_up, ledger, query, r, table, text12, units_text, user_orders
-from tidemark.catalog.ledger import ALERTS, DRIFT, GUARD, _verdicts, drift_series, market_orders, synced
+from tidemark.catalog.ledger import ALERTS, DRIFT, GUARD, _verdicts, drift_series, synced
 from tidemark.catalog.market import LIVE, LIVE_SQL, WEEK, bars_of, live_positions, rd
 from tidemark.operators import account as acc
 from tidemark.operators import indicators as ind
-from tidemark.operators.ledger import execution_metrics, managed_quantity
+from tidemark.operators.ledger import managed_quantity
 from tidemark.plans import cycle
-from tidemark.session import ensure_checkpoint_dir
-from tidemark.sources.candles import read_candles_csv, refused_candles
-from tidemark.sources.sinks import append_batch, event_rows, write_candles_csv
+from tidemark.session import ensure_checkpoint_dir, materialize
+from tidemark.sources.candles import read_candle_files, refused_candles
+from tidemark.sources.sinks import append_batch, event_rows, write_candle_files
 
 
 @query(
@@ -26,7 +27,7 @@ from tidemark.sources.sinks import append_batch, event_rows, write_candles_csv
     FROM verdicts WHERE reason IN ('EXTERNAL_OPEN_ORDER', 'GUARD_QUERY_FAILED')""",
 )
 def guard_events(spark, sf):
-    rows = event_rows(cycle.guard_rows(_verdicts(spark, sf)[1]), "external_order_guard")
+    rows = event_rows(cycle.guard_rows(_verdicts(spark, sf)), "external_order_guard")
     return rows.withColumn("open_order_count", F.col("open_order_count").cast("string"))
 
 
@@ -110,29 +111,41 @@ open_ AS (SELECT o_orderpriority AS market, count(*) AS n FROM orders WHERE o_or
 cycle AS (SELECT s.* FROM signals s WHERE market NOT IN (SELECT market FROM own) AND market NOT IN (SELECT market FROM open_))"""
 
 
+SENT = "(buy_signal OR (sell_signal AND qty > 0)) AND NOT market LIKE '1%'"
+
+
 @query(
     "live_cycle",
-    f"""{CYCLE} SELECT market, strftime(ts, '%Y-%m-%d') AS day, {rd('close', 'close')}, has AS has_position, signal_reason,
-    CASE WHEN buy_signal THEN 'BUY' WHEN sell_signal AND qty > 0 THEN 'SELL' END AS side,
-    CASE WHEN buy_signal OR (sell_signal AND qty > 0) THEN 'FILLED' END AS order_status,
-    CASE WHEN buy_signal OR (sell_signal AND qty > 0) THEN round(close, 6) + 0.0 END AS executed_price FROM cycle""",
+    " UNION ALL ".join(
+        f"""({CYCLE} SELECT '{mode}' AS mode, market, strftime(ts, '%Y-%m-%d') AS day, {rd('close', 'close')}, has AS has_position, signal_reason,
+    CASE WHEN {SENT} THEN CASE WHEN buy_signal THEN 'BUY' ELSE 'SELL' END END AS side, CASE WHEN {SENT} THEN '{status}' END AS order_status,
+    {f"CASE WHEN {SENT} THEN round(close, 6) + 0.0 END" if mode == "PAPER" else "CAST(NULL AS DOUBLE)"} AS executed_price FROM cycle)"""
+        for mode, status in (("PAPER", "FILLED"), ("LIVE", "CREATED"))
+    ),
 )
 def live_cycle(spark, sf):
-    """One cycle over the candles: a market with an own order and one with open orders elsewhere are left alone."""
+    """One cycle over the candles in either mode: a market with an own order and one with open orders elsewhere are left alone.
+
+    The signal of the first market's last closed candle has been sent before, so it is not sent again.
+    """
     o = table(spark, sf, "orders").withColumn("market", F.col("o_orderpriority"))
-    # Orders of the ledger: filled but for one in a thousand of the last market.
+    # Orders of the ledger: filled but for one in a thousand of the last market; one market has open orders elsewhere.
     active = (F.col("o_orderkey") % 1000 == 7) & F.col("market").startswith("5")
     own = o.select(F.col("market").alias("symbol"), F.lit("LIVE").alias("mode"), F.when(active, "SUBMITTED").otherwise("FILLED").alias("status"))
-    elsewhere = o.where(F.col("market").startswith("4")).select("market")
-    feed = o.select("market", F.lit(True).alias("feed_ok")).distinct()
-    c = candles(spark, sf)
-    ticks = c.groupBy("market").agg(F.max_by("close", "ts").alias("trade_price"))
-    metrics = execution_metrics(market_orders(spark, sf), ["symbol"], ["o_orderdate", "o_orderkey"])
-    sent = c.select("market", F.lit("BUY").alias("side"), F.col("ts").alias("signal_ts")).where("false")
-    got = cycle.live_cycle(c, live_positions(spark, sf), own, elsewhere, feed, metrics, ticks, sent, LIVE, "PAPER", "100000", "0.0005", _key())
-    done = got["orders"].select(F.col("symbol").alias("market"), "side", F.col("status").alias("order_status"), r("avg_executed_price").alias("executed_price"))
-    rows = got["signals"].join(done, "market", "left")
-    return rows.select("market", day().alias("day"), r("close").alias("close"), "has_position", "signal_reason", "side", "order_status", "executed_price")
+    facts = materialize(acc.market_facts(own, "LIVE").withColumn("feed_ok", F.lit(True)))
+    elsewhere = facts.where(F.col("market").startswith("4")).select("market")
+    c = materialize(candles(spark, sf))  # read and aggregated once
+    before = F.lag("ts").over(Window.partitionBy("market").orderBy("ts"))
+    last = c.where(F.col("market").startswith("1")).withColumn("before", before).groupBy("market").agg(F.max_by("before", "ts").alias("signal_ts"))
+    sent = last.withColumn("side", F.explode(F.array(F.lit("BUY"), F.lit("SELL"))))
+    held = materialize(live_positions(spark, sf))
+    out = []
+    for mode in ("PAPER", "LIVE"):
+        got = cycle.live_cycle(c, held, facts, elsewhere, sent, LIVE, mode, "100000", "0.0005", _key())
+        done = got["orders"].select(F.col("symbol").alias("market"), "side", F.col("status").alias("order_status"), r("avg_executed_price").alias("executed_price"))
+        out.append(got["signals"].join(done, "market", "left").withColumn("mode", F.lit(mode)))
+    rows = out[0].unionByName(out[1])
+    return rows.select("mode", "market", day("signal_ts").alias("day"), r("close").alias("close"), "has_position", "signal_reason", "side", "order_status", "executed_price")
 
 
 # --- files written and read back ------------------------------------------------------------------------------
@@ -142,12 +155,12 @@ def _folder(spark, name):
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("candle_files", f"WITH {CANDLES} SELECT market, strftime(ts, '%Y-%m-%d') AS day, {rd('open', 'open')}, {rd('close', 'close')}, volume FROM candles WHERE market = '1-URGENT'")
+@query("candle_files", f"WITH {CANDLES} SELECT market, strftime(ts, '%Y-%m-%d') AS day, {rd('open', 'open')}, {rd('close', 'close')}, volume FROM candles")
 def candle_files(spark, sf):
-    """Candles of one market written as CSV and read again; the market is the file's, as in the source."""
+    """Candles of all markets written as CSV, a folder each, and read again; the market is the folder's."""
     path = _folder(spark, "candles")
-    write_candles_csv(candles(spark, sf).where(F.col("market") == "1-URGENT"), path)
-    rows = read_candles_csv(spark, path, "1-URGENT")
+    write_candle_files(candles(spark, sf), path)
+    rows = read_candle_files(spark, path)
     return rows.select("market", day().alias("day"), r("open").alias("open"), r("close").alias("close"), "volume")
 
 

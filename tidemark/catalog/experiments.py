@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.base import CANDLES, candles, day, query, r
 from tidemark.operators.positions import trade_markers
 from tidemark.plans import reports
-from tidemark.plans.experiment import evaluate_grid, holdout, panel, run_summary, search, top_k, walkforward, with_returns
+from tidemark.plans.experiment import evaluate_grid, holdout, panel, refused_markets, run_summary, search, top_k, walkforward, with_returns
 from tidemark.plans.strategies import REGISTRY, Run, backtest
 
 COST = 0.0005 + 0.0002
@@ -330,6 +330,15 @@ def summary_table(spark, sf):
     return reports.summary_table(_v2_holdout(spark, sf), F.concat_ws("_", "market", "segment"))
 
 
+@query(
+    "refused_markets",
+    f"""WITH {CANDLES} SELECT market, count(*) AS n_bars, 'needs 1727 bars, has ' || count(*) AS reason FROM bars GROUP BY 1 HAVING count(*) < 1727""",
+)
+def refused_markets_query(spark, sf):
+    """Markets too short for a hold-out that asks for 1,727 bars."""
+    return refused_markets(candles(spark, sf), 1727)
+
+
 @query(
     "trade_markers",
     f"""WITH RECURSIVE {WHOLE}, {simulation('v5', ONE['v5'])}, m AS (SELECT market, idx, ts, pos, lag(pos) OVER (PARTITION BY market ORDER BY idx) AS before FROM sim)

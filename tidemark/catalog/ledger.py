@@ -208,14 +208,19 @@ def _open_orders(spark, sf):
     return table(spark, sf, "events").select(F.concat(F.lit("KRW-S"), number).alias("market"))
 
 
-def _verdicts(spark, sf):
-    rows = ledger(spark, sf)
-    markets = rows.select(F.col("symbol").alias("market")).distinct()
+def _open_as_stated(rows):
+    """One order in forty is still open as its status says; the others have been filled since."""
+    return rows.withColumn("status", F.when(F.col("l_partkey") % 40 == 0, F.col("status")).otherwise("FILLED"))
+
+
+def _feed_ok():
     number = F.substring("market", 6, 10).cast("bigint")
-    feed = markets.withColumn("feed_ok", F.when(number % 11 != 0, number % 7 != 0))
-    # One order in forty is still open as its status says; the others have been filled since.
-    rows = rows.withColumn("status", F.when(F.col("l_partkey") % 40 == 0, F.col("status")).otherwise("FILLED"))
-    return markets, acc.guard(markets, rows, "LIVE", _open_orders(spark, sf), feed)
+    return F.when(number % 11 != 0, number % 7 != 0)
+
+
+def _verdicts(spark, sf):
+    facts = acc.market_facts(_open_as_stated(ledger(spark, sf)), "LIVE").withColumn("feed_ok", _feed_ok())
+    return acc.guard_facts(facts, "LIVE", _open_orders(spark, sf))
 
 
 @query(
@@ -233,7 +238,7 @@ def open_order_counts(spark, sf):
 
 @query("order_guard", f"WITH {GUARD} SELECT * FROM verdicts")
 def order_guard(spark, sf):
-    return _verdicts(spark, sf)[1]
+    return _verdicts(spark, sf)
 
 
 HELD = """
@@ -257,8 +262,11 @@ def _held(spark, sf):
     CASE WHEN blocked THEN reason END AS blocked_reason, external_open_order_count FROM verdicts v LEFT JOIN held h USING (market)""",
 )
 def coexistence_status(spark, sf):
-    markets, verdicts = _verdicts(spark, sf)
-    rows = acc.coexistence(markets, _held(spark, sf), verdicts)
+    """Orders, feeds and holdings come from one pass over the line items."""
+    orders = _open_as_stated(ledger(spark, sf, "l_suppkey", "l_quantity"))
+    held = F.sum(F.when(F.col("l_suppkey") % 4 != 0, F.col("l_quantity"))).cast("decimal(38,12)")
+    facts = acc.market_facts(orders, "LIVE", qty=held).withColumn("feed_ok", _feed_ok())
+    rows = acc.coexistence_columns(acc.guard_facts(facts, "LIVE", _open_orders(spark, sf), "qty"))
     return rows.withColumn("total_qty", r("total_qty"))
 
 

@@ -102,32 +102,48 @@ def guard(
     ``feed`` has a row (market, feed_ok) per queried market; a market whose feed failed or is missing is
     blocked, since no open order cannot be told from no answer.
     """
-    own = active_markets(orders, mode).select(F.col("symbol").alias("market"), F.lit(True).alias("_own"))
-    rows = markets.join(own, "market", "left").withColumn("_own", F.coalesce("_own", F.lit(False)))
-    none = F.lit(0).cast("bigint")
+    own = active_markets(orders, mode).select(F.col("symbol").alias("market"), F.lit(True).alias("own"))
+    rows = markets.join(own, "market", "left")
     if mode == "LIVE":
-        rows = rows.join(open_order_counts(open_orders), "market", "left").join(feed, "market", "left")
-        count = F.coalesce("external_open_order_count", none)
-        ok = F.coalesce("feed_ok", F.lit(False))
-    else:
-        count, ok = none, F.lit(True)
-    reason = (
-        F.when(F.col("_own"), REASONS[1]).when(~ok, REASONS[3]).when(count > 0, REASONS[2]).otherwise(REASONS[0])
+        rows = rows.join(feed, "market", "left")
+    return guard_facts(rows, mode, open_orders)
+
+
+def market_facts(orders: DataFrame, mode: str, **more: Column) -> DataFrame:
+    """One row per market with an order, in one pass: ``own``, whether one of this mode is under way, and other aggregates."""
+    active = (F.col("mode") == mode) & F.col("status").isin(ACTIVE_STATUSES)
+    return orders.groupBy(F.col("symbol").alias("market")).agg(
+        F.max(F.coalesce(active, F.lit(False))).alias("own"), *[c.alias(n) for n, c in more.items()]
     )
-    external = ~F.col("_own") & ok & (count > 0)
+
+
+def guard_facts(facts: DataFrame, mode: str, open_orders: DataFrame | None = None, *keep: str) -> DataFrame:
+    """Verdicts of markets whose own orders (``own``) and feeds (``feed_ok``, LIVE only) are known, with the columns ``keep``."""
+    own, none = F.coalesce("own", F.lit(False)), F.lit(0).cast("bigint")
+    rows, count, ok = facts, none, F.lit(True)
+    if mode == "LIVE":
+        rows = facts.join(open_order_counts(open_orders), "market", "left")
+        count, ok = F.coalesce("external_open_order_count", none), F.coalesce("feed_ok", F.lit(False))
+    reason = F.when(own, REASONS[1]).when(~ok, REASONS[3]).when(count > 0, REASONS[2]).otherwise(REASONS[0])
+    external = ~own & ok & (count > 0)
     return rows.select(
         "market",
         (reason != "NONE").alias("blocked"),
         reason.alias("reason"),
         external.alias("has_external_open_order"),
         F.when(external, count).otherwise(none).alias("external_open_order_count"),
+        *keep,
     )
 
 
 def coexistence(markets: DataFrame, positions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Position and guard verdict of each market; the reason shows only when blocked."""
     held = positions.select(F.col("symbol").alias("market"), F.col("qty"))
-    rows = markets.join(held, "market", "left").join(verdicts, "market", "left")
+    return coexistence_columns(markets.join(held, "market", "left").join(verdicts, "market", "left"))
+
+
+def coexistence_columns(rows: DataFrame) -> DataFrame:
+    """Status of markets with their verdict and held ``qty``."""
     return rows.select(
         "market",
         F.coalesce(F.col("qty"), F.lit(0)).cast(WIDE).alias("total_qty"),

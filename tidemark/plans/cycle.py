@@ -1,13 +1,14 @@
-"""One live cycle as one plan: guard, signals of the markets let through, events, orders and their fills."""
+"""One live cycle: guard, signals of the markets let through, events, orders and their fills."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.account import guard
+from tidemark.operators.account import guard_facts
 from tidemark.operators.orders import build_orders, paper_fill, signal_requests, slippage_pct, split_requests
 from tidemark.plans.live import LiveParams, candle_signal_rows, live_signals
+from tidemark.session import materialize
 
 # How the guard event words its reasons.
 GUARD_WORDS = {"EXTERNAL_OPEN_ORDER": "open_order_detected", "GUARD_QUERY_FAILED": "guard_query_failed"}
@@ -21,7 +22,7 @@ def guard_rows(verdicts: DataFrame) -> DataFrame:
 
 
 def without_repeats(requests: DataFrame, sent: DataFrame) -> DataFrame:
-    """Requests whose (market, side, signal time) is not the one submitted last; ``sent`` has one row per market and side."""
+    """Requests whose (market, side, signal time) is none of those in ``sent``, which may hold any number of them."""
     return requests.join(sent, ["market", "side", "signal_ts"], "left_anti")
 
 
@@ -68,27 +69,25 @@ def execution_rows(orders: DataFrame) -> DataFrame:
 def live_cycle(
     candles: DataFrame,
     positions: DataFrame,
-    orders: DataFrame,
+    facts: DataFrame,
     open_orders: DataFrame,
-    feed: DataFrame,
-    metrics: DataFrame,
-    tickers: DataFrame,
     sent: DataFrame,
     params: LiveParams,
     mode: str,
     notional: float | str,
     fee_rate: float | str,
     key: Column,
+    metrics: DataFrame | None = None,
+    tickers: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables one cycle writes: verdicts, signals and orders. Blocked markets are not evaluated."""
-    markets = candles.select("market").distinct()
-    verdicts = guard(markets, orders, "LIVE", open_orders, feed)
+    """The tables one cycle writes: verdicts, signals and orders. Blocked markets are not evaluated.
+
+    ``facts`` has (market, own, feed_ok), see ``market_facts``.  The few rows of verdicts and of signals are stored, so
+    that each is worked out once.  With ``metrics`` and ``tickers`` the signals are the fields of the signal event.
+    """
+    verdicts = materialize(guard_facts(facts, "LIVE", open_orders))
     allowed = verdicts.where(~F.col("blocked")).select("market")
-    signals = live_signals(candles, positions, params, allowed=allowed)
+    signals = materialize(live_signals(candles, positions, params, allowed=allowed))
     done, refused = execute_signals(signals, sent, mode, notional, fee_rate, key)
-    return {
-        "verdicts": verdicts,
-        "signals": candle_signal_rows(signals, metrics, tickers),
-        "orders": done,
-        "refused": refused,
-    }
+    told = signals if metrics is None else candle_signal_rows(signals, metrics, tickers)
+    return {"verdicts": verdicts, "signals": told, "orders": done, "refused": refused}

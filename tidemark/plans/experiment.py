@@ -165,6 +165,13 @@ def holdout(
     return run_summary(strategy, seg.where(F.col("segment").isin(names)), s, grid, chosen)
 
 
+def refused_markets(candles: DataFrame, min_bars: int = 4) -> DataFrame:
+    """Markets that ``holdout`` leaves out, with their bars and the reason."""
+    sizes = candles.groupBy("market").agg(F.count(F.lit(1)).alias("n_bars"))
+    reason = F.format_string(f"needs {min_bars} bars, has %d", "n_bars")
+    return sizes.where(F.col("n_bars") < min_bars).withColumn("reason", reason)
+
+
 def walkforward(
     strategy: Strategy,
     candles: DataFrame,

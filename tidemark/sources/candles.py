@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import parse_utc, partition_name
@@ -65,9 +65,18 @@ def read_candles_csv(spark: SparkSession, path: str, market: str) -> DataFrame:
 
     The load order of rows is file path, then position in the file.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(CSV_SCHEMA).csv(path)
+    return _from_csv(spark.read.schema(CSV_SCHEMA), path, F.lit(market))
+
+
+def read_candle_files(spark: SparkSession, path: str) -> DataFrame:
+    """Candle files of many markets, each in the folder ``market=<name>``; a filter on the market opens its folder only."""
+    return _from_csv(spark.read.schema(f"{CSV_SCHEMA}, market string"), path, F.col("market"))
+
+
+def _from_csv(reader: DataFrameReader, path: str, market: Column) -> DataFrame:
+    raw = reader.option("header", True).option("mode", "PERMISSIVE").csv(path)
     rows = raw.where(F.col("volume").isNotNull()).select(
-        F.lit(market).alias("market"),
+        market.alias("market"),
         parse_utc(F.col("timestamp")).alias("ts"),
         *PRICES,
         F.col("volume").cast("double").alias("volume"),

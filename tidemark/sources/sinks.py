@@ -15,6 +15,12 @@ def write_candles_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None
     df.select(stamp, *CSV_COLUMNS[1:]).write.mode(mode).option("header", True).csv(path)
 
 
+def write_candle_files(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Candles of all markets as CSV, one folder per market with files as ``write_candles_csv`` writes them."""
+    stamp = F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ssXXX").alias(CSV_COLUMNS[0])
+    df.select("market", stamp, *CSV_COLUMNS[1:]).write.mode(mode).partitionBy("market").option("header", True).csv(path)
+
+
 def write_candles(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Candles as Parquet, one folder per market and year so that time ranges prune."""
     rows = df.withColumns({"market_dir": safe_name(F.col("market")), "year": F.year("ts")})
