@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, licenses, main_text, near_duplicates, packing, quality, secrets, shards, surrogates, top_k
+from tidemark.llm import decontaminate, language, licenses, main_text, manifest, near_duplicates, packing, periodic, quality, secrets, shards, surrogates, top_k
 from tidemark.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, group int, id string, part int, shard int, label int, secrets int, size int, rep int, root int"
@@ -102,5 +102,8 @@ def test_clashing_columns(spark, docs, folder):
     labels = spark.read.parquet(f"{folder['odd']}/labels.parquet")
     assert quality.classify(docs, labels).columns == docs.columns
     assert main_text.extract_main_text(docs, "text", "size").columns == docs.columns
+    assert language.identify(docs, docs, lang="id", score="score").columns == docs.columns
+    assert periodic.collapse_runs(docs, runs="part", collapsed="id").columns == docs.columns
+    assert manifest.manifest(docs.withColumns({c: F.lit(1) for c in ("tree", "place", "nodes", "node", "key", "leaf")})).where("verified").count() == len(ROWS)
     vectors = docs.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(1).alias("rank"), F.lit(2).alias("score"), F.lit(3).alias("qb"))
     assert top_k.top_k(vectors, F.col("vec_id") == 1).columns == ["query_id", "rank", "vec_id", "score"]
