@@ -13,7 +13,6 @@ in one task, with bounded memory.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
