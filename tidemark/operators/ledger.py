@@ -59,7 +59,7 @@ def running_quantity(df: DataFrame, series: Series, delta: Column, name: str = "
     df = series.running(df, _w=("amount", delta.cast(AMOUNT)))
     df = series.running(df, _low=("min", F.col("_w")))
     zero = F.lit(0).cast(AMOUNT)
-    held = F.col("_w").cast(AMOUNT) - F.least(zero, F.col("_low").cast(AMOUNT))
+    held = F.col("_w").try_cast(AMOUNT) - F.least(zero, F.col("_low").try_cast(AMOUNT))
     return df.withColumn(name, held.cast(WIDE)).drop("_w", "_low")
 
 
@@ -70,9 +70,8 @@ def managed_quantity(
     volume = F.col("executed_volume")
     slim = orders.select(*keys, *order, signed_volume(F.col("side"), volume).alias("_d"), _size(F.col("side"), F.when(volume > 0, volume)).alias("_size"))
     rows, series = lay_out(slim, keys, order, rows_per_task)
-    rows = _with_beyond(rows, series)
-    rows = running_quantity(rows, series, F.when(F.col("_beyond"), F.lit(0)).otherwise(F.col("_d")), "managed_qty")
-    held = rows.groupBy(*keys).agg(F.max_by("managed_qty", F.struct(*order)).alias("q"), F.max("_beyond").alias("b"))
+    rows = running_quantity(rows, series, F.col("_d"), "managed_qty")
+    held = rows.groupBy(*keys).agg(F.max_by("managed_qty", F.struct(*order)).alias("q"), (~(F.sum("_size") <= MOST)).alias("b"))
     return held.select(*keys, F.when(~F.col("b"), F.col("q")).alias("managed_qty"), F.when(F.col("b"), BEYOND).alias("error"))
 
 

@@ -34,7 +34,8 @@ def _both(combine: Callable[[Column, Column], Column]) -> Callable[[Column, Colu
 KINDS: dict[str, tuple[Callable, bool, Callable]] = {
     "sum": (F.sum, True, _both(lambda c, x: c + x)),
     # Ledger amounts: decimal(38,12) sums of values that fit decimal(37,12), so that adding two keeps all digits.
-    "amount": (F.sum, True, _both(lambda c, x: c.cast(AMOUNT) + x.cast(AMOUNT))),
+    # What does not fit is null; callers flag such keys by the size of their amounts.
+    "amount": (F.try_sum, True, _both(lambda c, x: c.try_cast(AMOUNT) + x.try_cast(AMOUNT))),
     "max": (F.max, True, _both(lambda c, x: F.greatest(c, x))),
     "min": (F.min, True, _both(lambda c, x: F.least(c, x))),
     "product": (F.product, True, _both(lambda c, x: c * x)),
