@@ -14,31 +14,40 @@ MIN_EQUITY = 1e-12
 def compound(
     df: DataFrame, series: Series, growth: Column, start: Column | float, name: str, idx: str = "bar_idx"
 ) -> DataFrame:
-    """Compound ``growth`` from ``start`` with a floor of 1e-12.
+    """Compound ``growth`` from ``start`` with a floor of 1e-12 into the column ``name``."""
+    return compound_all(df, series, {name: (growth, start)}, idx)
+
+
+def compound_all(
+    df: DataFrame, series: Series, curves: dict[str, tuple[Column, Column | float]], idx: str = "bar_idx"
+) -> DataFrame:
+    """Compound several growths (``name=(growth, start)``) side by side, with a floor of 1e-12 each.
 
     The first bar takes no growth.  A growth that is not finite or not above zero puts the curve on the floor,
     from where it compounds on.  With P the running product since the last such bar, the floored curve is
     P * max(start, floor * running max of 1/P).  Logarithms of P take over where P leaves the range of a double.
     """
-    start = F.lit(start) if isinstance(start, float) else start
-    fine = "_x > 0 AND _x < double('Infinity')"  # false for NaN, which sorts above infinity
-    df = df.withColumns({"_x": growth, "_start": start.cast("double")}).selectExpr(
-        "*",
-        f"{idx} > 0 AND NOT coalesce({fine}, false) AS _bad",
-        f"CASE WHEN {idx} > 0 AND {fine} THEN _x ELSE 1.0D END AS _g",
-    )
-    df = series.running(df, _p=("product", F.col("_g")), _l=("sum", F.expr("ln(_g)")))
-    reset = f"CASE WHEN _bad THEN named_struct('at', {idx}, 'p', _p, 'l', _l) END"
-    df = series.running(df, _r=("last", F.expr(reset)))
-    best = "named_struct('s', coalesce(_r.at, -1L), 'l', -_l, 'v', try_divide(1.0D, _p))"
-    df = series.running(df, _lo=("max", F.expr(best)))
+    names = list(enumerate(curves))
+    df = df.withColumns({f"_x{i}": curves[n][0] for i, n in names})
+    df = df.withColumns({f"_start{i}": (F.lit(s) if isinstance(s := curves[n][1], float) else s).cast("double") for i, n in names})
+    fine = "_x{0} > 0 AND _x{0} < double('Infinity')"  # false for NaN, which sorts above infinity
+    flags = [f"{idx} > 0 AND NOT coalesce({fine}, false) AS _bad{{0}}", f"CASE WHEN {idx} > 0 AND {fine} THEN _x{{0}} ELSE 1.0D END AS _g{{0}}"]
+    df = df.selectExpr("*", *[f.format(i) for i, _ in names for f in flags])
+    products = {f"_p{i}": ("product", F.col(f"_g{i}")) for i, _ in names}
+    df = series.sweep(df, running=products | {f"_l{i}": ("sum", F.expr(f"ln(_g{i})")) for i, _ in names})
+    reset = f"CASE WHEN _bad{{0}} THEN named_struct('at', {idx}, 'p', _p{{0}}, 'l', _l{{0}}) END"
+    df = series.sweep(df, running={f"_r{i}": ("last", F.expr(reset.format(i))) for i, _ in names})
+    best = "named_struct('s', coalesce(_r{0}.at, -1L), 'l', -_l{0}, 'v', try_divide(1.0D, _p{0}))"
+    df = series.sweep(df, running={f"_lo{i}": ("max", F.expr(best.format(i))) for i, _ in names})
     floor = f"{MIN_EQUITY!r}D"
-    p0, l0, base = "coalesce(_r.p, 1.0D)", "coalesce(_r.l, 0.0D)", f"if(_r IS NULL, _start, {floor})"
-    plain = f"try_divide(_p, {p0}) * greatest({base}, {floor} * {p0} * _lo.v)"
-    logs = f"exp(_l - {l0} + greatest(ln(greatest({base}, {floor})), ln({floor}) + {l0} + _lo.l))"
-    in_range = f"_p BETWEEN 1e-200D AND 1e200D AND {p0} BETWEEN 1e-200D AND 1e200D AND _lo.v < 1e200D"
-    value = f"CASE WHEN {idx} = 0 THEN _start ELSE greatest({floor}, CASE WHEN {in_range} THEN {plain} ELSE {logs} END) END"
-    return df.withColumn(name, F.expr(value)).drop("_x", "_start", "_g", "_bad", "_p", "_l", "_r", "_lo")
+    p0, l0, base = "coalesce(_r{0}.p, 1.0D)", "coalesce(_r{0}.l, 0.0D)", f"if(_r{{0}} IS NULL, _start{{0}}, {floor})"
+    plain = f"try_divide(_p{{0}}, {p0}) * greatest({base}, {floor} * {p0} * _lo{{0}}.v)"
+    logs = f"exp(_l{{0}} - {l0} + greatest(ln(greatest({base}, {floor})), ln({floor}) + {l0} + _lo{{0}}.l))"
+    in_range = f"_p{{0}} BETWEEN 1e-200D AND 1e200D AND {p0} BETWEEN 1e-200D AND 1e200D AND _lo{{0}}.v < 1e200D"
+    floored = f"greatest({floor}, CASE WHEN {in_range} THEN {plain} ELSE {logs} END)"
+    value = f"CASE WHEN {idx} = 0 THEN _start{{0}} ELSE {floored} END"
+    helpers = [f"_{h}{i}" for h in ("x", "start", "g", "bad", "p", "l", "r", "lo") for i, _ in names]
+    return df.withColumns({n: F.expr(value.format(i)) for i, n in names}).drop(*helpers)
 
 
 def growth_of(exposure: Column, ret: Column, trade: Column, cost: Column | float) -> Column:
@@ -46,17 +55,16 @@ def growth_of(exposure: Column, ret: Column, trade: Column, cost: Column | float
     return 1.0 + exposure * ret - trade * cost
 
 
-def equity_curve(df: DataFrame, series: Series, cost: Column | float) -> DataFrame:
-    """Strategy curve from 1.0; needs ``pos_open``, ``ret_oo`` and ``trade``."""
-    growth = growth_of(F.col("pos_open"), F.col("ret_oo"), F.col("trade"), cost)
-    return compound(df, series, growth, 1.0, "equity")
-
+def equity_curves(df: DataFrame, series: Series, cost: Column | float, hold: bool = True, floor_start: bool = True) -> DataFrame:
+    """Strategy curve from 1.0 and, if wanted, the buy-and-hold curve; needs ``pos_open``, ``ret_oo`` and ``trade``.
 
-def hold_curve(df: DataFrame, series: Series, cost: Column | float, floor_start: bool = True) -> DataFrame:
-    """Buy-and-hold curve from ``1 - cost``; its start is floored except for the moving-average rule."""
-    cost = F.lit(cost) if isinstance(cost, float) else cost
-    start = F.greatest(F.lit(MIN_EQUITY), 1.0 - cost) if floor_start else 1.0 - cost
-    return compound(df, series, 1.0 + F.col("ret_oo"), start, "equity_bh")
+    Buy-and-hold starts from ``1 - cost``; its start is floored except for the moving-average rule.
+    """
+    curves = {"equity": (growth_of(F.col("pos_open"), F.col("ret_oo"), F.col("trade"), cost), 1.0)}
+    if hold:
+        first = 1.0 - (F.lit(cost) if isinstance(cost, float) else cost)
+        curves["equity_bh"] = (1.0 + F.col("ret_oo"), F.greatest(F.lit(MIN_EQUITY), first) if floor_start else first)
+    return compound_all(df, series, curves)
 
 
 def drawdown(df: DataFrame, series: Series, value: str = "equity") -> DataFrame:

@@ -15,9 +15,7 @@ BULL, BEAR, UNKNOWN = "BULL", "BEAR", "UNKNOWN"
 
 def index_bars(df: DataFrame, series: Series) -> DataFrame:
     """Add bar number, series length, previous close and next open."""
-    df = number(df, series)
-    df = series.shift(df, prev_close=F.col("close"))
-    return series.shift(df, forward=True, next_open=F.col("open"))
+    return number(df, series, lag={"prev_close": F.col("close")}, lead={"next_open": F.col("open")})
 
 
 def sma(df: DataFrame, series: Series, length: int, name: str = "ma", x: str = "close") -> DataFrame:
@@ -130,9 +128,12 @@ def regime(df: DataFrame, series: Series, band: Column | float, anchor: str = "e
     close = F.col("close")
     hard = F.when(close > lim["upper"], BULL).when(close < lim["lower"], BEAR)
     soft = F.when(close > F.col(anchor), BULL).when(close < F.col(anchor), BEAR)
-    df = series.running(df, _hard=("last", hard), _soft=("first", soft))
-    df = df.withColumn("regime", F.coalesce("_hard", "_soft", F.lit(UNKNOWN))).drop("_hard", "_soft")
-    return series.shift(df, prev_regime=F.col("regime"))
+    now = {"_hard": ("last", hard), "_soft": ("first", soft)}
+    before = {"_hard0": now["_hard"], "_soft0": now["_soft"], "_has": ("max", F.lit(True))}
+    df = series.sweep(df, running=now, before=before)
+    decided = lambda h, s: F.coalesce(h, s, F.lit(UNKNOWN))
+    df = df.withColumns({"regime": decided("_hard", "_soft"), "prev_regime": F.when(F.col("_has"), decided("_hard0", "_soft0"))})
+    return df.drop(*now, *before)
 
 
 def buy_turn() -> Column:

@@ -41,8 +41,7 @@ def highest_close(df: DataFrame, series: Series, since: str = "entry", name: str
 def bull_stretch(df: DataFrame, series: Series) -> DataFrame:
     """Flag ``may_hold``: no bear turn between the entry and this bar, so a position could be open here."""
     ended = F.when(in_episode(), F.struct(F.col("entry").alias("e"), bear_turn().alias("x")))
-    df = series.running(df, _end=("max", ended))
-    df = series.shift(df, _end=F.col("_end"))
+    df = series.sweep(df, before={"_end": ("max", ended)})
     over = (F.col("_end.e") == F.col("entry")) & F.col("_end.x")
     return df.withColumn("may_hold", in_episode() & ~F.coalesce(over, F.lit(False))).drop("_end")
 
@@ -59,8 +58,7 @@ def hold_until_exit(df: DataFrame, series: Series, exit_: Column, from_entry: bo
     """
     inside = F.coalesce(F.col("bar_idx") >= F.col("entry"), F.lit(False)) if from_entry else in_episode()
     mark = F.when(inside, F.struct(F.col("entry").alias("e"), F.coalesce(exit_, F.lit(False)).alias("x")))
-    df = series.running(df, _out=("max", mark))
-    df = series.shift(df, _out=F.col("_out"))
+    df = series.sweep(df, before={"_out": ("max", mark)})
     gone = (F.col("_out.e") == F.col("entry")) & F.col("_out.x")
     return df.withColumn("held", in_episode() & ~F.coalesce(gone, F.lit(False))).drop("_out")
 

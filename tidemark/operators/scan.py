@@ -4,7 +4,7 @@ A *series* is all rows of one key (a market, a symbol) in a total order.  ``lay_
 largest series.  When it fits one task, running aggregates are plain window functions.  When it does not, the
 rows are range-partitioned on (key, order), so that one hot key spreads over many partitions, and a running
 aggregate becomes: a window inside each chunk, one total per chunk, an exclusive scan over the totals, and a
-join of that carry back to its chunk.  Both ways give the same values.
+join of that carry back to its chunk.  Only the totals are stored.  Both ways give the same values.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ KINDS: dict[str, tuple[Callable, bool, Callable]] = {
 }
 
 
+Specs = dict[str, tuple[str, Column]]
+
+
 @dataclass(frozen=True)
 class Series:
     """Key and order columns of a panel; ``chunk`` is set when a key may span several tasks."""
@@ -73,62 +76,81 @@ class Series:
     def _position(self) -> Column:
         return F.struct(*self.order)
 
-    def _carry(self, local: DataFrame, totals: dict[str, Column], scan: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
-        """Join per-chunk values, moved along the chunks of each key by ``scan``, back to ``local``."""
-        per_chunk = local.groupBy(*self.cluster).agg(*[c.alias(n) for n, c in totals.items()])
-        over = Window.partitionBy(*self.keys).orderBy(self.chunk)
-        moved = per_chunk.select(*self.cluster, *[c.alias(n) for n, c in scan(over).items()])
-        return local.join(moved, self.cluster, "left")
-
-    def running(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
-        """Add inclusive running aggregates ``name=(kind, expression)``; nulls do not take part."""
-        inside = {n: KINDS[k][0](x).over(self.upto()) for n, (k, x) in specs.items()}
+    def settle(self, df: DataFrame) -> DataFrame:
+        """With chunks, write the rows once, so that later sweeps start from here; plain series stay as they are."""
+        return df if self.chunk is None else materialize(df)
+
+    def sweep(
+        self,
+        df: DataFrame,
+        running: Specs | None = None,
+        before: Specs | None = None,
+        lag: dict[str, Column] | None = None,
+        lead: dict[str, Column] | None = None,
+        whole: Specs | None = None,
+    ) -> DataFrame:
+        """All aggregates that read the columns of ``df`` as they are, in one pass: ``name=(kind, expression)``.
+
+        ``running`` includes the row itself, ``before`` ends with the row before; nulls do not take part in either.
+        ``lag`` and ``lead`` give the value the row before or after has, ``whole`` (kind sum, min or max) aggregates
+        the whole series.
+
+        With chunks the pass goes up and down: up, all results are reduced to one row per chunk, and these rows are
+        moved along the chunks of their key and stored; down, each chunk takes its row and completes its own windows.
+        Only the rows per chunk are written. The rows themselves move once, to the chunks they already have, and
+        several sweeps are one plan over them; each stored reduction runs the sweeps since the last ``settle`` again.
+        """
+        running, before, lag, lead, whole = (x or {} for x in (running, before, lag, lead, whole))
+        over, past = self.ordered(), self.ordered().rowsBetween(Window.unboundedPreceding, -1)
+        inside = {n: KINDS[k][0](x).over(self.upto()) for n, (k, x) in running.items()}
+        inside |= {n: KINDS[k][0](x).over(past) for n, (k, x) in before.items()}
+        inside |= {n: F.lag(x, 1).over(over) for n, x in lag.items()} | {n: F.lead(x, 1).over(over) for n, x in lead.items()}
         if self.chunk is None:
-            return df.withColumns(inside)
-        # Helper names: a result may have the name of a column that the totals still read.
-        local = df.withColumns({f"_n_{n}": c for n, c in inside.items()})
-        totals = {}
-        for n, (kind, x) in specs.items():
+            series = Window.partitionBy(*self.keys)
+            return df.withColumns(inside | {n: KINDS[k][0](x).over(series) for n, (k, x) in whole.items()})
+        # Helper names: a result may have the name of a column that another one still reads.
+        local = df.withColumns(
+            {f"_n_{n}": c for n, c in inside.items()}
+            | ({"_head": F.lag(F.lit(1), 1).over(over).isNull()} if lag else {})
+            | ({"_tail": F.lead(F.lit(1), 1).over(over).isNull()} if lead else {})
+        )
+        joined = local.join(self._carries(df, running | before, lag, lead, whole), self.cluster, "left")
+        done = {n: KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_n_{n}")) for n, (k, _) in (running | before).items()}
+        for names, edge in ((lag, "_head"), (lead, "_tail")):
+            done |= {n: F.when(F.col(edge), F.col(f"_c_{n}")["v"]).otherwise(F.col(f"_n_{n}")) for n in names}
+        done |= {n: F.col(f"_c_{n}") for n in whole}
+        return joined.withColumns(done).drop("_head", "_tail", *[f"_{p}_{n}" for p in "cn" for n in done])
+
+    def _carries(self, df: DataFrame, totals: Specs, lag: dict[str, Column], lead: dict[str, Column], whole: Specs) -> DataFrame:
+        """One row per chunk: what its key has before it, what its edge rows miss, and what the whole key has."""
+        up = {}
+        for n, (kind, x) in totals.items():
             agg, order_free, _ = KINDS[kind]
-            if order_free:
-                totals[f"_t_{n}"] = agg(x)
-            else:
-                pick = F.max_by if kind == "last" else F.min_by
-                totals[f"_t_{n}"] = pick(x, F.when(x.isNotNull(), self._position()))
+            pick = F.max_by if kind == "last" else F.min_by
+            up[n] = agg(x) if order_free else pick(x, F.when(x.isNotNull(), self._position()))
+        up |= {n: F.max_by(F.struct(x.alias("v")), self._position()) for n, x in lag.items()}
+        up |= {n: F.min_by(F.struct(x.alias("v")), self._position()) for n, x in lead.items()}
+        up |= {n: KINDS[k][0](x) for n, (k, x) in whole.items()}
+        per_chunk = df.groupBy(*self.cluster).agg(*[c.alias(f"_t_{n}") for n, c in up.items()])
+        series = Window.partitionBy(*self.keys)
+        along = series.orderBy(self.chunk)
+        past = along.rowsBetween(Window.unboundedPreceding, -1)
+        down = {n: KINDS[k][0](F.col(f"_t_{n}")).over(past) for n, (k, _) in totals.items()}
+        down |= {n: F.lag(f"_t_{n}", 1).over(along) for n in lag} | {n: F.lead(f"_t_{n}", 1).over(along) for n in lead}
+        down |= {n: KINDS[k][0](F.col(f"_t_{n}")).over(series) for n, (k, _) in whole.items()}
+        return materialize(per_chunk.select(*self.cluster, *[c.alias(f"_c_{n}") for n, c in down.items()]))
 
-        def scan(over: WindowSpec) -> dict[str, Column]:
-            before = over.rowsBetween(Window.unboundedPreceding, -1)
-            return {f"_c_{n}": KINDS[k][0](F.col(f"_t_{n}")).over(before) for n, (k, _) in specs.items()}
-
-        joined = self._carry(local, totals, scan)
-        out = joined.withColumns({n: KINDS[k][2](F.col(f"_c_{n}"), F.col(f"_n_{n}")) for n, (k, _) in specs.items()})
-        return materialize(out.drop(*[f"_{p}_{n}" for p in "cn" for n in specs]))
+    def running(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
+        """Add inclusive running aggregates ``name=(kind, expression)``; nulls do not take part."""
+        return self.sweep(df, running=specs)
 
     def shift(self, df: DataFrame, forward: bool = False, **specs: Column) -> DataFrame:
         """Add the value the previous row (or with ``forward`` the next row) has for each expression."""
-        step = F.lead if forward else F.lag
-        inside = {n: step(x, 1).over(self.ordered()) for n, x in specs.items()}
-        if self.chunk is None:
-            return df.withColumns(inside)
-        local = df.withColumns({f"_n_{n}": c for n, c in inside.items()})
-        pick = F.min_by if forward else F.max_by
-        totals = {f"_t_{n}": pick(F.struct(x.alias("v")), self._position()) for n, x in specs.items()}
-        edge = "_edge"
-        local = local.withColumn(edge, step(F.lit(1), 1).over(self.ordered()).isNull())
-        joined = self._carry(local, totals, lambda over: {f"_c_{n}": step(F.col(f"_t_{n}"), 1).over(over) for n in specs})
-        out = joined.withColumns(
-            {n: F.when(F.col(edge), F.col(f"_c_{n}")["v"]).otherwise(F.col(f"_n_{n}")) for n in specs}
-        )
-        return materialize(out.drop(edge, *[f"_{p}_{n}" for p in "cn" for n in specs]))
+        return self.sweep(df, lead=specs) if forward else self.sweep(df, lag=specs)
 
     def whole(self, df: DataFrame, **specs: tuple[str, Column]) -> DataFrame:
         """Add aggregates of the whole series, ``name=(kind, expression)`` with kind sum, min or max."""
-        over = Window.partitionBy(*self.keys)
-        if self.chunk is None:
-            return df.withColumns({n: KINDS[k][0](x).over(over) for n, (k, x) in specs.items()})
-        per_chunk = df.groupBy(*self.cluster).agg(*[KINDS[k][0](x).alias(n) for n, (k, x) in specs.items()])
-        merged = per_chunk.withColumns({n: KINDS[k][0](F.col(n)).over(over) for n, (k, _) in specs.items()})
-        return materialize(df.join(merged, self.cluster, "left"))
+        return self.sweep(df, whole=specs)
 
     def rolling(self, df: DataFrame, rows: int, idx: str, build: Callable[[WindowSpec], dict[str, Column]]) -> DataFrame:
         """Add columns that look back at most ``rows - 1`` rows; ``idx`` numbers the rows of a series from 0.
@@ -166,10 +188,13 @@ def lay_out(
     return materialize(spread), replace(series, chunk=CHUNK)
 
 
-def number(df: DataFrame, series: Series, idx: str = "bar_idx", n: str | None = "n_bars") -> DataFrame:
-    """Row number from 0 in each series and, if wanted, the length of the series."""
-    out = series.running(df, **{idx: ("sum", F.lit(1).cast("bigint"))}).withColumn(idx, F.col(idx) - 1)
-    return series.whole(out, **{n: ("sum", F.lit(1).cast("bigint"))}) if n else out
+def number(
+    df: DataFrame, series: Series, idx: str = "bar_idx", n: str | None = "n_bars", **around: dict[str, Column]
+) -> DataFrame:
+    """Row number from 0 in each series and, if wanted, the length of the series; ``around`` takes lag and lead."""
+    one = ("sum", F.lit(1).cast("bigint"))
+    out = series.sweep(df, running={idx: one}, whole={n: one} if n else None, **around)
+    return out.withColumn(idx, F.col(idx) - 1)
 
 
 def affine(df: DataFrame, series: Series, values: dict[str, str], alpha: str, seed: str, pos: str) -> DataFrame:
@@ -196,10 +221,9 @@ def affine(df: DataFrame, series: Series, values: dict[str, str], alpha: str, se
     inside = f"({alpha}) * power(_q, _off) * _sum_{{0}}"
     df = df.selectExpr("*", *[f"if(_run = -1, {seeded.format(n)}, {inside.format(n)}) AS _in_{n}" for n in values])
     ends = "CASE WHEN _run = -1 OR _off = _span - 1 THEN _in_{0} END"
-    df = series.running(df, **{f"_end_{n}": ("last", F.expr(ends.format(n))) for n in values})
-    df = series.shift(df, **{f"_prev_{n}": F.col(f"_end_{n}") for n in values})
+    df = series.sweep(df, before={f"_prev_{n}": ("last", F.expr(ends.format(n))) for n in values})
     full = "if(_run = -1, _in_{0}, _in_{0} + power(_q, _off + 1) * _prev_{0}) AS {0}"
-    helpers = ["_rest", "_q", "_span", "_run", "_off"] + [f"_{p}_{n}" for n in values for p in ("sum", "in", "end", "prev")]
+    helpers = ["_rest", "_q", "_span", "_run", "_off"] + [f"_{p}_{n}" for n in values for p in ("sum", "in", "prev")]
     return df.selectExpr("*", *[full.format(n) for n in values]).drop(*helpers)
 
 

@@ -455,10 +455,8 @@ REGISTRY.register(
 def backtest(strategy: Strategy, run: Run) -> tuple[DataFrame, Series]:
     """Bar rows with position, turnover and curves for each (series, combination)."""
     df, series = strategy.evaluate(run)
-    df = pos.turnover(df, series)
+    df = pos.turnover(series.settle(df), series)
     if not run.full:  # other bars leave the curve flat
         df = df.where((F.col("pos_open") != 0) | (F.col("trade") != 0) | _first_bar())
-    df = eq.equity_curve(df, series, run.grid.cost)
-    if run.full:
-        df = eq.hold_curve(df, series, run.grid.cost, strategy.floor_hold_start)
+    df = eq.equity_curves(df, series, run.grid.cost, run.full, strategy.floor_hold_start)
     return eq.drawdown(df, series), series
