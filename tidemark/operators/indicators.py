@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import Series, affine, number
 
 RSI_PERIOD = 14
+#: Bars of a look-back window up to which each bar carries the window as an array.
+SHORT_WINDOW = 256
+#: Bars of a block in longer windows, at least.
+BLOCK_BARS = 8192
 BULL, BEAR, UNKNOWN = "BULL", "BEAR", "UNKNOWN"
 
 
@@ -86,9 +92,12 @@ def rank_in_window(window: Column, current: Column, at: Column, lookback: Column
 def rolling_ranks(df: DataFrame, series: Series, names: dict[str, int], ratio: str = "ratio") -> DataFrame:
     """Percentile ranks of the ratio among the defined ratios of the last bars: ``names`` gives the lookback of each.
 
-    One window, as long as the longest lookback, serves all of them.
+    One window, as long as the longest lookback, serves all of them: up to ``SHORT_WINDOW`` bars as an array on each
+    bar, beyond that by counting in blocks, where the work per bar grows with the logarithm of the lookback.
     """
     longest = max(names.values())
+    if longest > SHORT_WINDOW:
+        return _ranks_in_blocks(df, series, names, ratio)
 
     def build(w):
         seen = F.collect_list(
@@ -101,6 +110,62 @@ def rolling_ranks(df: DataFrame, series: Series, names: dict[str, int], ratio: s
     return df.withColumns(ranks).drop("_seen")
 
 
+def counts_at_most(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each place ``i``, how many of ``values[start[i]:i + 1]`` are at most ``values[i]``.
+
+    The values are replaced by their ranks and sorted bit by bit from the highest (a wavelet matrix): at each bit, the
+    part of the window with a smaller prefix is counted and the window goes on to the part with the same prefix.
+    """
+    distinct, rank = np.unique(values, return_inverse=True)
+    lo, hi = start.astype(np.int64), np.arange(1, len(values) + 1)
+    count, bound = np.zeros(len(values), np.int64), rank + 1
+    for bit in reversed(range(len(distinct).bit_length())):
+        high = (rank >> bit) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~high)])
+        lo0, hi0, above = zeros[lo], zeros[hi], (bound >> bit) & 1 == 1
+        count += np.where(above, hi0 - lo0, 0)
+        lo, hi = (np.where(above, zeros[-1] + x - x0, x0) for x, x0 in ((lo, lo0), (hi, hi0)))
+        rank = np.concatenate([rank[~high], rank[high]])
+    return count
+
+
+def _block_ranks(lookback: int) -> Callable[[Column, Column, Column], Column]:
+    """Ranks of one block: from arrays of bar numbers, ratios, and whether these are defined, to an array of ranks."""
+
+    @F.pandas_udf("array<double>")
+    def ranks(at: pd.Series, ratio: pd.Series, defined: pd.Series) -> pd.Series:
+        out = []
+        for i, r, d in zip(at, ratio, defined, strict=True):
+            known = np.flatnonzero(np.asarray(d, bool))
+            i, r = np.asarray(i, np.int64)[known], np.asarray(r, np.float64)[known]
+            start = np.searchsorted(i, i - lookback, side="right")
+            rank = np.full(len(d), None, object)
+            rank[known] = counts_at_most(r, start) / (np.arange(1, len(known) + 1) - start)
+            out.append(rank)
+        return pd.Series(out)
+
+    return ranks
+
+
+def _ranks_in_blocks(df: DataFrame, series: Series, names: dict[str, int], ratio: str) -> DataFrame:
+    """Blocks of bars, each with the bars it looks back at (number and ratio only); the rows themselves stay in the JVM."""
+    longest = max(names.values())
+    size = max(BLOCK_BARS, longest)
+    block, late = F.floor(F.col("bar_idx") / size), F.col("bar_idx") % size >= size - (longest - 1)
+    copies = F.when(late, F.array(block, block + 1)).otherwise(F.array(block))
+    spread = df.select(*series.keys, F.explode(copies).alias("_blk"), F.struct(*df.columns).alias("_row"))
+    own = F.floor(F.col("_row.bar_idx") / size) == F.col("_blk")
+    bar = F.struct(
+        F.col("_row.bar_idx").alias("i"), F.col(f"_row.{ratio}").alias("r"), F.when(own, F.col("_row")).alias("row")
+    )
+    blocks = spread.groupBy(*series.keys, "_blk").agg(F.array_sort(F.collect_list(bar)).alias("_g"))
+    bars = [F.transform("_g", f) for f in (lambda e: e["i"], lambda e: e["r"], lambda e: e["r"].isNotNull())]
+    blocks = blocks.withColumns({f"_k{k}": _block_ranks(back)(*bars) for k, back in enumerate(names.values())})
+    cell = lambda e, i: F.struct(e["row"].alias("row"), *[F.get(f"_k{k}", i).alias(n) for k, n in enumerate(names)])
+    out = blocks.select(F.inline(F.transform("_g", cell))).where(F.col("row").isNotNull())
+    return series.settle(out.select("row.*", *names))
+
+
 def rolling_rank(
     df: DataFrame, series: Series, lookback: int, ratio: str = "ratio", name: str = "vol_rank"
 ) -> DataFrame:
