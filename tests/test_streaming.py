@@ -71,3 +71,46 @@ def test_signal_refresh_isolates_bad_rows(spark, tmp_path):
     got = {(r["market"], r["signal_ts"].day): r["signal_reason"] for r in stores.read(spark).collect()}
     assert set(got) == {("A", 2), ("A", 3), ("B", 2), ("B", 3)} and got[("A", 3)] == "BUY_REGIME_TRANSITION"
     assert [r["market"] for r in stores.read(spark, "quarantine").collect()] == ["C"]
+
+
+def test_one_key_with_most_rows_is_cut_into_chunks(spark, tmp_path):
+    """26,000 rows of one key in a micro-batch, out of order: more than one Arrow batch, chunks of 4,000 rows."""
+    base = F.lit("2026-01-01").cast("timestamp")
+    rows = spark.range(52_000).select(
+        F.when(F.col("id") % 50 == 0, "B").otherwise("A").alias("market"),
+        F.lit("BUY").alias("side"),
+        F.timestamp_add("HOUR", F.floor(F.col("id") / 7).cast("int"), base).alias("signal_ts"),
+        F.col("id").alias("n"),
+    )
+    path, stores = str(tmp_path / "in"), Stores(str(tmp_path / "s"))
+    for low in (0, 26_000):
+        part = rows.where((F.col("n") >= low) & (F.col("n") < low + 26_000)).orderBy(F.hash("n")).coalesce(1)
+        part.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert dedup_signals(stream, ["n"], stores, rows_per_task=4_000) == 2
+    got = sorted(r.n for r in stores.read(spark).select("n").collect())
+    want, last = [], {}
+    for n in range(52_000):
+        key = n % 50 == 0
+        if last.get(key) != n // 7:
+            want.append(n)
+        last[key] = n // 7
+    assert got == want
+
+
+@pytest.mark.parametrize("keep,again", [(dt.timedelta(days=1), None), (dt.timedelta(0), 5.0)])
+def test_state_of_closed_orders_is_dropped_after_its_time(spark, tmp_path, keep, again):
+    """The closed order is polled again in the third micro-batch: nothing moves while it is remembered. The open one stays."""
+    trade = {"market": "A", "price": "2", "volume": "5", "funds": "10", "side": "bid", "created_at": "2026-01-01T00:00:00Z"}
+    poll = lambda n, order, state: (n, order, "A", "BUY", f"u-{order}", state, "2", "0", "5", [trade | {"uuid": f"t-{order}"}])
+    batches = [[poll(1, "shut", "done"), poll(2, "open", "wait")], [poll(3, "open", "wait")], [poll(4, "shut", "done"), poll(5, "open", "wait")]]
+    cell = "array<struct<market:string,uuid:string,price:string,volume:string,funds:string,side:string,created_at:string>>"
+    schema = f"n bigint, order_id string, symbol string, order_side string, uuid string, state string, price string, paid_fee string, executed_volume string, trades {cell}"
+    path, stores = str(tmp_path / "in"), Stores(str(tmp_path / "s"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert reconcile_orders(stream, ["n"], stores, keep) == 3
+    moves = {r["seq"]["n"]: r["delta_qty"] and float(r["delta_qty"]) for r in stores.read(spark).collect()}
+    assert moves == {1: 5.0, 2: 5.0, 3: None, 4: again, 5: None}
+    assert stores.read(spark, "fills").where("order_id = 'shut'").count() == (2 if again else 1)

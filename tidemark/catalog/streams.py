@@ -11,22 +11,29 @@ from tidemark.operators import account as acc
 from tidemark.streaming.batches import Stores, alert_drift, dedup_signals, reconcile_orders, refresh_signals
 
 
-STEPS, FILES = 4, 2
+#: Micro-batches at least, files of each, and rows of one at most (about).
+STEPS, FILES, ROWS = 4, 2, 1_000_000
 
 
 def feed(df, at, stores):
-    """``df`` as a stream of ``STEPS`` micro-batches in the order of the time column ``at``.
+    """``df`` as a stream of micro-batches in the order of the time column ``at``; their number grows with the rows.
 
-    Each step is written as ``FILES`` files after the step before, and the source takes as many at a time.
+    The source is read once. Each step is written as ``FILES`` files after the step before, and the stream takes as
+    many at a time.
     """
     spark = df.sparkSession
-    df = df.withColumn("_at", F.unix_micros(at))
-    cuts = df.agg(F.percentile_approx("_at", [k / STEPS for k in range(1, STEPS)], 1000).alias("c")).first().c or []
-    step = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for k in range(STEPS):
-        part = df.where(step == k).drop("_at").repartition(FILES)
-        part.write.mode("append").parquet(stores.path("in"))
-    stream = spark.readStream.schema(df.drop("_at").schema).option("maxFilesPerTrigger", FILES)
+    df.withColumn("_at", F.unix_micros(at)).write.parquet(stores.path("all"))
+    rows = spark.read.parquet(stores.path("all"))
+    steps = max(STEPS, -(-rows.count() // ROWS))
+    cuts = rows.agg(F.percentile_approx("_at", [k / steps for k in range(1, steps)], 100 * steps).alias("c")).first().c or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = rows if low is None else rows.where(F.col("_at") > low)
+        part = part if high is None else part.where(F.col("_at") <= high)
+        if low is None:
+            part = part.unionByName(rows.where(F.col("_at").isNull()))
+        part.drop("_at").repartition(FILES).write.mode("append").parquet(stores.path("in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES)
     return stream.parquet(stores.path("in"))
 
 

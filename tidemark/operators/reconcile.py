@@ -90,25 +90,49 @@ def reconcile(
     snapshot brought first, else the order's average.  ``snapshots`` has ``order_id``, ``seq`` (arrival order),
     ``symbol``, ``order_side`` and the exchange fields.  ``fills`` limits new fills to the given ones.
     """
+    if fills is not None:
+        fresh = fills.groupBy("order_id", "seq").agg(*_fresh_sums(F.lit(True)))
+        return order_columns(with_executed_before(snapshots, rows_per_task).join(fresh, ["order_id", "seq"], "left"))
+    return cell_moves(snapshot_cells(snapshots, rows_per_task))
+
+
+def with_executed_before(snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None) -> DataFrame:
+    """Add ``executed``, the average price and ``_prev``, the executed volume before the snapshot.
+
+    ``carried`` names a column with the executed volume before all given snapshots of the order, if there was one.
+    """
     rows, series = lay_out(snapshots, ["order_id"], ["seq"], rows_per_task)
     if series.chunk is None:  # a fixed partition count: decimals cost more than the size of the rows shows
         rows = rows.repartition(work_partitions(rows.sparkSession), "order_id")
     rows = rows.withColumns({"executed": dec(F.col("executed_volume")), "avg_executed_price": average_price()})
     # A volume beyond the ledger is null and named; the next snapshot counts from the last one that fits.
-    rows = series.running(rows, _known=("last", F.col("executed")))
-    rows = series.shift(rows, _prev=F.col("_known")).drop("_known")
-    if fills is not None:
-        fresh = fills.groupBy("order_id", "seq").agg(*_fresh_sums(F.lit(True)))
-        return order_columns(rows.join(fresh, ["order_id", "seq"], "left"))
+    rows = series.sweep(rows, before={"_prev": ("last", F.col("executed"))})
+    return rows.withColumn("_prev", F.coalesce("_prev", carried)) if carried else rows
+
+
+def snapshot_cells(
+    snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None, known: str | None = None
+) -> DataFrame:
+    """One row per trade of each snapshot (one without trade where it has none); ``_new``: the first to bring this fill.
+
+    ``known`` names an array of the positions of trades whose fill is known from before the given snapshots.
+    """
+    rows = with_executed_before(snapshots, rows_per_task, carried)
     # One pass: the trades of a snapshot carry its columns along, and come together again once it is known which are new.
     # All of it is partitioned by order (or parts of one), so that the rows move once.
     kept = ["symbol", "order_side", "uuid", "state", "paid_fee", "executed", "_prev", "avg_executed_price"]
-    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), F.posexplode_outer("trades").alias("_pos", "_t"))
-    cells = cells.select("order_id", "seq", "_row", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
-    cells = cells.select("order_id", "seq", "_row", "_c.*")
+    old = F.col(known) if known else F.lit(None).cast("array<int>")
+    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), old.alias("_old"), F.posexplode_outer("trades").alias("_pos", "_t"))
+    cells = cells.select("order_id", "seq", "_row", "_old", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
+    cells = cells.select("order_id", "seq", "_row", "_old", "_c.*")
     same = Window.partitionBy("order_id", "filled_at", "trade_id").orderBy("seq", "pos")
-    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1)
-    rows = cells.withColumn("_new", new).groupBy("order_id", "seq").agg(F.first("_row").alias("_row"), *_fresh_sums(F.col("_new")))
+    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1) & ~F.coalesce(F.array_contains("_old", F.col("pos")), F.lit(False))
+    return cells.withColumn("_new", new).drop("_old")
+
+
+def cell_moves(cells: DataFrame) -> DataFrame:
+    """Order columns and moves from the rows of ``snapshot_cells``."""
+    rows = cells.groupBy("order_id", "seq").agg(F.first("_row").alias("_row"), *_fresh_sums(F.col("_new")))
     return order_columns(rows.select("order_id", "seq", "_row.*", "_q", "_f", "_lost"))
 
 

@@ -1,13 +1,16 @@
 """Polling loops as Structured Streaming with keyed state.
 
 What must be remembered of a key (its last row, its fills, its newest candles) is state of ``transformWithState``, kept
-by Spark's RocksDB store: a micro-batch touches the keys that have new rows and no others. All other work is the
-columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
+by Spark's RocksDB store: a micro-batch touches the keys that have new rows and no others. The processors see the rows
+of a key in any order, pass them on one by one with what earlier micro-batches left, and hold the newest row only.
+What comes before what inside a micro-batch is found by the scans of the batch form, so a key with most of the rows is
+neither sorted nor held in Python. All other work is the columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
 repeated replaces its own output.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -15,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from tidemark.functions.scalar import AMOUNT, dec
-from tidemark.operators.reconcile import average_price, order_columns, trade_cell
+from tidemark.operators.reconcile import cell_moves, order_status, snapshot_cells, trade_cell
+from tidemark.operators.scan import CHUNK, lay_out
 from tidemark.plans.live import LiveParams, live_signals
 from tidemark.session import ensure_checkpoint_dir, share_package
 from tidemark.sources.candles import PRICES, checked_candles, history_size, mapped
@@ -46,29 +50,45 @@ class Stores:
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], stores: Stores) -> int:
     """Process everything the source has, one micro-batch after the other, and stop; the number of micro-batches."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", stores.path("checkpoint"))
-    query = writer.outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"  # timers fire with the next rows; without rows there is no batch
+    before = conf.get(empty)
+    conf.set(empty, "false")
+    try:
+        writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", stores.path("checkpoint"))
+        query = writer.outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        conf.set(empty, before)
     return len(query.recentProgress)
 
 
-def stateful(rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType) -> DataFrame:
+def stateful(
+    rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType, time: str = "none"
+) -> DataFrame:
     share_package(rows.sparkSession)
-    return rows.groupBy(*keys).transformWithState(processor, schema, "append", "none")
-
-
-def in_order(rows: Iterator[Row], order: Sequence[str]) -> list[Row]:
-    """The new rows of one key in their order; a key's part of a micro-batch is as large as the source lets it be."""
-    return sorted(rows, key=lambda r: tuple(r[c] for c in order))
+    return rows.groupBy(*keys).transformWithState(processor, schema, "append", time)
 
 
 def extended(row: Row, **more: object) -> Row:
     return Row(**{c: row[c] for c in row.__fields__}, **more)
 
 
+class Latest:
+    """The newest of the rows offered to it, by the order columns; of equal ones the first."""
+
+    def __init__(self, order: Sequence[str]) -> None:
+        self.order, self.at, self.row = order, None, None
+
+    def offer(self, row: Row) -> None:
+        at = tuple((row[c] is not None, row[c]) for c in self.order)
+        if self.at is None or at > self.at:
+            self.at, self.row = at, row
+
+
 class Before(StatefulProcessor):
-    """Adds to each row what the row before it in its key had in ``seen``; the first row has null there."""
+    """Adds to each row what the newest row of earlier micro-batches had in ``seen``; null if there was none."""
 
     def __init__(self, order: Sequence[str], seen: Sequence[str], schema: T.StructType) -> None:
         self.order, self.seen, self.schema = list(order), list(seen), schema
@@ -76,104 +96,138 @@ class Before(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", T.StructType([self.schema[c] for c in self.seen]))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
-        last = dict(zip(self.seen, self.last.get(), strict=True)) if self.last.exists() else None
-        for row in in_order(rows, self.order):
-            yield extended(row, _p=last and Row(**last))
-            last = {c: row[c] for c in self.seen}
-        if last is not None:
-            self.last.update(tuple(last.values()))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        carried = Row(**dict(zip(self.seen, self.last.get(), strict=True))) if self.last.exists() else None
+        newest = Latest(self.order)
+        for row in rows:
+            newest.offer(row)
+            yield extended(row, _p=carried)
+        if newest.row is not None:
+            self.last.update(tuple(newest.row[c] for c in self.seen))
 
     def close(self) -> None:
         pass
 
 
-def with_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str]) -> DataFrame:
-    """A stream with the struct ``_p`` of the ``seen`` columns of the row before in each key."""
+def with_carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str]) -> DataFrame:
+    """A stream with the struct ``_p`` of the ``seen`` columns of the newest row of earlier micro-batches in each key."""
     schema = T.StructType([*rows.schema, T.StructField("_p", T.StructType([rows.schema[c] for c in seen]))])
     return stateful(rows, keys, Before(order, seen, rows.schema), schema)
 
 
-def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores) -> int:
+def row_before(batch: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str], rows_per_task: int | None) -> DataFrame:
+    """``_p`` of a micro-batch: the row before within it, or what earlier ones carried for the first row of a key."""
+    rows, series = lay_out(batch, keys, order, rows_per_task)
+    rows = series.sweep(rows, lag={"_q": F.struct(*seen)})
+    return rows.withColumn("_p", F.coalesce("_q", "_p")).drop("_q", CHUNK)
+
+
+def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores, rows_per_task: int | None = None) -> int:
     """Drop a signal whose time equals the last one of the same market and side."""
+    keys, seen = ["market", "side"], ["signal_ts"]
 
     def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        rows = row_before(batch, keys, order, seen, rows_per_task)
         new = F.col("_p").isNull() | ~F.col("_p.signal_ts").eqNullSafe(F.col("signal_ts"))
-        append_batch(batch.where(new).drop("_p"), stores.path("out"), number)
+        append_batch(rows.where(new).drop("_p"), stores.path("out"), number)
+        batch.unpersist()
 
-    return run_available(with_before(signals, ["market", "side"], order, ["signal_ts"]), handle, stores)
+    return run_available(with_carried(signals, keys, order, seen), handle, stores)
 
 
-def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> int:
+def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores, rows_per_task: int | None = None) -> int:
     """Alert on drift snapshots that differ from the one before."""
     seen = ["drift_detected", "drift_qty", "total_qty", "managed_qty"]
 
     def handle(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        rows = row_before(batch, ["symbol"], order, seen, rows_per_task)
         same = F.col("_p.drift_detected")
         for c in seen[1:]:
             same = same & (F.col(f"_p.{c}") == F.col(c))
         alert = F.col("drift_detected") & ~F.coalesce(same, F.lit(False))
-        append_batch(batch.where(alert).drop("_p"), stores.path("out"), number)
+        append_batch(rows.where(alert).drop("_p"), stores.path("out"), number)
+        batch.unpersist()
 
-    return run_available(with_before(snapshots, ["symbol"], order, seen), handle, stores)
+    return run_available(with_carried(snapshots, ["symbol"], order, seen), handle, stores)
 
 
 class Fills(StatefulProcessor):
-    """Adds to each snapshot the executed volume before it and the positions of the trades it is the first to bring."""
+    """Adds to each snapshot what earlier micro-batches know of its order: executed volume and fills (by position).
 
-    def __init__(self, order: Sequence[str]) -> None:
-        self.order = list(order)
+    The state of an order that was done or cancelled is dropped ``keep_ms`` after its last snapshot came.
+    """
+
+    def __init__(self, order: Sequence[str], keep_ms: int) -> None:
+        self.order, self.keep_ms = list(order), keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("executed", f"executed {AMOUNT}")
-        self.seen = handle.getMapState("fills", "filled_at timestamp, trade_id string", "seen boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
-        executed = self.last.get()[0] if self.last.exists() else None
-        for row in in_order(rows, self.order):
-            fresh = []
-            for cell in row["cells"] or ():
+        self.handle = handle
+        self.last = handle.getValueState("executed", f"executed {AMOUNT}, calls bigint")
+        self.seen = handle.getMapState("fills", "filled_at timestamp, trade_id string", "call bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        executed, calls = self.last.get() if self.last.exists() else (None, 0)
+        newest, known = Latest(self.order), Latest(self.order)
+        for row in rows:
+            newest.offer(row)
+            if row["executed"] is not None:
+                known.offer(row)
+            old = []
+            for pos, cell in enumerate(row["names"] or ()):
                 name = (cell["filled_at"], cell["trade_id"])
                 if not self.seen.containsKey(name):
-                    self.seen.updateValue(name, (True,))
-                    fresh.append(cell["pos"])
-            yield extended(row, _prev=executed, _fresh=fresh)
-            executed = executed if row["executed"] is None else row["executed"]
-        if executed is not None:
-            self.last.update((executed,))
+                    self.seen.updateValue(name, (calls,))  # this micro-batch brought it
+                elif self.seen.getValue(name)[0] < calls:
+                    old.append(pos)
+            yield extended(row, _carried=executed, _old=old)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.last.update((executed if known.row is None else known.row["executed"], calls + 1))
+        if newest.row is not None and newest.row["closed"]:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        self.seen.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def reconcile_orders(snapshots: DataFrame, order: Sequence[str], stores: Stores) -> int:
+#: How long a closed order is remembered.
+KEEP_CLOSED = dt.timedelta(days=7)
+
+
+def reconcile_orders(
+    snapshots: DataFrame, order: Sequence[str], stores: Stores, keep_closed: dt.timedelta = KEEP_CLOSED, rows_per_task: int | None = None
+) -> int:
     """Order snapshots to order columns and position moves; polling the same snapshot again moves nothing.
 
-    State of each order: its executed volume and the keys of its fills. New fills go to ``fills``.
+    State of each order: its executed volume and the keys of its fills. New fills go to ``fills``. ``keep_closed`` after
+    its last snapshot the state of an order that is done or cancelled is dropped; polling it again after that counts as
+    a new order, so it must be longer than closed orders are polled.
     """
-    rows = snapshots.withColumns(
-        {
-            "executed": dec(F.col("executed_volume")),
-            "cells": F.transform("trades", trade_cell),
-            "avg_executed_price": average_price(),
-        }
-    )
+    executed = dec(F.col("executed_volume"))
+    closed = order_status(F.col("state"), executed).isin("FILLED", "CANCELED")
+    name = lambda t, i: F.struct(*[trade_cell(t, i)[c].alias(c) for c in ("filled_at", "trade_id")])
+    rows = snapshots.withColumns({"executed": executed, "closed": closed, "names": F.transform("trades", name)})
     schema = T.StructType(
-        [*rows.schema, T.StructField("_prev", rows.schema["executed"].dataType), T.StructField("_fresh", T.ArrayType(T.IntegerType()))]
+        [*rows.schema, T.StructField("_carried", rows.schema["executed"].dataType), T.StructField("_old", T.ArrayType(T.IntegerType()))]
     )
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.withColumn("seq", F.struct(*order)).persist()
-        fresh = F.filter("cells", lambda c: F.array_contains("_fresh", c["pos"]))
-        batch_fresh = batch.withColumn("fresh", fresh)
-        total = lambda f: F.aggregate("fresh", F.lit(0).cast(AMOUNT), lambda s, c: F.try_add(s, c[f]).try_cast(AMOUNT))
-        lost = F.size(F.filter("fresh", lambda c: c["fill_qty"].isNull() | c["funds"].isNull()))
-        append_batch(order_columns(batch_fresh.withColumns({"_q": total("fill_qty"), "_f": total("funds"), "_lost": lost})), stores.path("out"), number)
-        fills = batch_fresh.select("order_id", F.explode("fresh").alias("c")).select("order_id", "c.*").drop("pos")
-        append_batch(fills, stores.path("fills"), number)
+        batch = batch.drop("executed", "closed", "names").withColumn("seq", F.struct(*order)).persist()
+        cells = snapshot_cells(batch, rows_per_task, "_carried", "_old").persist()
+        append_batch(cell_moves(cells), stores.path("out"), number)
+        append_batch(cells.where("_new").drop("seq", "_row", "_new", "pos"), stores.path("fills"), number)
+        cells.unpersist()
         batch.unpersist()
 
-    return run_available(stateful(rows, ["order_id"], Fills(order), schema), handle, stores)
+    keep_ms = int(keep_closed.total_seconds() * 1000)
+    return run_available(stateful(rows, ["order_id"], Fills(order, keep_ms), schema, "processingTime"), handle, stores)
 
 
 class Newest(StatefulProcessor):
@@ -186,21 +240,27 @@ class Newest(StatefulProcessor):
         values = ", ".join(f"{c} double" for c in (*PRICES, "volume"))
         self.candles = handle.getMapState("candles", "ts timestamp", values)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timer_values: object) -> Iterator[Row]:
-        came = False
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        came = 0
         for row in rows:
             if row["sound"]:
-                came = True
+                came += 1
                 self.candles.updateValue((row["ts"],), tuple(row[c] for c in (*PRICES, "volume")))
+                if came % self.size == 0:  # never more than twice the history is held
+                    self.newest()
             else:
                 yield row
         if came:
-            held = sorted((k[0], tuple(v)) for k, v in self.candles.iterator())
-            for ts, _ in held[: -self.size]:
-                self.candles.removeKey((ts,))
-            for ts, values in held[-self.size :]:
+            for ts, values in self.newest():
                 yield Row(market=key[0], ts=ts, **dict(zip((*PRICES, "volume"), values, strict=True)), sound=True, raw=None)
 
+    def newest(self) -> list[tuple]:
+        """Drop all but the newest candles and return these, in order."""
+        held = sorted((k[0], tuple(v)) for k, v in self.candles.iterator())
+        for ts, _ in held[: -self.size]:
+            self.candles.removeKey((ts,))
+        return held[-self.size :]
+
     def close(self) -> None:
         pass
 
