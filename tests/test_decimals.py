@@ -80,3 +80,28 @@ def test_snapshots_beyond_the_ledger_are_named_and_the_next_one_counts_on(spark)
         assert [got[k].delta_qty for k in (1, 2, 3, 4)] == [1, None, 2, 1]
         assert got[1].error is None and got[2].error == "executed volume beyond the ledger" and got[2].executed_volume is None
         assert got[3].error == "fee beyond the ledger" and "fills beyond the ledger" in got[4].error
+
+
+def test_usual_products_and_quotients_are_compiled(spark):
+    """Nothing that Spark interprets row by row: no lambda in the plan, and short methods only."""
+    from tidemark.catalog.base import table
+
+    a, b, seven = F.col("a"), F.col("b"), F.lit(Decimal(7)).cast("decimal(37,12)")
+    rows = spark.createDataFrame([(Decimal(1), Decimal(2))], "a decimal(37,12), b decimal(37,12)")
+    exact = mul12(a, b), mul_down(a, b), div_half_up(a, seven), div_down(a, seven)
+    out = rows.select(*[x.alias(f"x{i}") for i, x in enumerate(exact)])
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    table(spark, "/root/testdata/sf0.001", "events")
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_products_and_quotients_where_the_ways_meet(spark):
+    edges = [Decimal(10) ** k + d for k in (0, 5, 7, 11, 12, 18) for d in (-UNIT, Decimal(0), UNIT)] + [UNIT * 5, Decimal("0.5"), UNIT]
+    rows = [(x * s, y) for x in edges for y in edges for s in (1, -1)]
+    a, b = F.col("a"), F.col("b")
+    out = spark.createDataFrame(rows, "a decimal(37,12), b decimal(37,12)").select(
+        a, b, mul12(a, b).alias("m"), mul_down(a, b).alias("md"), div_half_up(a, b).alias("q"), div_down(a, b).alias("qd")
+    )
+    for x in out.collect():
+        assert (x.m, x.md) == tuple(fits((x.a * x.b).quantize(UNIT, mode)) for mode in (ROUND_HALF_UP, ROUND_DOWN)), x
+        assert (x.q, x.qd) == tuple(fits((x.a / x.b).quantize(UNIT, mode)) for mode in (ROUND_HALF_UP, ROUND_DOWN)), x

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import lay_out
+from tidemark.session import compile_in_pieces
 from tidemark.sources.candles import candles_from_trades
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    compile_in_pieces(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 

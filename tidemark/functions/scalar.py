@@ -73,7 +73,7 @@ def _e(digits: int) -> Column:
     return F.lit(Decimal(10) ** digits)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -102,21 +102,56 @@ def _amount(units: Column, negative: Column) -> Column:
         low = rest.cast("decimal(12,0)") * F.lit(Decimal("0.000000000001"))
         return F.when(negative, (-high) + (-low)).otherwise(high + low).cast(WIDE)
 
-    return _let(units, signed)
+    return let(units, signed)
+
+
+def _split(x: Column) -> tuple[Column, Column]:
+    """Whole part and fraction of an amount, both with its sign."""
+    rest = (x % F.lit(Decimal(1))).cast("decimal(12,12)")
+    return (x - rest).cast("decimal(25,0)"), rest
 
 
 def _product(a: Column, b: Column, half_up: bool) -> Column:
-    def exact(x: Column) -> Column:
-        (a_high, a_low), (b_high, b_low) = _parts(x["a"]), _parts(x["b"])
-        tail = F.call_function("div", a_low * b_low + F.lit(Decimal(5 * 10**11 if half_up else 0)), _e(12)).cast("decimal(13,0)")
-        middle = F.try_add(F.try_multiply(a_high, b_low), F.try_multiply(a_low, b_high))
-        units = F.try_add(F.try_add(F.try_multiply(F.try_multiply(a_high, b_high), _e(12)), middle), tail)
-        return _amount(units, (x["a"] < 0) != (x["b"] < 0))
+    """The four products of the parts: three of them exact as they are, only the one of the fractions is rounded.
+
+    All have the same sign, so a partial sum that does not fit means that the product does not fit. Amounts of usual
+    size take one product, or two if only the second one is large. These are plain decimal columns, which Spark compiles;
+    functions over arrays would be interpreted row by row.
+    """
+
+    def places12(x: Column) -> Column:
+        return x if half_up else x - x % F.lit(Decimal("0.000000000001"))
 
-    return _let(F.struct(a.try_cast(AMOUNT).alias("a"), b.try_cast(AMOUNT).alias("b")), exact)
+    small = a.try_cast("decimal(19,12)")
+    usual = places12(small * b.try_cast("decimal(17,12)")).cast(WIDE)
+    (a_high, a_low), (b_high, b_low) = _split(a.try_cast(AMOUNT)), _split(b.try_cast(AMOUNT))
+    large = (small * b_high.try_cast("decimal(18,0)")).try_cast(AMOUNT) + places12(small * b_low).cast("decimal(20,12)")
+    tail = places12(a_low * b_low).cast("decimal(13,12)")
+    total = F.try_multiply(a_high, b_high).try_cast("decimal(25,0)")
+    for part in ((a_high * b_low).cast(AMOUNT), (a_low * b_high).cast(AMOUNT), tail):
+        total = (total + part).try_cast(AMOUNT)
+    return F.coalesce(usual, large.try_cast(AMOUNT).cast(WIDE), total.cast(WIDE))
 
 
 def _quotient(a: Column, b: Column, half_up: bool) -> Column:
+    """The whole part, then twelve digits of what it leaves, for divisors below 1e11; long division for larger ones.
+
+    The first way is plain decimal columns, which Spark compiles.
+    """
+    a, b = a.try_cast(AMOUNT), b.try_cast(AMOUNT)
+    by = F.when(b != 0, b.try_cast("decimal(23,12)"))
+    left = F.try_mod(a, by).cast("decimal(23,12)")
+    whole = F.try_divide(a - left, by).try_cast("decimal(25,0)")
+    if half_up:
+        half = F.abs(by)
+        digits = F.call_function("div", left * F.lit(Decimal(2 * 10**12)) + F.when(a < 0, -half).otherwise(half), by * F.lit(Decimal(2)))
+    else:
+        digits = F.call_function("div", left * _e(12), by)
+    short = (whole + digits.cast("decimal(13,0)") * F.lit(Decimal("0.000000000001"))).try_cast(AMOUNT).cast(WIDE)
+    return F.coalesce(short, F.when(by.isNull(), _long_quotient(a, b, half_up)))
+
+
+def _long_quotient(a: Column, b: Column, half_up: bool) -> Column:
     """Long division in whole numbers: the whole part, then six digits, then six more."""
     units = "decimal(38,0)"
 
@@ -135,7 +170,7 @@ def _quotient(a: Column, b: Column, half_up: bool) -> Column:
         total = F.aggregate(digits, begin, step, lambda s: F.try_add(s["q"], up(s).cast("decimal(1,0)")).cast(units))
         return _amount(total, (x["a"] < 0) != (x["b"] < 0))
 
-    return _let(F.struct(a.try_cast(AMOUNT).alias("a"), b.try_cast(AMOUNT).alias("b")), exact)
+    return let(F.struct(a.alias("a"), b.alias("b")), exact)
 
 
 def mul12(a: Column, b: Column) -> Column:

@@ -26,6 +26,15 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "tidemark")
     )
 
 
+def compile_in_pieces(spark: SparkSession) -> None:
+    """Let Spark compile long stages as many short methods.
+
+    The JVM never compiles a method of more than 8,000 bytes of code but interprets it, and the stages of the ledger's
+    decimals are longer than that when each becomes one method.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def work_partitions(spark: SparkSession) -> int:
     """Partitions for rows that cost far more work than their size shows."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
