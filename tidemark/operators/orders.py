@@ -87,13 +87,14 @@ def paper_fill(orders: DataFrame, fee_rate: float | str) -> DataFrame:
     zero = F.lit(0).cast(WIDE)
     per_unit = F.col("requested_notional").isNull() | F.coalesce(F.col("quantity") == 0, F.lit(True))
     missing = F.when(F.col("order_type") == "MARKET_BUY", per_unit).otherwise(F.col("price").isNull())
-    price = F.when(missing, zero).otherwise(paper_price())
-    bought = F.when((price > 0) & F.col("requested_notional").isNotNull(), div_down(F.col("requested_notional"), price)).otherwise(zero)
-    rows = orders.withColumn("avg_executed_price", price)
+    # Each amount is a column of its own before the next one names it, so that it is worked out once.
+    rows = orders.withColumn("avg_executed_price", F.when(missing, zero).otherwise(paper_price()))
+    price, notional = F.col("avg_executed_price"), F.col("requested_notional")
+    bought = F.when((price > 0) & notional.isNotNull(), div_down(notional, price)).otherwise(zero)
     qty = F.when(F.col("quantity").isNotNull(), F.col("quantity").try_cast(WIDE)).otherwise(bought)
     rows = rows.withColumn("executed_volume", qty)
-    fee = mul12(mul12(F.col("avg_executed_price"), F.col("executed_volume")), F.lit(str(fee_rate)))
-    rows = rows.withColumn("fee_amount", fee)
+    rows = rows.withColumn("fee_amount", mul12(price, F.col("executed_volume")))
+    rows = rows.withColumn("fee_amount", mul12(F.lit(str(fee_rate)).cast(AMOUNT), F.col("fee_amount")))
     short = F.col("avg_executed_price").isNull() | F.col("executed_volume").isNull() | F.col("fee_amount").isNull()
     error = F.when(short, "amount_out_of_range")
     return rows.withColumns({"amount_error": error, "status": F.when(short, F.col("status") if "status" in orders.columns else F.lit("CREATED")).otherwise("FILLED")})
