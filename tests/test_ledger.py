@@ -187,3 +187,17 @@ def test_paper_amounts(spark):
     assert got[1]["executed_volume"] == D("3.333333333333")
     one = spark.range(1).select(od.spendable(F.lit("1000.99").cast("decimal(24,12)"), "0.1").alias("a"), od.spendable(F.lit(5), "1.5").alias("b")).first()
     assert (one["a"], one["b"]) == (D(900), D(5))
+
+
+def test_paper_fills_and_estimates_work_out_amounts_once(spark):
+    """An amount is a column of its own before others name it; the budget is worked out on the symbols' side of the join."""
+    from tidemark.operators.orders import paper_fill, with_notional_estimate
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    fields = "symbol string, order_type string, quantity decimal(37,12), price decimal(37,12), requested_notional decimal(37,12)"
+    orders = spark.read.schema(fields).json(spark.sparkContext.emptyRDD())
+    assert plan(paper_fill(orders, "0.0005")).count("Project") >= 3
+    chances = spark.range(1).selectExpr("string(id) AS symbol", "cast(rand() AS decimal(37,12)) AS bid_balance", "cast(rand() AS decimal(37,12)) AS ask_avg_buy_price")
+    ticks = spark.range(1).selectExpr("string(id) AS symbol", "rand() AS last_price")
+    out = plan(with_notional_estimate(orders, chances, ticks, "0.0005"))
+    assert "_budget" in out[out.index("Join"):]

@@ -129,11 +129,14 @@ def with_notional_estimate(orders: DataFrame, chances: DataFrame, tickers: DataF
     The requested notional wins.  A market buy takes the spendable balance; a market sell multiplies its
     quantity by the first positive of order price, average buy price and last trade price.
     """
+    # The budget is worked out per symbol, and the reference once per order: the exact product names it several times.
+    chances = chances.withColumn("_budget", spendable(F.col("bid_balance"), fee_rate))
     rows = orders.join(chances, "symbol", "left").join(tickers, "symbol", "left")
     wanted = positive(F.col("requested_notional"))
-    budget = positive(spendable(F.col("bid_balance"), fee_rate)).cast(WIDE)
+    budget = positive(F.coalesce("_budget", F.lit(0).cast("decimal(38,0)"))).cast(WIDE)
     reference = F.coalesce(*[positive(F.col(c)).cast(WIDE) for c in ("price", "ask_avg_buy_price", "last_price")])
-    sale = mul12(F.coalesce("quantity", F.lit(0).cast(AMOUNT)), reference)
+    rows = rows.withColumn("_reference", reference)
+    sale = mul12(F.coalesce("quantity", F.lit(0).cast(AMOUNT)), F.col("_reference"))
     kind = F.col("order_type")
     amount = F.coalesce(
         wanted.cast(WIDE),
@@ -142,9 +145,10 @@ def with_notional_estimate(orders: DataFrame, chances: DataFrame, tickers: DataF
         F.when(kind == "LIMIT", F.coalesce(F.col("requested_notional").cast(WIDE), F.lit(0).cast(WIDE))),
     )
     error = F.when(
-        amount.isNull(), F.when(kind == "MARKET_BUY", "insufficient_balance").otherwise("missing_reference_price")
+        F.col("estimated_notional").isNull(), F.when(kind == "MARKET_BUY", "insufficient_balance").otherwise("missing_reference_price")
     )
-    return rows.withColumns({"estimated_notional": amount, "estimate_error": error})
+    rows = rows.withColumn("estimated_notional", amount)
+    return rows.withColumn("estimate_error", error).drop("_budget", "_reference")
 
 
 def balance_sufficient() -> Column:
