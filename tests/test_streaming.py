@@ -114,3 +114,17 @@ def test_state_of_closed_orders_is_dropped_after_its_time(spark, tmp_path, keep,
     moves = {r["seq"]["n"]: r["delta_qty"] and float(r["delta_qty"]) for r in stores.read(spark).collect()}
     assert moves == {1: 5.0, 2: 5.0, 3: None, 4: again, 5: None}
     assert stores.read(spark, "fills").where("order_id = 'shut'").count() == (2 if again else 1)
+
+
+def test_rows_do_not_pass_through_python_state(spark, tmp_path, monkeypatch):
+    """Repeats across micro-batches are dropped, also under a null key, without a processor that sees row after row."""
+    from tidemark.streaming import batches
+
+    monkeypatch.setattr(batches, "stateful", None)
+    at, path, stores = dt.datetime(2026, 1, 1), str(tmp_path / "in"), Stores(str(tmp_path / "s"))
+    for rows in ([(1, "A"), (2, None)], [(3, "A"), (4, None)], [(5, "B"), (6, None)]):
+        df = spark.createDataFrame([(n, m, "BUY", at) for n, m in rows], "n bigint, market string, side string, signal_ts timestamp")
+        df.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    assert dedup_signals(stream, ["n"], stores) == 3
+    assert sorted(r.n for r in stores.read(spark).collect()) == [1, 2, 5]

@@ -26,6 +26,9 @@ def feed(df, at, stores):
     rows = spark.read.parquet(stores.path("all"))
     steps = max(STEPS, -(-rows.count() // ROWS))
     cuts = rows.agg(F.percentile_approx("_at", [k / steps for k in range(1, steps)], 100 * steps).alias("c")).first().c or []
+    if steps > STEPS:  # in files by time, so that each step reads its own part and not all of them
+        rows.repartitionByRange(2 * steps, "_at").write.parquet(stores.path("by_time"))
+        rows = spark.read.parquet(stores.path("by_time"))
     edges = [None, *sorted(set(cuts)), None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.where(F.col("_at") > low)

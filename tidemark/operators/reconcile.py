@@ -111,23 +111,19 @@ def with_executed_before(snapshots: DataFrame, rows_per_task: int | None = None,
 
 
 def snapshot_cells(
-    snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None, known: str | None = None
+    snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None
 ) -> DataFrame:
-    """One row per trade of each snapshot (one without trade where it has none); ``_new``: the first to bring this fill.
-
-    ``known`` names an array of the positions of trades whose fill is known from before the given snapshots.
-    """
+    """One row per trade of each snapshot (one without trade where it has none); ``_new``: the first to bring this fill."""
     rows = with_executed_before(snapshots, rows_per_task, carried)
     # One pass: the trades of a snapshot carry its columns along, and come together again once it is known which are new.
     # All of it is partitioned by order (or parts of one), so that the rows move once.
     kept = ["symbol", "order_side", "uuid", "state", "paid_fee", "executed", "_prev", "avg_executed_price"]
-    old = F.col(known) if known else F.lit(None).cast("array<int>")
-    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), old.alias("_old"), F.posexplode_outer("trades").alias("_pos", "_t"))
-    cells = cells.select("order_id", "seq", "_row", "_old", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
-    cells = cells.select("order_id", "seq", "_row", "_old", "_c.*")
+    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), F.posexplode_outer("trades").alias("_pos", "_t"))
+    cells = cells.select("order_id", "seq", "_row", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
+    cells = cells.select("order_id", "seq", "_row", "_c.*")
     same = Window.partitionBy("order_id", "filled_at", "trade_id").orderBy("seq", "pos")
-    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1) & ~F.coalesce(F.array_contains("_old", F.col("pos")), F.lit(False))
-    return cells.withColumn("_new", new).drop("_old")
+    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1)
+    return cells.withColumn("_new", new)
 
 
 def cell_moves(cells: DataFrame) -> DataFrame:

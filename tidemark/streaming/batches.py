@@ -1,16 +1,17 @@
 """Polling loops as Structured Streaming with keyed state.
 
-What must be remembered of a key (its last row, its fills, its newest candles) is state of ``transformWithState``, kept
-by Spark's RocksDB store: a micro-batch touches the keys that have new rows and no others. The processors see the rows
-of a key in any order, pass them on one by one with what earlier micro-batches left, and hold the newest row only.
-What comes before what inside a micro-batch is found by the scans of the batch form, so a key with most of the rows is
-neither sorted nor held in Python. All other work is the columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
+What must be remembered of a key (its last row, the executed volume of an order) is a table with one row per key that
+each micro-batch writes under its number and the next one joins; the fills known of orders are those written so far.
+No row passes through Python. The newest candles of a market are state of ``transformWithState``, kept by Spark's
+RocksDB store. What comes before what inside a micro-batch is found by the scans of the batch form. All other work is
+the columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
 repeated replaces its own output.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -18,10 +19,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.scalar import AMOUNT, dec
-from tidemark.operators.reconcile import cell_moves, order_status, snapshot_cells, trade_cell
+from tidemark.functions.scalar import dec
+from tidemark.operators.reconcile import cell_moves, order_status, snapshot_cells
 from tidemark.operators.scan import CHUNK, lay_out
 from tidemark.plans.live import LiveParams, live_signals
 from tidemark.session import ensure_checkpoint_dir, share_package
@@ -71,55 +72,36 @@ def stateful(
     return rows.groupBy(*keys).transformWithState(processor, schema, "append", time)
 
 
-def extended(row: Row, **more: object) -> Row:
-    return Row(**{c: row[c] for c in row.__fields__}, **more)
+def joined(rows: DataFrame, more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join in which a null key is a key like any other."""
+    more = more.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return rows.join(more, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-class Latest:
-    """The newest of the rows offered to it, by the order columns; of equal ones the first."""
+def state_before(stores: Stores, spark: SparkSession, number: int) -> DataFrame | None:
+    """What the micro-batches before this one left of each key; none before the first."""
+    return spark.read.parquet(f"{stores.path('state')}/batch={number - 1}") if number else None
 
-    def __init__(self, order: Sequence[str]) -> None:
-        self.order, self.at, self.row = order, None, None
-
-    def offer(self, row: Row) -> None:
-        at = tuple((row[c] is not None, row[c]) for c in self.order)
-        if self.at is None or at > self.at:
-            self.at, self.row = at, row
-
-
-class Before(StatefulProcessor):
-    """Adds to each row what the newest row of earlier micro-batches had in ``seen``; null if there was none."""
-
-    def __init__(self, order: Sequence[str], seen: Sequence[str], schema: T.StructType) -> None:
-        self.order, self.seen, self.schema = list(order), list(seen), schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([self.schema[c] for c in self.seen]))
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        carried = Row(**dict(zip(self.seen, self.last.get(), strict=True))) if self.last.exists() else None
-        newest = Latest(self.order)
-        for row in rows:
-            newest.offer(row)
-            yield extended(row, _p=carried)
-        if newest.row is not None:
-            self.last.update(tuple(newest.row[c] for c in self.seen))
-
-    def close(self) -> None:
-        pass
-
-
-def with_carried(rows: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str]) -> DataFrame:
-    """A stream with the struct ``_p`` of the ``seen`` columns of the newest row of earlier micro-batches in each key."""
-    schema = T.StructType([*rows.schema, T.StructField("_p", T.StructType([rows.schema[c] for c in seen]))])
-    return stateful(rows, keys, Before(order, seen, rows.schema), schema)
 
+def row_before(
+    batch: DataFrame, number: int, keys: Sequence[str], order: Sequence[str], seen: Sequence[str], rows_per_task: int | None, stores: Stores
+) -> DataFrame:
+    """``_p`` (the ``seen`` columns) of the row before: within the micro-batch, or the newest row of earlier ones.
 
-def row_before(batch: DataFrame, keys: Sequence[str], order: Sequence[str], seen: Sequence[str], rows_per_task: int | None) -> DataFrame:
-    """``_p`` of a micro-batch: the row before within it, or what earlier ones carried for the first row of a key."""
+    Writes the newest row of each key for the next micro-batch.
+    """
+    held = state_before(stores, batch.sparkSession, number)
+    newest = batch.groupBy(*keys).agg(F.max_by(F.struct(*seen), F.struct(*order)).alias("_held"))
+    if held is not None:
+        both = newest.withColumn("_now", F.lit(1)).unionByName(held.withColumn("_now", F.lit(0)))
+        newest = both.groupBy(*keys).agg(F.max_by("_held", "_now").alias("_held"))
+    append_batch(newest, stores.path("state"), number)
     rows, series = lay_out(batch, keys, order, rows_per_task)
-    rows = series.sweep(rows, lag={"_q": F.struct(*seen)})
-    return rows.withColumn("_p", F.coalesce("_q", "_p")).drop("_q", CHUNK)
+    rows = series.sweep(rows, lag={"_p": F.struct(*seen)}).drop(CHUNK)
+    if held is None:
+        return rows
+    return joined(rows, held, keys).withColumn("_p", F.coalesce("_p", "_held")).drop("_held")
 
 
 def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores, rows_per_task: int | None = None) -> int:
@@ -128,12 +110,12 @@ def dedup_signals(signals: DataFrame, order: Sequence[str], stores: Stores, rows
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = row_before(batch, keys, order, seen, rows_per_task)
+        rows = row_before(batch, number, keys, order, seen, rows_per_task, stores)
         new = F.col("_p").isNull() | ~F.col("_p.signal_ts").eqNullSafe(F.col("signal_ts"))
         append_batch(rows.where(new).drop("_p"), stores.path("out"), number)
         batch.unpersist()
 
-    return run_available(with_carried(signals, keys, order, seen), handle, stores)
+    return run_available(signals, handle, stores)
 
 
 def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores, rows_per_task: int | None = None) -> int:
@@ -142,7 +124,7 @@ def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores, rows
 
     def handle(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = row_before(batch, ["symbol"], order, seen, rows_per_task)
+        rows = row_before(batch, number, ["symbol"], order, seen, rows_per_task, stores)
         same = F.col("_p.drift_detected")
         for c in seen[1:]:
             same = same & (F.col(f"_p.{c}") == F.col(c))
@@ -150,51 +132,7 @@ def alert_drift(snapshots: DataFrame, order: Sequence[str], stores: Stores, rows
         append_batch(rows.where(alert).drop("_p"), stores.path("out"), number)
         batch.unpersist()
 
-    return run_available(with_carried(snapshots, ["symbol"], order, seen), handle, stores)
-
-
-class Fills(StatefulProcessor):
-    """Adds to each snapshot what earlier micro-batches know of its order: executed volume and fills (by position).
-
-    The state of an order that was done or cancelled is dropped ``keep_ms`` after its last snapshot came.
-    """
-
-    def __init__(self, order: Sequence[str], keep_ms: int) -> None:
-        self.order, self.keep_ms = list(order), keep_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("executed", f"executed {AMOUNT}, calls bigint")
-        self.seen = handle.getMapState("fills", "filled_at timestamp, trade_id string", "call bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        executed, calls = self.last.get() if self.last.exists() else (None, 0)
-        newest, known = Latest(self.order), Latest(self.order)
-        for row in rows:
-            newest.offer(row)
-            if row["executed"] is not None:
-                known.offer(row)
-            old = []
-            for pos, cell in enumerate(row["names"] or ()):
-                name = (cell["filled_at"], cell["trade_id"])
-                if not self.seen.containsKey(name):
-                    self.seen.updateValue(name, (calls,))  # this micro-batch brought it
-                elif self.seen.getValue(name)[0] < calls:
-                    old.append(pos)
-            yield extended(row, _carried=executed, _old=old)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.last.update((executed if known.row is None else known.row["executed"], calls + 1))
-        if newest.row is not None and newest.row["closed"]:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep_ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
-        self.seen.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+    return run_available(snapshots, handle, stores)
 
 
 #: How long a closed order is remembered.
@@ -210,24 +148,59 @@ def reconcile_orders(
     its last snapshot the state of an order that is done or cancelled is dropped; polling it again after that counts as
     a new order, so it must be longer than closed orders are polled.
     """
-    executed = dec(F.col("executed_volume"))
-    closed = order_status(F.col("state"), executed).isin("FILLED", "CANCELED")
-    name = lambda t, i: F.struct(*[trade_cell(t, i)[c].alias(c) for c in ("filled_at", "trade_id")])
-    rows = snapshots.withColumns({"executed": executed, "closed": closed, "names": F.transform("trades", name)})
-    schema = T.StructType(
-        [*rows.schema, T.StructField("_carried", rows.schema["executed"].dataType), T.StructField("_old", T.ArrayType(T.IntegerType()))]
-    )
+    keep_ms = int(keep_closed.total_seconds() * 1000)
+    fill = ["order_id", "filled_at", "trade_id"]
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.drop("executed", "closed", "names").withColumn("seq", F.struct(*order)).persist()
-        cells = snapshot_cells(batch, rows_per_task, "_carried", "_old").persist()
+        now = int(time.time() * 1000)
+        held = state_before(stores, batch.sparkSession, number)
+        batch = batch.withColumn("seq", F.struct(*order)).persist()
+        append_batch(_orders_after(batch, held, number, now, keep_ms), stores.path("state"), number)
+        since = F.lit(number).cast("bigint")
+        if held is None:
+            cells = snapshot_cells(batch, rows_per_task).withColumn("since", since)
+        else:
+            carried = held.select("order_id", F.col("executed").alias("_carried"))
+            cells = snapshot_cells(joined(batch, carried, ["order_id"]), rows_per_task, "_carried")
+            # Fills that an order brought before its state was dropped do not count: they have another ``since``.
+            cells = joined(cells, held.select("order_id", "since"), ["order_id"])
+            old = batch.sparkSession.read.parquet(*[f"{stores.path('fills')}/batch={k}" for k in range(number)])
+            cells = joined(cells, old.select(*fill, "since", F.lit(True).alias("_old")), [*fill, "since"])
+            cells = cells.withColumns({"_new": F.col("_new") & F.col("_old").isNull(), "since": F.coalesce("since", since)}).drop("_old")
+        cells = cells.persist()
         append_batch(cell_moves(cells), stores.path("out"), number)
         append_batch(cells.where("_new").drop("seq", "_row", "_new", "pos"), stores.path("fills"), number)
         cells.unpersist()
         batch.unpersist()
 
-    keep_ms = int(keep_closed.total_seconds() * 1000)
-    return run_available(stateful(rows, ["order_id"], Fills(order, keep_ms), schema, "processingTime"), handle, stores)
+    return run_available(snapshots, handle, stores)
+
+
+def _orders_after(batch: DataFrame, held: DataFrame | None, number: int, now: int, keep_ms: int) -> DataFrame:
+    """State of each order: executed volume, closed or not, when it came last, and the micro-batch its state began with.
+
+    Closed orders that did not come again for ``keep_ms`` are dropped.
+    """
+    executed = dec(F.col("executed_volume"))
+    closed = order_status(F.col("state"), executed).isin("FILLED", "CANCELED")
+    rows = batch.select("order_id", "seq", executed.alias("executed"), closed.alias("closed"))
+    came = rows.groupBy("order_id").agg(
+        F.max_by("executed", F.when(F.col("executed").isNotNull(), F.col("seq"))).alias("executed"),
+        F.max_by("closed", "seq").alias("closed"),
+        F.lit(now).cast("bigint").alias("came"),
+        F.lit(number).cast("bigint").alias("since"),
+    )
+    if held is None:
+        return came
+    both = came.withColumn("_now", F.lit(1)).unionByName(held.withColumn("_now", F.lit(0)))
+    out = both.groupBy("order_id").agg(
+        F.max_by("executed", F.when(F.col("executed").isNotNull(), F.col("_now"))).alias("executed"),
+        *[F.max_by(c, "_now").alias(c) for c in ("closed", "came")],
+        F.min("since").alias("since"),
+        F.max("_now").alias("_now"),
+    )
+    gone = (F.col("_now") == 0) & F.col("closed") & (F.col("came") + keep_ms <= now)
+    return out.where(~gone).drop("_now")
 
 
 class Newest(StatefulProcessor):
