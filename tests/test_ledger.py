@@ -201,3 +201,14 @@ def test_paper_fills_and_estimates_work_out_amounts_once(spark):
     ticks = spark.range(1).selectExpr("string(id) AS symbol", "rand() AS last_price")
     out = plan(with_notional_estimate(orders, chances, ticks, "0.0005"))
     assert "_budget" in out[out.index("Join"):]
+
+
+def test_amounts_of_a_snapshot_are_added_up_once(spark):
+    """Each of the two sums over the trades is in the plan once."""
+    from tidemark.operators.reconcile import average_price
+
+    rows = spark.createDataFrame([("1", [("2", "1")])], "price string, trades array<struct<volume:string,funds:string>>")
+    tree = average_price().alias("a")
+    assert rows.select(tree).schema[0].dataType.simpleString() == "decimal(38,12)"
+    plan = rows.repartition(2).select(tree)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(trades") == 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import AMOUNT, WIDE, dec, div_half_up, mul12
+from tidemark.functions.scalar import AMOUNT, WIDE, dec, div_half_up, let, mul12
 from tidemark.operators.scan import lay_out
 from tidemark.session import work_partitions
 
@@ -38,6 +38,7 @@ def trade_cell(t: Column, pos: Column) -> Column:
     parts = [F.coalesce(t[c], F.lit("")) for c in ("created_at", "price", "volume")]
     built = F.concat_ws(":", F.col("order_id"), *parts, pos.cast("string"))
     qty, price, funds = (dec(t[c]) for c in ("volume", "price", "funds"))
+    worth = let(F.struct(price.alias("p"), qty.alias("q")), lambda x: mul12(x["p"], x["q"]))  # the texts are read once
     with_zone = t["created_at"].rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     at = F.when(with_zone, t["created_at"].try_cast("timestamp"))
     return F.struct(
@@ -47,7 +48,7 @@ def trade_cell(t: Column, pos: Column) -> Column:
         qty.alias("fill_qty"),
         price.alias("fill_price"),
         funds.alias("given_funds"),
-        F.when(funds > 0, funds.cast(WIDE)).otherwise(mul12(price, qty)).alias("funds"),
+        F.when(funds > 0, funds.cast(WIDE)).otherwise(worth).alias("funds"),
     )
 
 
@@ -77,8 +78,8 @@ def average_price() -> Column:
     total = lambda f: F.aggregate(
         F.col("trades"), F.lit(0).cast(AMOUNT), lambda acc, t: F.try_add(acc, dec(t[f])).try_cast(AMOUNT)
     )
-    volume = total("volume")
-    return F.coalesce(F.when(volume > 0, div_half_up(total("funds"), volume)), dec(F.col("price")).cast(WIDE))
+    sums = F.struct(total("funds").alias("f"), total("volume").alias("v"))  # added up once
+    return F.coalesce(let(sums, lambda s: F.when(s["v"] > 0, div_half_up(s["f"], s["v"]))), dec(F.col("price")).cast(WIDE))
 
 
 def reconcile(
@@ -145,8 +146,9 @@ def _fresh_sums(new: Column) -> list[Column]:
 def order_columns(rows: DataFrame) -> DataFrame:
     """Order columns and move of snapshots with ``executed``, the executed volume before (``_prev``), the average
     price, quantity and funds of the fills they brought first (``_q``, ``_f``) and how many of these do not fit (``_lost``)."""
-    delta = F.col("executed") - F.coalesce("_prev", F.lit(0).cast(AMOUNT))
-    price = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
+    fresh = F.coalesce(F.when(F.col("_q") > 0, div_half_up(F.col("_f"), F.col("_q"))), F.col("avg_executed_price"))
+    rows = rows.withColumns({"_delta": F.col("executed") - F.coalesce("_prev", F.lit(0).cast(AMOUNT)), "_price": fresh})
+    delta, price = F.col("_delta"), F.col("_price")
     return rows.select(
         "order_id",
         "seq",
