@@ -128,3 +128,83 @@ def test_rows_do_not_pass_through_python_state(spark, tmp_path, monkeypatch):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     assert dedup_signals(stream, ["n"], stores) == 3
     assert sorted(r.n for r in stores.read(spark).collect()) == [1, 2, 5]
+
+
+def polls(path, spark, batches):
+    """Order snapshots as one file per micro-batch: (n, order, ids of its trades); each trade adds 1 to the volume."""
+    cell = "array<struct<market:string,uuid:string,price:string,volume:string,funds:string,side:string,created_at:string>>"
+    schema = f"n bigint, order_id string, symbol string, order_side string, uuid string, state string, price string, paid_fee string, executed_volume string, trades {cell}"
+    trade = lambda t: {"market": "A", "uuid": t, "price": "2", "volume": "1", "funds": "2", "side": "bid", "created_at": "2026-01-01T00:00:00Z"}
+    for rows in batches:
+        rows = [(n, o, "A", "BUY", f"u-{o}", "wait", "2", "0", str(n), [trade(t) for t in ts]) for n, o, ts in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_fills_of_micro_batches_without_a_repeat_are_not_read(spark, tmp_path):
+    """The third micro-batch repeats a fill of the second one only; those of the first are unreadable by then."""
+    path, stores = str(tmp_path / "in"), Stores(str(tmp_path / "s"))
+    assert reconcile_orders(polls(path, spark, [[(1, "a", ["t1"])], [(2, "b", ["t2"])]]), ["n"], stores) == 2
+    for file in (tmp_path / "s" / "fills" / "batch=0").glob("part-*"):
+        file.write_bytes(b"not a table")
+        file.with_name(f".{file.name}.crc").unlink()
+    assert reconcile_orders(polls(path, spark, [[(3, "b", ["t2", "t3"])]]), ["n"], stores) == 1
+    assert sorted(r.trade_id for r in spark.read.parquet(*[stores.path(f"fills/batch={k}") for k in (1, 2)]).collect()) == ["t2", "t3"]
+
+
+def test_fills_with_equal_codes_stay_apart(spark, tmp_path, monkeypatch):
+    """All codes are equal: repeats, also of the first micro-batch and of an order without id, are known, others are new."""
+    from tidemark.streaming import batches
+
+    monkeypatch.setattr(batches, "_fill_code", lambda trade_id: F.lit(7).cast("bigint"))
+    path, stores = str(tmp_path / "in"), Stores(str(tmp_path / "s"))
+    stream = polls(path, spark, [[(1, "a", ["t1"]), (2, None, ["t1"])], [(3, "b", ["t1"])], [(4, "a", ["t1", "t2"]), (5, None, ["t1", "t3"])]])
+    assert reconcile_orders(stream, ["n"], stores) == 3
+    got = [(r.order_id or "", r.trade_id) for r in stores.read(spark, "fills").collect()]
+    assert sorted(got) == [("", "t1"), ("", "t3"), ("a", "t1"), ("a", "t2"), ("b", "t1")]
+    moves = {r.seq.n: r.delta_qty and float(r.delta_qty) for r in stores.read(spark).collect()}
+    assert moves == {1: 1.0, 2: 2.0, 3: 3.0, 4: 3.0, 5: 3.0}
+
+
+def test_reconcile_in_chunks_equals_batch(spark, tmp_path):
+    """Micro-batches whose orders span several chunks, with state and known fills before the first one."""
+    flat = order_snapshots(spark, SF).select("*", "seq.ts", "seq.event_id").drop("seq")
+    stores = Stores(str(tmp_path / "s"))
+    stream = feed(spark, flat, ["ts", "event_id"], str(tmp_path / "in"), 2)
+    reconcile_orders(stream, ["ts", "event_id"], stores, rows_per_task=10)
+    got = moved_columns(stores.read(spark).withColumn("event_id", F.col("seq.event_id")))
+    assert rows_of(got) == rows_of(QUERIES["reconciled_orders"](spark, SF))
+
+
+@pytest.mark.parametrize("keeps_times", [True, False])
+def test_feed_writes_each_row_once_in_order_of_time(spark, tmp_path, monkeypatch, keeps_times):
+    """Eight micro-batches of one time range each, from rows in no order; a store that keeps no file times takes a second write."""
+    from tidemark.catalog import streams
+
+    monkeypatch.setattr(streams, "ROWS", 500)
+    monkeypatch.setattr(streams, "FILE_ROWS", 100)
+    if not keeps_times:
+        monkeypatch.setattr(streams, "in_order", lambda *a: False)
+    start = F.lit("2026-01-01").cast("timestamp")
+    at = F.when(F.col("id") > 0, F.timestamp_add("SECOND", ((F.col("id") * 7919) % 4000).cast("int"), start))
+    rows = spark.range(4000).select("id", at.alias("at"))
+    stores, seen = Stores(str(tmp_path / "s")), []
+    stream = streams.feed(rows, "at", stores)
+    query = stream.writeStream.foreachBatch(lambda b, n: seen.append(b.collect())).option("checkpointLocation", str(tmp_path / "c"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 8 and sorted(r.id for b in seen for r in b) == list(range(4000))
+    times = [sorted(r["at"] for r in b if r["at"]) for b in seen]
+    assert all(a[-1] < b[0] for a, b in zip(times, times[1:], strict=False)) and any(r["at"] is None for r in seen[0])
+    assert {p.name for p in (tmp_path / "s").iterdir()} == ({"in"} if keeps_times else {"in", "steps"})
+
+
+def test_steps_with_few_rows_keep_their_order(spark, tmp_path, monkeypatch):
+    """More steps than the least number, but too few rows for the files of each step."""
+    from tidemark.catalog import streams
+
+    monkeypatch.setattr(streams, "ROWS", 1)
+    monkeypatch.setattr(streams, "FILE_ROWS", 1)
+    rows, seen, stores = spark.range(6).select("id", F.timestamp_seconds(-F.col("id")).alias("at")), [], Stores(str(tmp_path / "s"))
+    query = streams.feed(rows, "at", stores).writeStream.foreachBatch(lambda b, k: seen.append([r.id for r in b.collect()]))
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [i for b in seen for i in b] == [5, 4, 3, 2, 1, 0]

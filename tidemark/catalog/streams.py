@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.catalog.base import SNAPSHOTS, order_snapshots, query, r, stamp, table
 from tidemark.catalog.ledger import ALERT_SQL, ALERTS, DEDUP_SQL, MOVED_SQL, moved_columns, signal_stream_rows
@@ -13,31 +16,98 @@ from tidemark.streaming.batches import Stores, alert_drift, dedup_signals, recon
 
 #: Micro-batches at least, files of each, and rows of one at most (about).
 STEPS, FILES, ROWS = 4, 2, 1_000_000
+#: Rows of a file at least (about), when there are more files because there are more micro-batches.
+FILE_ROWS = 100_000
 
 
 def feed(df, at, stores):
     """``df`` as a stream of micro-batches in the order of the time column ``at``; their number grows with the rows.
 
-    The source is read once. Each step is written as ``FILES`` files after the step before, and the stream takes as
-    many at a time.
+    Up to ``STEPS`` times ``ROWS`` rows each step is written as ``FILES`` files after the step before, and the stream
+    takes as many at a time. With more rows all steps are written at the same time, each row once: the times are read
+    first, then the source, and each row goes straight to a file of its step.
     """
     spark = df.sparkSession
-    df.withColumn("_at", F.unix_micros(at)).write.parquet(stores.path("all"))
-    rows = spark.read.parquet(stores.path("all"))
+    rows = df.withColumn("_at", F.unix_micros(at))
     steps = max(STEPS, -(-rows.count() // ROWS))
+    source, files = stores.path("in"), FILES
+    if steps == STEPS:
+        rows.write.parquet(stores.path("all"))
+        rows = spark.read.parquet(stores.path("all"))
     cuts = rows.agg(F.percentile_approx("_at", [k / steps for k in range(1, steps)], 100 * steps).alias("c")).first().c or []
-    if steps > STEPS:  # in files by time, so that each step reads its own part and not all of them
-        rows.repartitionByRange(2 * steps, "_at").write.parquet(stores.path("by_time"))
-        rows = spark.read.parquet(stores.path("by_time"))
-    edges = [None, *sorted(set(cuts)), None]
+    cuts = sorted(set(cuts))
+    if steps == STEPS:
+        step_by_step(rows, cuts, source)
+    else:
+        files = max(FILES, min(spark.sparkContext.defaultParallelism, ROWS // FILE_ROWS))
+        all_at_once(rows, cuts, files, source)
+        if not in_order(spark, source, len(cuts) + 1, files):
+            source, files = one_by_one(spark, source, files, stores.path("steps")), 1
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(source)
+
+
+def step_by_step(rows, cuts, path):
+    edges = [None, *cuts, None]
     for low, high in zip(edges, edges[1:], strict=False):
         part = rows if low is None else rows.where(F.col("_at") > low)
         part = part if high is None else part.where(F.col("_at") <= high)
         if low is None:
             part = part.unionByName(rows.where(F.col("_at").isNull()))
-        part.drop("_at").repartition(FILES).write.mode("append").parquet(stores.path("in"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES)
-    return stream.parquet(stores.path("in"))
+        part.drop("_at").repartition(FILES).write.mode("append").parquet(path)
+
+
+def all_at_once(rows, cuts, files, path):
+    """Every step as ``files`` files, whose numbers tell the step."""
+    plain = [c.name for c in rows.schema if not isinstance(c.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    place = step_of(cuts) * files + F.pmod(F.xxhash64(*plain), F.lit(files))
+    placed = rows.withColumn("_place", place.cast("int")).repartitionById((len(cuts) + 1) * files, "_place")
+    # Most texts are there once: dictionaries would be built and given up again.
+    placed.drop("_at", "_place").write.option("parquet.enable.dictionary", "false").parquet(path)
+
+
+def step_of(cuts):
+    """Number of the step of ``_at``: how many cuts lie before it, found by halving. Null comes first."""
+
+    def within(low, high):
+        if low == high:
+            return F.lit(low)
+        half = (low + high) // 2
+        return F.when(F.col("_at") > cuts[half], within(half + 1, high)).otherwise(within(low, half))
+
+    return within(0, len(cuts))
+
+
+def placed_files(spark, path):
+    """The store and the files under ``path`` by the number of the place they were written for."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = ((f, re.match(r"part-(\d+)-", f.getPath().getName())) for f in store.listStatus(folder))
+    return store, sorted(((int(m[1]), f) for f, m in names if m), key=lambda x: x[0])
+
+
+def in_order(spark, path, steps, files):
+    """Give the files under ``path`` times a second apart from step to step.
+
+    False if a step does not have ``files`` of them (it has few rows) or the store does not keep such times.
+    """
+    store, found = placed_files(spark, path)
+    if [n for n, _ in found] != list(range(steps * files)):
+        return False
+    last = max(f.getModificationTime() for _, f in found) // 1000 * 1000
+    times = [last - 1000 * (steps - n // files) for n, _ in found]
+    for (_, f), at in zip(found, times, strict=True):
+        store.setTimes(f.getPath(), at, -1)
+    return [f.getModificationTime() for _, f in placed_files(spark, path)[1]] == times
+
+
+def one_by_one(spark, path, files, to):
+    """Each step written as one file after the step before, so that the files have their order by themselves."""
+    steps = {}
+    for n, f in placed_files(spark, path)[1]:
+        steps.setdefault(n // files, []).append(f.getPath().toString())
+    for _, paths in sorted(steps.items()):
+        spark.read.parquet(*paths).coalesce(1).write.mode("append").parquet(to)
+    return to
 
 
 @query("stream_signal_dedup", DEDUP_SQL)

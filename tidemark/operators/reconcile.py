@@ -28,35 +28,40 @@ def order_status(state: Column, executed: Column) -> Column:
     )
 
 
-def trade_cell(t: Column, pos: Column) -> Column:
-    """Position, fill key and amounts of one trade of a snapshot.
-
-    ``filled_at`` is the epoch when the text has no readable time with offset; a blank trade id is built from
-    order, time, price, volume and position.
-    """
+def trade_key(t: Column, pos: Column) -> Column:
+    """Id of a trade; a blank one is built from order, time, price, volume and position."""
     blank = F.length(F.trim(F.coalesce(t["uuid"], F.lit("")))) == 0
     parts = [F.coalesce(t[c], F.lit("")) for c in ("created_at", "price", "volume")]
     built = F.concat_ws(":", F.col("order_id"), *parts, pos.cast("string"))
-    qty, price, funds = (dec(t[c]) for c in ("volume", "price", "funds"))
-    worth = let(F.struct(price.alias("p"), qty.alias("q")), lambda x: mul12(x["p"], x["q"]))  # the texts are read once
-    with_zone = t["created_at"].rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(blank, built).otherwise(t["uuid"])
+
+
+def trade_cells(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and position, fill key and amounts of the trade ``_t`` at ``_pos``; null where there is none.
+
+    ``filled_at`` is the epoch when the text has no readable time with offset; ``trade_id`` is ``trade_key``. Each amount
+    is a column before the next one names it, so that its text is read once.
+    """
+    t, pos, there = F.col("_t"), F.col("_pos"), F.col("_t").isNotNull()
+    with_zone = F.endswith(t["created_at"], F.lit("Z")) | t["created_at"].rlike(r"(Z|[+-]\d{2}:?\d{2})$")  # mostly without a pattern
     at = F.when(with_zone, t["created_at"].try_cast("timestamp"))
-    return F.struct(
-        pos.cast("int").alias("pos"),
-        F.coalesce(at, F.lit(EPOCH).cast("timestamp")).alias("filled_at"),
-        F.when(blank, built).otherwise(t["uuid"]).alias("trade_id"),
-        qty.alias("fill_qty"),
-        price.alias("fill_price"),
-        funds.alias("given_funds"),
-        F.when(funds > 0, funds.cast(WIDE)).otherwise(worth).alias("funds"),
-    )
+    cells = {
+        "pos": pos.cast("int"),
+        "filled_at": F.coalesce(at, F.lit(EPOCH).cast("timestamp")),
+        "trade_id": trade_key(t, pos),
+        "fill_qty": dec(t["volume"]),
+        "fill_price": dec(t["price"]),
+        "given_funds": dec(t["funds"]),
+    }
+    rows = rows.select(*keep, *[F.when(there, x).alias(c) for c, x in cells.items()])
+    worth = mul12(F.col("fill_price"), F.col("fill_qty"))
+    return rows.withColumn("funds", F.when(F.col("given_funds") > 0, F.col("given_funds").cast(WIDE)).otherwise(worth))
 
 
 def explode_trades(snapshots: DataFrame) -> DataFrame:
     """One row per trade of each snapshot."""
     rows = snapshots.select("order_id", "seq", F.posexplode("trades").alias("_pos", "_t"))
-    rows = rows.select("order_id", "seq", trade_cell(F.col("_t"), F.col("_pos")).alias("_c"))
-    return rows.select("order_id", "seq", "_c.*")
+    return trade_cells(rows, "order_id", "seq")
 
 
 def first_fills(trades: DataFrame) -> DataFrame:
@@ -73,13 +78,28 @@ def new_fills(fills: DataFrame, known: DataFrame) -> DataFrame:
     return fills.join(known, ["order_id", "filled_at", "trade_id"], "left_anti")
 
 
-def average_price() -> Column:
-    """Volume-weighted price over a snapshot's trades; the order price without trades or volume."""
+def _trade_sums() -> dict[str, Column]:
+    """Funds and volume of a snapshot's trades; null from where they no longer fit."""
     total = lambda f: F.aggregate(
         F.col("trades"), F.lit(0).cast(AMOUNT), lambda acc, t: F.try_add(acc, dec(t[f])).try_cast(AMOUNT)
     )
-    sums = F.struct(total("funds").alias("f"), total("volume").alias("v"))  # added up once
-    return F.coalesce(let(sums, lambda s: F.when(s["v"] > 0, div_half_up(s["f"], s["v"]))), dec(F.col("price")).cast(WIDE))
+    return {"_funds": total("funds"), "_volume": total("volume")}
+
+
+def _price_of(funds: Column, volume: Column) -> Column:
+    return F.when(volume > 0, div_half_up(funds, volume))
+
+
+def average_price() -> Column:
+    """Volume-weighted price over a snapshot's trades; the order price without trades or volume."""
+    sums = F.struct(*[c.alias(n) for n, c in _trade_sums().items()])  # added up once
+    return F.coalesce(let(sums, lambda s: _price_of(s["_funds"], s["_volume"])), dec(F.col("price")).cast(WIDE))
+
+
+def with_average_price(rows: DataFrame) -> DataFrame:
+    """``average_price`` as a column, with the sums as columns before it, so that Spark compiles the quotient."""
+    price = F.coalesce(_price_of(F.col("_funds"), F.col("_volume")), dec(F.col("price")).cast(WIDE))
+    return rows.withColumns(_trade_sums()).withColumn("avg_executed_price", price).drop("_funds", "_volume")
 
 
 def reconcile(
@@ -97,34 +117,55 @@ def reconcile(
     return cell_moves(snapshot_cells(snapshots, rows_per_task))
 
 
-def with_executed_before(snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None) -> DataFrame:
+#: Columns of a snapshot that the ledger reads.
+SNAPSHOT_COLUMNS = ["order_id", "seq", "symbol", "order_side", "uuid", "state", "paid_fee", "executed_volume", "price", "trades"]
+
+
+def with_executed_before(snapshots: DataFrame, rows_per_task: int | None = None, before: DataFrame | None = None) -> DataFrame:
     """Add ``executed``, the average price and ``_prev``, the executed volume before the snapshot.
 
-    ``carried`` names a column with the executed volume before all given snapshots of the order, if there was one.
+    ``before`` are rows of what was there before all given snapshots of an order: ``order_id``, ``_executed`` and
+    ``_since`` once, and ``_known`` (time and id) for each known fill. They have no ``seq``, so that they lie before the
+    snapshots, and stay in the result; ``since`` of a snapshot is then the order's ``_since``.
     """
+    if before is not None:
+        snapshots = snapshots.unionByName(before, allowMissingColumns=True)
     rows, series = lay_out(snapshots, ["order_id"], ["seq"], rows_per_task)
     if series.chunk is None:  # a fixed partition count: decimals cost more than the size of the rows shows
         rows = rows.repartition(work_partitions(rows.sparkSession), "order_id")
-    rows = rows.withColumns({"executed": dec(F.col("executed_volume")), "avg_executed_price": average_price()})
+    executed = dec(F.col("executed_volume"))
     # A volume beyond the ledger is null and named; the next snapshot counts from the last one that fits.
-    rows = series.sweep(rows, before={"_prev": ("last", F.col("executed"))})
-    return rows.withColumn("_prev", F.coalesce("_prev", carried)) if carried else rows
+    prev = {"_prev": ("last", F.col("executed"))}
+    if before is None:
+        return series.sweep(with_average_price(rows.withColumn("executed", executed)), before=prev)
+    real = F.col("seq").isNotNull()
+    rows = rows.withColumn("executed", F.when(real, executed).otherwise(F.col("_executed")))
+    rows = series.sweep(rows, running={"since": ("first", F.col("_since"))}, before=prev)
+    return with_average_price(rows)
 
 
 def snapshot_cells(
-    snapshots: DataFrame, rows_per_task: int | None = None, carried: str | None = None
+    snapshots: DataFrame, rows_per_task: int | None = None, before: DataFrame | None = None
 ) -> DataFrame:
-    """One row per trade of each snapshot (one without trade where it has none); ``_new``: the first to bring this fill."""
-    rows = with_executed_before(snapshots, rows_per_task, carried)
+    """One row per trade of each snapshot (one without trade where it has none); ``_new``: the first to bring this fill.
+
+    With ``before`` (see ``with_executed_before``) known fills are not new.
+    """
+    rows = with_executed_before(snapshots, rows_per_task, before)
     # One pass: the trades of a snapshot carry its columns along, and come together again once it is known which are new.
     # All of it is partitioned by order (or parts of one), so that the rows move once.
     kept = ["symbol", "order_side", "uuid", "state", "paid_fee", "executed", "_prev", "avg_executed_price"]
-    cells = rows.select("order_id", "seq", F.struct(*kept).alias("_row"), F.posexplode_outer("trades").alias("_pos", "_t"))
-    cells = cells.select("order_id", "seq", "_row", F.when(F.col("_t").isNotNull(), trade_cell(F.col("_t"), F.col("_pos"))).alias("_c"))
-    cells = cells.select("order_id", "seq", "_row", "_c.*")
-    same = Window.partitionBy("order_id", "filled_at", "trade_id").orderBy("seq", "pos")
-    new = F.col("trade_id").isNotNull() & (F.row_number().over(same) == 1)
-    return cells.withColumn("_new", new)
+    also = [] if before is None else ["since", "_known"]
+    if before is not None:
+        rows = rows.where("seq IS NOT NULL OR _known IS NOT NULL")
+    cells = rows.select("order_id", "seq", *also, F.struct(*kept).alias("_row"), F.posexplode_outer("trades").alias("_pos", "_t"))
+    cells = trade_cells(cells, "order_id", "seq", *also, "_row")
+    first = ["order_id", "filled_at", "trade_id"]
+    if before is not None:
+        cells = cells.withColumns({c: F.coalesce(f"_known.{c}", c) for c in first[1:]}).drop("_known")
+    new = F.col("trade_id").isNotNull() & (F.row_number().over(Window.partitionBy(*first).orderBy("seq", "pos")) == 1)
+    cells = cells.withColumn("_new", new)
+    return cells if before is None else cells.where(F.col("seq").isNotNull())
 
 
 def cell_moves(cells: DataFrame) -> DataFrame:

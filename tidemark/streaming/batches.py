@@ -1,7 +1,8 @@
 """Polling loops as Structured Streaming with keyed state.
 
 What must be remembered of a key (its last row, the executed volume of an order) is a table with one row per key that
-each micro-batch writes under its number and the next one joins; the fills known of orders are those written so far.
+each micro-batch writes under its number and the next one joins; the fills known of orders are those written so far, of
+which a micro-batch reads one number each, and whole ones from the micro-batches that have some of its own.
 No row passes through Python. The newest candles of a market are state of ``transformWithState``, kept by Spark's
 RocksDB store. What comes before what inside a micro-batch is found by the scans of the batch form. All other work is
 the columns and plans of the batch form. Outputs are written once per micro-batch under its number, so a batch that is
@@ -16,13 +17,12 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.functions.scalar import dec
-from tidemark.operators.reconcile import cell_moves, order_status, snapshot_cells
+from tidemark.operators.reconcile import SNAPSHOT_COLUMNS, cell_moves, order_status, snapshot_cells, trade_key
 from tidemark.operators.scan import CHUNK, lay_out
 from tidemark.plans.live import LiveParams, live_signals
 from tidemark.session import ensure_checkpoint_dir, share_package
@@ -149,57 +149,87 @@ def reconcile_orders(
     a new order, so it must be longer than closed orders are polled.
     """
     keep_ms = int(keep_closed.total_seconds() * 1000)
-    fill = ["order_id", "filled_at", "trade_id"]
 
     def handle(batch: DataFrame, number: int) -> None:
         now = int(time.time() * 1000)
         held = state_before(stores, batch.sparkSession, number)
-        batch = batch.withColumn("seq", F.struct(*order)).persist()
-        append_batch(_orders_after(batch, held, number, now, keep_ms), stores.path("state"), number)
-        since = F.lit(number).cast("bigint")
+        batch = batch.withColumn("seq", F.struct(*order)).select(*SNAPSHOT_COLUMNS).persist()
         if held is None:
-            cells = snapshot_cells(batch, rows_per_task).withColumn("since", since)
+            cells = snapshot_cells(batch, rows_per_task).withColumn("since", F.lit(None).cast("bigint"))
         else:
-            carried = held.select("order_id", F.col("executed").alias("_carried"))
-            cells = snapshot_cells(joined(batch, carried, ["order_id"]), rows_per_task, "_carried")
+            orders = held.select("order_id", F.col("executed").alias("_executed"), F.col("since").alias("_since"))
             # Fills that an order brought before its state was dropped do not count: they have another ``since``.
-            cells = joined(cells, held.select("order_id", "since"), ["order_id"])
-            old = batch.sparkSession.read.parquet(*[f"{stores.path('fills')}/batch={k}" for k in range(number)])
-            cells = joined(cells, old.select(*fill, "since", F.lit(True).alias("_old")), [*fill, "since"])
-            cells = cells.withColumns({"_new": F.col("_new") & F.col("_old").isNull(), "since": F.coalesce("since", since)}).drop("_old")
+            wanted = wanted_codes(batch).persist()
+            fills = known_fills(wanted, number, stores)
+            fills = fills.join(orders, fills["order_id"].eqNullSafe(orders["order_id"]) & (F.col("since") == F.col("_since")), "left_semi")
+            fills = fills.select("order_id", F.struct("filled_at", "trade_id").alias("_known")).persist()
+            before = orders.unionByName(fills, allowMissingColumns=True)
+            cells = snapshot_cells(batch, rows_per_task, before.withColumn("seq", F.lit(None).cast(batch.schema["seq"].dataType)))
         cells = cells.persist()
         append_batch(cell_moves(cells), stores.path("out"), number)
-        append_batch(cells.where("_new").drop("seq", "_row", "_new", "pos"), stores.path("fills"), number)
-        cells.unpersist()
-        batch.unpersist()
+        new = cells.where("_new").withColumn("since", F.coalesce("since", F.lit(number).cast("bigint")))
+        append_batch(new.drop("seq", "_row", "_new", "pos"), stores.path("fills"), number)
+        append_batch(new.select(_fill_code(F.col("trade_id")).alias("code")), stores.path("codes"), number)
+        append_batch(_orders_after(cells, held, number, now, keep_ms), stores.path("state"), number)
+        for done in (cells, batch) if held is None else (cells, fills, wanted, batch):
+            done.unpersist()
 
     return run_available(snapshots, handle, stores)
 
 
-def _orders_after(batch: DataFrame, held: DataFrame | None, number: int, now: int, keep_ms: int) -> DataFrame:
+def _fill_code(trade_id: Column) -> Column:
+    return F.xxhash64("order_id", trade_id)
+
+
+#: Codes of a micro-batch's fills that are broadcast at most, after a count (about 130 MB).
+BROADCAST_CODES = 2_000_000
+
+
+def wanted_codes(batch: DataFrame) -> DataFrame:
+    """The codes of all trades of a micro-batch, each once."""
+    trades = batch.select("order_id", F.posexplode("trades").alias("_pos", "_t")).where(F.col("_t").isNotNull())
+    return trades.select(_fill_code(trade_key(F.col("_t"), F.col("_pos"))).alias("code")).distinct()
+
+
+def known_fills(wanted: DataFrame, number: int, stores: Stores) -> DataFrame:
+    """The fills of the micro-batches before this one that have a ``wanted`` code.
+
+    Each micro-batch writes one number per new fill, a hash of order and trade id. All these numbers are read, and with
+    them the fills of those micro-batches only that have a wanted one. The caller compares the fills themselves.
+    """
+    spark = wanted.sparkSession
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_CODES else wanted.hint("shuffle_hash")
+    codes = spark.read.option("basePath", stores.path("codes")).parquet(*[f"{stores.path('codes')}/batch={k}" for k in range(number)])
+    found = sorted(r.batch for r in codes.join(some, "code", "left_semi").select("batch").distinct().collect())
+    fills = spark.read.parquet(*[f"{stores.path('fills')}/batch={k}" for k in found or [number - 1]])
+    fills = fills.withColumn("code", _fill_code(F.col("trade_id"))).join(some, "code", "left_semi")
+    return fills.select("order_id", "filled_at", "trade_id", "since")
+
+
+def _orders_after(cells: DataFrame, held: DataFrame | None, number: int, now: int, keep_ms: int) -> DataFrame:
     """State of each order: executed volume, closed or not, when it came last, and the micro-batch its state began with.
 
     Closed orders that did not come again for ``keep_ms`` are dropped.
     """
-    executed = dec(F.col("executed_volume"))
-    closed = order_status(F.col("state"), executed).isin("FILLED", "CANCELED")
-    rows = batch.select("order_id", "seq", executed.alias("executed"), closed.alias("closed"))
-    came = rows.groupBy("order_id").agg(
-        F.max_by("executed", F.when(F.col("executed").isNotNull(), F.col("seq"))).alias("executed"),
-        F.max_by("closed", "seq").alias("closed"),
+    closed = order_status(F.col("_row.state"), F.col("_row.executed")).isin("FILLED", "CANCELED")
+    rows = cells.where("pos IS NULL OR pos = 0").select(
+        "order_id",
+        "seq",
+        "_row.executed",
+        closed.alias("closed"),
         F.lit(now).cast("bigint").alias("came"),
         F.lit(number).cast("bigint").alias("since"),
     )
-    if held is None:
-        return came
-    both = came.withColumn("_now", F.lit(1)).unionByName(held.withColumn("_now", F.lit(0)))
-    out = both.groupBy("order_id").agg(
-        F.max_by("executed", F.when(F.col("executed").isNotNull(), F.col("_now"))).alias("executed"),
-        *[F.max_by(c, "_now").alias(c) for c in ("closed", "came")],
+    if held is not None:  # without ``seq`` the state lies before all snapshots
+        rows = rows.unionByName(held, allowMissingColumns=True)
+    at = F.struct("seq")
+    out = rows.groupBy("order_id").agg(
+        F.max_by("executed", F.when(F.col("executed").isNotNull(), at)).alias("executed"),
+        *[F.max_by(c, at).alias(c) for c in ("closed", "came")],
         F.min("since").alias("since"),
-        F.max("_now").alias("_now"),
+        F.max(F.col("seq").isNotNull()).alias("_now"),
     )
-    gone = (F.col("_now") == 0) & F.col("closed") & (F.col("came") + keep_ms <= now)
+    gone = ~F.col("_now") & F.col("closed") & (F.col("came") + keep_ms <= now)
     return out.where(~gone).drop("_now")
 
 
